@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segrules.operators.features import INDEX_SUFFIX, feature_matrix, slot_names
+from segrules.session import checkpoint_root
 
 IMPORTANCE_SCHEMA = "feature_name string, importance double"
 
@@ -27,6 +28,8 @@ def random_forest_importance(
     max_categories: int = 20,
     seed: int | None = None,
     all_categorical: bool = False,
+    max_memory_mb: int = 1024,
+    checkpoint_interval: int = 10,
 ) -> DataFrame:
     """(feature_name, importance) from a random forest, most important first.
 
@@ -36,6 +39,12 @@ def random_forest_importance(
     aggregation; only the importance vector (one value per feature) comes
     back, and is paired with the slot names read from the vector metadata,
     ordered by slot index.
+
+    Scale knobs: ``max_memory_mb`` bounds the per-task histogram memory; a
+    larger budget aggregates more tree nodes per pass, so fewer passes over
+    the data.  Node ids per row are cached and checkpointed into the shared
+    folder every ``checkpoint_interval`` iterations, which keeps lineage short
+    for deep forests and lets a lost executor resume from the checkpoint.
     """
     fm = feature_matrix(df, response, features=features, all_categorical=all_categorical)
     indexer = VectorIndexer(inputCol="features", outputCol="features" + INDEX_SUFFIX, maxCategories=max_categories)
@@ -46,7 +55,11 @@ def random_forest_importance(
         maxDepth=max_depth,
         maxBins=max_bins,
         impurity=impurity,
+        maxMemoryInMB=max_memory_mb,
+        cacheNodeIds=True,
+        checkpointInterval=checkpoint_interval,
     )
+    checkpoint_root(df.sparkSession)
     if seed is not None:
         params["seed"] = seed
     model = Pipeline(stages=[indexer, RandomForestClassifier(**params)]).fit(fm.data)

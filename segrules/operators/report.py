@@ -70,22 +70,29 @@ def rule_report(
     """
     spark = tree.nodes.sparkSession
     data = tree.fm.data if data is None else data
-    rules = leaf_rules(tree, scope, merge)
-    collected = rules.collect()  # one row per leaf: bounded by 2^max_depth
-    n_leaves = tree.leaves.count()
-    if n_leaves < max(min_leaves, 1) or n_leaves == 1:
+    stats = tree.leaves.select("node", "prediction", "probability")
+    # One row per leaf (at most 2^max_depth): kept in memory so the predicate
+    # build below and the final join read it once.
+    rules = (
+        leaf_rules(tree, scope, merge)
+        .join(stats, "node", "right")
+        .select("node", "rule_list", rule_text("rule_list", style, rename).alias("rules"), "prediction", "probability")
+        .cache()
+    )
+    collected = rules.select("node", "rule_list").collect()
+    n_leaves = len(collected)
+    if n_leaves < max(min_leaves, 2):
+        rules.unpersist()
         return spark.createDataFrame([], REPORT_SCHEMA)
     if skip_empty:
         collected = [r for r in collected if r["rule_list"]]
     if not collected:
+        rules.unpersist()
         return spark.createDataFrame([], REPORT_SCHEMA)
-    preds = [(r["node"], rule_predicate(r["rule_list"])) for r in sorted(collected, key=lambda r: r["node"])]
+    preds = [(r["node"], rule_predicate(r["rule_list"] or [])) for r in sorted(collected, key=lambda r: r["node"])]
     cov = coverage_counts(data, preds)
-    text = rules.select("node", rule_text("rule_list", style, rename).alias("rules"))
-    stats = tree.leaves.select("node", "prediction", "probability")
     return (
-        cov.join(F.broadcast(text), "node")
-        .join(F.broadcast(stats), "node")
+        cov.join(F.broadcast(rules.drop("rule_list")), "node")
         .select(
             F.col("node").cast("int"),
             "prediction",

@@ -9,8 +9,8 @@ attributes so every slot is split as continuous, indexed categories included.
 
 The fitted model is read back as a table: the model is saved into the shared
 checkpoint folder and its node parquet is scanned.  Node ids there are
-pre-order; a recursive CTE over the (at most 2^(depth+1)-1 rows) node table
-maps them to heap ids (root 1, children 2n and 2n+1), which number the
+pre-order; a walk over the (at most 2^(depth+1)-1 rows) node table maps
+them to heap ids (root 1, children 2n and 2n+1), which number the
 segments in reports.
 """
 
@@ -76,18 +76,37 @@ def fit_segment_tree(
     return SegmentTree(fm=fm, model=model, nodes=nodes, max_depth=max_depth)
 
 
-_HEAP_WALK = """
-WITH RECURSIVE edges AS (
-  SELECT id AS parent, leftChild AS child, 0 AS dir FROM {raw} WHERE leftChild >= 0
-  UNION ALL
-  SELECT id AS parent, rightChild AS child, 1 AS dir FROM {raw} WHERE rightChild >= 0
-), walk(id, node, depth) AS (
-  SELECT 0, CAST(1 AS BIGINT), 0
-  UNION ALL
-  SELECT e.child, 2 * w.node + e.dir, w.depth + 1 FROM walk w JOIN edges e ON e.parent = w.id
-)
-SELECT r.*, w.node, w.depth FROM {raw} r JOIN walk w ON r.id = w.id
-"""
+def _heap_walk(raw: DataFrame, depth: int) -> DataFrame:
+    """(id, node, depth): heap id of every pre-order node id, root 1, children 2n and 2n+1.
+
+    Unrolled to the model's depth as a chain of joins against the edge list
+    (at most 2^(depth+1)-2 rows, broadcast), so the walk is one plan and one
+    job instead of one job per level.
+    """
+    edges = F.broadcast(
+        raw.select(
+            F.col("id").alias("parent"),
+            F.explode(
+                F.array(
+                    F.struct(F.col("leftChild").alias("child"), F.lit(0).alias("dir")),
+                    F.struct(F.col("rightChild").alias("child"), F.lit(1).alias("dir")),
+                )
+            ).alias("e"),
+        )
+        .select("parent", "e.child", "e.dir")
+        .where(F.col("child") >= 0)
+    )
+    level = raw.where(F.col("id") == 0).select("id", F.lit(1).cast("long").alias("node"), F.lit(0).alias("depth"))
+    levels = [level]
+    for _ in range(depth):
+        level = level.join(edges, level["id"] == edges["parent"]).select(
+            F.col("child").alias("id"), (F.col("node") * 2 + F.col("dir")).alias("node"), (F.col("depth") + 1).alias("depth")
+        )
+        levels.append(level)
+    walk = levels[0]
+    for lv in levels[1:]:
+        walk = walk.unionByName(lv)
+    return walk
 
 
 def node_table(model: DecisionTreeRegressionModel, slots: Sequence[str], labels: Sequence[str] = ()) -> DataFrame:
@@ -103,7 +122,7 @@ def node_table(model: DecisionTreeRegressionModel, slots: Sequence[str], labels:
     path = shared_path(spark, "segment-tree")
     model.write().overwrite().save(path)
     raw = spark.read.parquet(f"{path}/data")
-    walked = spark.sql(_HEAP_WALK, raw=raw)
+    walked = raw.join(_heap_walk(raw, model.depth), "id")
     p = F.col("impurityStats")[1] / F.col("impurityStats")[0]
     is_leaf = F.col("leftChild") < 0
     pred = F.when(F.col("p") > 0.5, F.lit(1.0)).otherwise(F.lit(0.0))
