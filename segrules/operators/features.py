@@ -3,8 +3,8 @@
 Category indexes follow ``StringIndexer(stringOrderType='frequencyDesc')``:
 most frequent value gets 0, ties break alphabetically.  The SQL form of the
 same index is ``row_number() over (partition by feature order by count desc,
-value) - 1`` on the aggregated counts, whose groups hold one row per distinct
-value (the size of the model's label list), never raw rows.
+value) - 1`` on the aggregated counts; here it is computed with one
+distributed sort so no task holds a whole feature's values.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from segrules.operators.reduce import _stacked
+from segrules.operators.reduce import _stacked, global_row_number
 from segrules.sources.tables import quote_name
 
 INDEX_SUFFIX = "_index"
@@ -36,12 +36,22 @@ def split_columns(df: DataFrame, response: str | None = None) -> tuple[list[str]
 
 
 def category_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(feature, value, count, idx): frequency-descending index per column, ties alphabetical."""
+    """(feature, value, count, idx): frequency-descending index per column, ties alphabetical.
+
+    The distinct values are ranked with one distributed sort over (feature,
+    count desc, value) rather than a window per feature, so a column with
+    millions of distinct values is spread over many tasks; each feature's
+    index is its global position minus the feature's first position (one
+    row per feature, broadcast).
+    """
     counted = _stacked(df, columns).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
         F.count(F.lit(1)).alias("count")
     )
-    w = Window.partitionBy("feature").orderBy(F.desc("count"), F.asc("value"))
-    return counted.withColumn("idx", (F.row_number().over(w) - 1).cast("double"))
+    ranked = global_row_number(counted, [F.asc("feature"), F.desc("count"), F.asc("value")], "__pos")
+    first = ranked.groupBy("feature").agg(F.min("__pos").alias("__first"))
+    return ranked.join(F.broadcast(first), "feature").select(
+        "feature", "value", "count", (F.col("__pos") - F.col("__first")).cast("double").alias("idx")
+    )
 
 
 def category_lookup(indexed: DataFrame, columns: Sequence[str]) -> DataFrame:
