@@ -141,6 +141,14 @@ def continuous_vector(col: str) -> F.Column:
     return array_to_vector(vector_to_array(F.col(col)))
 
 
+def plain_vector(slots: Sequence[str]) -> F.Column:
+    """Dense vector of the slot columns, without ML attributes (all slots continuous).
+
+    Equal to the assembled ``features`` vector slot by slot, built in one step.
+    """
+    return array_to_vector(F.array(*[F.col(quote_name(s)).cast("double") for s in slots]))
+
+
 def slot_names(df: DataFrame, col: str = "features") -> list[str]:
     """Slot names from the vector's ML attribute metadata, ordered by slot index."""
     attrs = df.schema[col].metadata.get("ml_attr", {}).get("attrs", {})

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorIndexer
@@ -62,7 +63,13 @@ def random_forest_importance(
     checkpoint_root(df.sparkSession)
     if seed is not None:
         params["seed"] = seed
-    model = Pipeline(stages=[indexer, RandomForestClassifier(**params)]).fit(fm.data)
+    # Kept for the fit: the indexer pass and the forest's first passes read it
+    # before MLlib caches its binned points.
+    train = fm.data.select(fm.label_col, "features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = Pipeline(stages=[indexer, RandomForestClassifier(**params)]).fit(train)
+    finally:
+        train.unpersist()
     names = slot_names(fm.data, "features")
     weights = model.stages[-1].featureImportances.toArray()
     rows = [(re.sub(f"{INDEX_SUFFIX}$", "", n), float(w)) for n, w in zip(names, weights)]

@@ -23,7 +23,9 @@ from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegre
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from segrules.operators.features import FeatureMatrix, continuous_vector, feature_matrix
+from pyspark import StorageLevel
+
+from segrules.operators.features import FeatureMatrix, feature_matrix, plain_vector
 from segrules.session import shared_path
 
 PLAIN_FEATURES = "features_plain"
@@ -40,7 +42,7 @@ class SegmentTree:
     @property
     def data(self) -> DataFrame:
         """Indexed input with the plain feature vector the tree was fit on."""
-        return self.fm.data.withColumn(PLAIN_FEATURES, continuous_vector("features"))
+        return self.fm.data.withColumn(PLAIN_FEATURES, plain_vector(self.fm.slots))
 
     @property
     def leaves(self) -> DataFrame:
@@ -60,7 +62,12 @@ def fit_segment_tree(
 ) -> SegmentTree:
     """Index, assemble and fit; returns the model with its node table."""
     fm = feature_matrix(df, response, features=features, all_categorical=all_categorical, keep=keep)
-    train = fm.data.withColumn(PLAIN_FEATURES, continuous_vector("features"))
+    # The fit reads its input several times before MLlib caches its own
+    # binned points (metadata, split candidates, first level), so the narrow
+    # (label, vector) frame is kept for the duration of the fit.
+    train = fm.data.select(F.col(fm.label_col), plain_vector(fm.slots).alias(PLAIN_FEATURES)).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     reg = DecisionTreeRegressor(
         featuresCol=PLAIN_FEATURES,
         labelCol=fm.label_col,
@@ -71,7 +78,10 @@ def fit_segment_tree(
         seed=seed,
         leafCol=LEAF_COL,
     )
-    model = reg.fit(train)
+    try:
+        model = reg.fit(train)
+    finally:
+        train.unpersist()
     nodes = node_table(model, fm.slots, fm.response_labels)
     return SegmentTree(fm=fm, model=model, nodes=nodes, max_depth=max_depth)
 
