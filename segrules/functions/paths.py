@@ -38,14 +38,40 @@ def normalize_separators(c: Column | str) -> Column:
     return out
 
 
+# Character classes of the two patterns above (head part, tail part).
+_PAIR_HEAD = _PAIR_TAIL = r"[\s\p{P}\w<>=+]"
+_PAGE_HEAD, _PAGE_TAIL = r"[\s\p{P}\w<>=]", r"[\s\p{P}\w]"
+# Line terminators outside both classes; Java's ``$`` also matches before one of them at the end.
+_FINAL_TERMINATOR = "[\u0085\u2028\u2029]\\z"
+
+
+def _trailing_match(c: Column, head: str, tail: str) -> Column:
+    """Same result as ``regexp_extract(c, '(head*\\|?tail+$)', 1)``, in linear time.
+
+    That pattern is searched from every start position with backtracking
+    (super-linear in the string length).  Its match always runs to the end,
+    so it is the longest suffix of the form ``head* |? tail+``: reversed, the
+    longest prefix ``tail+ |? head*``, which an anchored greedy match finds in
+    one pass.
+    """
+    core = F.regexp_replace(c, _FINAL_TERMINATOR, "")
+    return F.reverse(F.regexp_extract(F.reverse(core), f"^({tail}+\\|?{head}*)", 1))
+
+
 def last_pipe_pair(c: Column | str) -> Column:
-    """Trailing ``a|b`` pair (``a|b|c|d`` -> ``c|d``); ``""`` when nothing matches."""
-    return F.regexp_extract(_col(c), LAST_PIPE_PAIR, 1)
+    """Trailing ``a|b`` pair (``a|b|c|d`` -> ``c|d``); ``""`` when nothing matches.
+
+    Equal to ``regexp_extract(c, LAST_PIPE_PAIR, 1)``.
+    """
+    return _trailing_match(_col(c), _PAIR_HEAD, _PAIR_TAIL)
 
 
 def page_name_tail(c: Column | str) -> Column:
-    """The landing-page variant of :func:`last_pipe_pair` (narrower classes)."""
-    return F.regexp_extract(_col(c), PAGE_NAME_TAIL, 1)
+    """The landing-page variant of :func:`last_pipe_pair` (narrower classes).
+
+    Equal to ``regexp_extract(c, PAGE_NAME_TAIL, 1)``.
+    """
+    return _trailing_match(_col(c), _PAGE_HEAD, _PAGE_TAIL)
 
 
 def strip_leading_non_letters(c: Column | str) -> Column:

@@ -9,9 +9,9 @@
   categories, parent-scope rules with the deepest condition per feature,
   float percent, and no report for trees with three leaves or fewer.
 
-The working set is checkpointed into the shared folder once cleaned and
-reduced: model fitting makes many passes, and a lost executor then re-reads
-the checkpoint instead of recomputing the scan and the reductions.
+The working set is checkpointed into the shared folder once cleaned: the
+top-N count pass and the model fits make several passes over it, and a lost
+executor then re-reads the checkpoint instead of recomputing the scan.
 """
 
 from __future__ import annotations
@@ -52,12 +52,21 @@ class TreeParams:
     seed: int = 42
 
 
-def prepare(df: DataFrame, path_column: str | None, reduce_caps: Mapping[str, int]) -> DataFrame:
-    """Drop incomplete rows, clean the path column, collapse long tails."""
+def clean(df: DataFrame, path_column: str | None) -> DataFrame:
+    """Drop incomplete rows and clean the path column."""
     out = df.na.drop("any")
     if path_column:
         out = out.withColumn(path_column, clean_path(F.col(quote_name(path_column))))
-    return reduce_topn_multi(out, {c: n for c, n in reduce_caps.items() if c in out.columns})
+    return out
+
+
+def reduce_long_tails(df: DataFrame, reduce_caps: Mapping[str, int]) -> DataFrame:
+    return reduce_topn_multi(df, {c: n for c, n in reduce_caps.items() if c in df.columns})
+
+
+def prepare(df: DataFrame, path_column: str | None, reduce_caps: Mapping[str, int]) -> DataFrame:
+    """Drop incomplete rows, clean the path column, collapse long tails."""
+    return reduce_long_tails(clean(df, path_column), reduce_caps)
 
 
 def segment_report(
@@ -71,9 +80,12 @@ def segment_report(
     exclude: Sequence[str] = (),
 ) -> DataFrame:
     """The whole pipeline: one report row per leaf of the fitted tree."""
-    work = prepare(df.drop(*exclude), path_column, reduce_caps)
+    work = clean(df.drop(*exclude), path_column)
     work = work.withColumn(response, F.col(quote_name(response)).try_cast("double")).na.drop("any")
-    work = cut_lineage(work)
+    # Cut before the reduction: the top-N count pass and every later fit read
+    # the checkpoint; the reduction itself is a broadcast join against the
+    # (cached, N-row) top lists applied on top of it.
+    work = reduce_long_tails(cut_lineage(work), reduce_caps)
     importance = random_forest_importance(
         work,
         response,
