@@ -103,7 +103,13 @@ def segment_report(
     return rule_report(fitted, scope="full", merge="all", style="print", min_leaves=2)
 
 
-def importance_job(df: DataFrame, columns: Sequence[str], response: str, forest: ForestParams = ForestParams()) -> DataFrame:
+# The importance job sets no depth, so the forest runs at Spark's default depth 5.
+IMPORTANCE_FOREST = ForestParams(max_depth=5)
+
+
+def importance_job(
+    df: DataFrame, columns: Sequence[str], response: str, forest: ForestParams = IMPORTANCE_FOREST
+) -> DataFrame:
     """Importance table of the listed columns, every one indexed as a category."""
     work = project_columns(df, list(dict.fromkeys([*columns, response]))).na.drop("any")
     return random_forest_importance(
