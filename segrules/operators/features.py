@@ -136,11 +136,6 @@ def feature_matrix(
     )
 
 
-def continuous_vector(col: str) -> F.Column:
-    """The same vector without ML attributes, so every slot is treated as continuous."""
-    return array_to_vector(vector_to_array(F.col(col)))
-
-
 def plain_vector(slots: Sequence[str]) -> F.Column:
     """Dense vector of the slot columns, without ML attributes (all slots continuous).
 
