@@ -85,13 +85,24 @@ def funnel_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+# Null marker in CSV files: with the default (empty) marker an empty string
+# and a null both read back as null.
+CSV_NULL = "\\N"
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, sep: str = ",") -> DataFrame:
+def write_csv(df: DataFrame, path: str, sep: str = ",", null_value: str = CSV_NULL) -> None:
+    df.write.mode("overwrite").option("header", True).option("sep", sep).option("nullValue", null_value).csv(path)
+
+
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: StructType | str | None = None,
+    sep: str = ",",
+    null_value: str = CSV_NULL,
+) -> DataFrame:
     """CSV with a header row.  Pass a schema in production; inference costs a pass."""
-    reader = spark.read.option("header", True).option("sep", sep)
+    reader = spark.read.option("header", True).option("sep", sep).option("nullValue", null_value)
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", True).csv(path)
