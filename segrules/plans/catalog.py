@@ -333,8 +333,13 @@ def q_rules_degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fx = _fixture(spark, sf_dir).withColumnRenamed("first_page", "first_hit_pagename").withColumnRenamed(
-        "path", "post_prop11_concat"
+    # Scan stage as in the reference: the landing page is trimmed to its last
+    # ``|`` pair, the response cast to double (inside the pipeline).
+    fx = (
+        _fixture(spark, sf_dir)
+        .withColumn("first_hit_pagename", paths.page_name_tail("first_page"))
+        .drop("first_page")
+        .withColumnRenamed("path", "post_prop11_concat")
     )
     return pipelines.segment_report(
         fx,
