@@ -31,6 +31,7 @@ def random_forest_importance(
     all_categorical: bool = False,
     max_memory_mb: int = 1024,
     checkpoint_interval: int = 10,
+    subsampling_rate: float = 1.0,
 ) -> DataFrame:
     """(feature_name, importance) from a random forest, most important first.
 
@@ -46,6 +47,8 @@ def random_forest_importance(
     the data.  Node ids per row are cached and checkpointed into the shared
     folder every ``checkpoint_interval`` iterations, which keeps lineage short
     for deep forests and lets a lost executor resume from the checkpoint.
+    ``subsampling_rate`` below 1 bags each tree on that share of the rows
+    (default 1.0: every tree sees a bootstrap sample of all rows).
     """
     fm = feature_matrix(df, response, features=features, all_categorical=all_categorical)
     indexer = VectorIndexer(inputCol="features", outputCol="features" + INDEX_SUFFIX, maxCategories=max_categories)
@@ -59,6 +62,7 @@ def random_forest_importance(
         maxMemoryInMB=max_memory_mb,
         cacheNodeIds=True,
         checkpointInterval=checkpoint_interval,
+        subsamplingRate=subsampling_rate,
     )
     checkpoint_root(df.sparkSession)
     if seed is not None:

@@ -43,6 +43,7 @@ class ForestParams:
     impurity: str = "gini"
     max_categories: int = 20
     seed: int | None = None
+    subsampling_rate: float = 1.0
 
 
 @dataclass(frozen=True)
@@ -95,6 +96,7 @@ def segment_report(
         impurity=forest.impurity,
         max_categories=forest.max_categories,
         seed=forest.seed,
+        subsampling_rate=forest.subsampling_rate,
     )
     names = top_feature_names(importance, num_features)
     fitted = fit_segment_tree(
@@ -122,6 +124,7 @@ def importance_job(
         max_categories=10,
         seed=forest.seed,
         all_categorical=True,
+        subsampling_rate=forest.subsampling_rate,
     )
 
 
