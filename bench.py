@@ -56,7 +56,9 @@ def timed(fn) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, partitions=int(os.environ.get("BENCH_PARTITIONS", "16")), app="segrules-bench")
+    event_log = os.environ.get("BENCH_EVENT_LOG")  # read back by tools/job_times.py
+    extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_log} if event_log else None
+    spark = local_session(cpus, partitions=int(os.environ.get("BENCH_PARTITIONS", "16")), app="segrules-bench", extra=extra)
     # Warm the JVM once, outside the timings: parquet readers on the bench
     # data, and the ML code paths on the smallest data set.
     run(funnel_fixture(spark, sf_dir))
@@ -64,7 +66,11 @@ def main() -> None:
     if os.path.isdir(warm_dir):
         run(QUERIES["rule_report"](spark, warm_dir))
 
-    times = {k: timed(lambda k=k: run(QUERIES[k](spark, sf_dir))) for k in HEADLINE}
+    times = {}
+    for k in HEADLINE:
+        spark.sparkContext.setJobGroup(k, k)
+        times[k] = timed(lambda k=k: run(QUERIES[k](spark, sf_dir)))
+    spark.sparkContext.setJobGroup("compare", "compare")
 
     compare = {}
     tree = _tree(spark, sf_dir)

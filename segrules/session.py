@@ -45,10 +45,15 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def local_session(cores: int | str = "*", partitions: int = 8, app: str = "segrules") -> SparkSession:
+def local_session(
+    cores: int | str = "*", partitions: int = 8, app: str = "segrules", extra: dict[str, str] | None = None
+) -> SparkSession:
     """Session for tests and the local bench; production callers pass their own."""
+    builder = SparkSession.builder
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
