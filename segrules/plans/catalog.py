@@ -341,11 +341,13 @@ def q_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         .drop("first_page")
         .withColumnRenamed("path", "post_prop11_concat")
     )
-    return pipelines.segment_report(
-        fx,
-        RESPONSE,
-        forest=pipelines.ForestParams(num_trees=20, max_depth=5, seed=7),
-        exclude=TAGS,
+    return _report_rounded(
+        pipelines.segment_report(
+            fx,
+            RESPONSE,
+            forest=pipelines.ForestParams(num_trees=20, max_depth=5, seed=7),
+            exclude=TAGS,
+        )
     )
 
 

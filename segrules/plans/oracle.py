@@ -2,13 +2,15 @@
 
 The tables ``lineitem orders customer nation part pages events`` are views
 over the driver's parquet files.  Category indexes, value lists, rule text,
-coverages and leaf statistics are recomputed here from those tables.  The one
-frozen input is the shape of the depth-3 tree fit on the sf0.01 funnel view
-(which feature and threshold each inner node splits on), listed in
-``_SPLITS``; the leaf assignment below follows those splits.
-
-Queries without an entry here (random-forest importance, the full pipelines,
-the random split) are checked by invariants in the tests instead.
+coverages and leaf statistics are recomputed here from those tables.  The only
+frozen inputs are tree shapes fit on the sf0.01 funnel view (which column and
+threshold each inner node splits on): the depth-3 tree of the rule queries
+(``_SPLITS``) and the depth-5 tree of the whole pipeline
+(``_SEGMENT_SPLITS``); the leaf assignment follows those splits.
+
+Queries without an entry here (random-forest importance, the all-categorical
+rule job that depends on it, the random split) are checked by invariants in
+the tests instead.
 """
 
 from __future__ import annotations
@@ -48,9 +50,9 @@ def _clean(x: str) -> str:
     return f"regexp_replace(regexp_extract({_normalize(_first_step(x))}, '{_LAST_PIPE_PAIR}', 1), '^[^a-zA-Z]*', '')"
 
 
-def _idx_block(columns: dict[str, str]) -> str:
+def _idx_block(columns: dict[str, str], src: str = "fx") -> str:
     """Frequency-descending index per feature, ties alphabetical (0-based, double)."""
-    parts = [f"SELECT '{name}' AS feature, {expr} AS value, count(*) AS cnt FROM fx GROUP BY 1, 2" for name, expr in columns.items()]
+    parts = [f"SELECT '{name}' AS feature, {expr} AS value, count(*) AS cnt FROM {src} GROUP BY 1, 2" for name, expr in columns.items()]
     union = "\n    UNION ALL ".join(parts)
     return f"""idx AS (
   SELECT feature, value, cnt,
@@ -176,6 +178,86 @@ def _reduced(col: str, top: str) -> str:
     return f"CASE WHEN {top}.kept IS NULL THEN 'Other' WHEN {col} = '' THEN 'Unknown' ELSE {col} END"
 
 
+# Inner nodes of the depth-5 tree the whole pipeline fits on the
+# sf0.01 funnel view (node, source column, threshold); all nine candidate
+# features are kept (fewer than the 14 selected), so the forest's ranking does
+# not change the tree.
+_SEGMENT_SPLITS = [
+    (1, "quantity", 30.5), (2, "discount", 0.055), (3, "priority", 1.5), (4, "quantity", 25.5),
+    (5, "p_type", 2.5), (6, "discount", 0.055), (7, "priority", 2.5), (9, "nation", 5.5),
+    (10, "quantity", 25.5), (11, "p_type", 3.5), (12, "segment", 0.5), (13, "p_type", 2.5),
+    (15, "priority", 3.5), (18, "p_type", 2.5), (19, "nation", 20.5), (21, "first_hit_pagename", 14.5),
+    (22, "quantity", 25.5), (23, "quantity", 25.5), (24, "quantity", 33.5), (25, "nation", 19.5),
+    (26, "quantity", 42.5), (27, "p_type", 3.5), (30, "discount", 0.055),
+]
+_SEGMENT_CATS = ["priority", "p_type", "segment", "nation", "p_brand", "first_hit_pagename", "post_prop11_concat"]
+_SEGMENT_NUMS = ["quantity", "discount"]
+_SEGMENT_DEPTH = 5
+
+
+def _segment_report_sql() -> str:
+    splits = ",\n  ".join(
+        f"({n}, '{c}', {t!r}::DOUBLE, {'true' if c in _SEGMENT_CATS else 'false'})" for n, c, t in _SEGMENT_SPLITS
+    )
+    value = "CASE s.col " + " ".join(
+        [f"WHEN '{c}' THEN w.{c}" for c in _SEGMENT_NUMS] + [f"WHEN '{c}' THEN w.{c}_i" for c in _SEGMENT_CATS]
+    ) + " END"
+    walk = ["w0 AS (SELECT r.*, 1 AS n FROM r)"]
+    for k in range(1, _SEGMENT_DEPTH + 1):
+        walk.append(
+            f"w{k} AS (SELECT w.* EXCLUDE (n), CASE WHEN s.node IS NULL THEN w.n WHEN {value} <= s.threshold "
+            f"THEN 2 * w.n ELSE 2 * w.n + 1 END AS n FROM w{k - 1} w LEFT JOIN splits s ON s.node = w.n)"
+        )
+    joins = "\n".join(
+        f"JOIN idx i_{c} ON i_{c}.feature = '{c}' AND i_{c}.value = red.{c}" for c in _SEGMENT_CATS
+    )
+    idx_cols = ", ".join(f"i_{c}.idx AS {c}_i" for c in _SEGMENT_CATS)
+    depth = "CASE WHEN node < 2 THEN 0 WHEN node < 4 THEN 1 WHEN node < 8 THEN 2 WHEN node < 16 THEN 3 WHEN node < 32 THEN 4 ELSE 5 END"
+    return f"""WITH {_FX},
+base AS (
+  SELECT p_type, p_brand, segment, nation, priority, quantity, discount,
+         regexp_extract(first_page, '{_PAGE_NAME_TAIL}', 1) AS fh, {_clean('path')} AS pp,
+         CAST(converted AS DOUBLE) AS y
+  FROM fx
+),
+t1 AS ({_REDUCE_TOP.format(expr='fh', src='base', n=15)}),
+t2 AS ({_REDUCE_TOP.format(expr='pp', src='base', n=25)}),
+red AS (
+  SELECT b.*, {_reduced('b.fh', 't1')} AS first_hit_pagename, {_reduced('b.pp', 't2')} AS post_prop11_concat
+  FROM base b LEFT JOIN t1 ON b.fh IS NOT DISTINCT FROM t1.value LEFT JOIN t2 ON b.pp IS NOT DISTINCT FROM t2.value
+),
+{_idx_block({c: c for c in _SEGMENT_CATS}, src="red")},
+r AS (SELECT red.*, {idx_cols} FROM red
+{joins}),
+splits(node, col, threshold, nominal) AS (VALUES
+  {splits}
+),
+{", ".join(walk)},
+seg AS (SELECT n AS leaf, y FROM w{_SEGMENT_DEPTH}),
+leaves AS (SELECT DISTINCT leaf AS node, {depth.replace('node', 'leaf')} AS depth FROM seg),
+levels(level) AS (VALUES (1), (2), (3), (4), (5)),
+conds AS (
+  SELECT l.node, v.level, s.col, s.threshold, s.nominal,
+         CASE WHEN (l.node >> (l.depth - v.level)) % 2 = 0 THEN '<=' ELSE '>' END AS op
+  FROM leaves l JOIN levels v ON v.level <= l.depth JOIN splits s ON s.node = l.node >> (l.depth - v.level + 1)
+),
+ctext AS (
+  SELECT c.*,
+    CASE WHEN c.nominal THEN upper(c.col) || ' : ["' || coalesce((SELECT string_agg(i.value, '","' ORDER BY i.idx) FROM idx i
+             WHERE i.feature = c.col AND CASE WHEN c.op = '<=' THEN i.idx <= c.threshold ELSE i.idx > c.threshold END), '') || '"]'
+         ELSE upper(c.col) || ' ' || c.op || ' ' || CAST(c.threshold AS VARCHAR) END AS ptxt
+  FROM conds c
+),
+rules AS (SELECT node, string_agg(ptxt, '  &&  ' ORDER BY level DESC) AS rules FROM ctext GROUP BY node),
+lstat AS (SELECT leaf AS node, count(*) AS coverage, avg(y) AS p FROM seg GROUP BY leaf),
+tot AS (SELECT count(*) AS total FROM red)
+SELECT CAST(s.node AS INTEGER) AS node, {_pred('s.p')} AS prediction, {_prob('s.p')} AS probability, r.rules,
+       CAST(s.coverage AS BIGINT) AS coverage, {_freq('s.coverage', 't.total')} AS frequency,
+       {_freq_pct('s.coverage', 't.total')} AS frequency_pct
+FROM lstat s JOIN rules r ON r.node = s.node, tot t
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "scan_filter_cast": """
 SELECT o_orderkey, o_totalprice, priority_level FROM (
@@ -366,6 +448,7 @@ FROM seg g JOIN lstat s ON s.node = g.leaf
        {_freq_pct('s.coverage', 't.total')} AS frequency_pct
 FROM lstat s JOIN rules r ON r.node = s.node, tot t
 """,
+    "segment_report": _segment_report_sql(),
     "rules_degenerate": """
 SELECT * FROM (VALUES ('single_leaf', CAST(0 AS BIGINT)), ('depth1_min4', CAST(0 AS BIGINT)), ('depth1_min2', CAST(2 AS BIGINT)))
   AS t(scenario, report_rows)
