@@ -5,12 +5,12 @@ over the driver's parquet files.  Category indexes, value lists, rule text,
 coverages and leaf statistics are recomputed here from those tables.  The only
 frozen inputs are tree shapes fit on the sf0.01 funnel view (which column and
 threshold each inner node splits on): the depth-3 tree of the rule queries
-(``_SPLITS``) and the depth-5 tree of the whole pipeline
-(``_SEGMENT_SPLITS``); the leaf assignment follows those splits.
+(``_SPLITS``), the depth-5 tree of the whole pipeline (``_SEGMENT_SPLITS``)
+and the depth-5 all-categorical tree (``_CATEGORICAL_SPLITS``); the leaf
+assignment follows those splits.
 
-Queries without an entry here (random-forest importance, the all-categorical
-rule job that depends on it, the random split) are checked by invariants in
-the tests instead.
+Queries without an entry here (random-forest importance, the random split)
+are checked by invariants in the tests instead.
 """
 
 from __future__ import annotations
@@ -258,6 +258,80 @@ FROM lstat s JOIN rules r ON r.node = s.node, tot t
 """
 
 
+# Inner nodes of the depth-5 tree the all-categorical rule job
+# fits on the sf0.01 funnel view (node, source column, threshold on its
+# frequency index); all six candidate features are kept.
+_CATEGORICAL_SPLITS = [
+    (1, "priority", 1.5), (2, "p_type", 2.5), (3, "quantity", 23.5), (4, "quantity", 23.5),
+    (5, "p_type", 3.5), (6, "quantity", 18.5), (7, "priority", 2.5), (8, "quantity", 18.5),
+    (9, "quantity", 42.5), (10, "discount", 5.5), (11, "quantity", 23.5), (12, "quantity", 9.5),
+    (13, "p_type", 2.5), (14, "quantity", 42.5), (15, "priority", 3.5), (16, "quantity", 16.5),
+    (18, "quantity", 24.5), (19, "quantity", 44.5), (20, "discount", 0.5), (21, "discount", 8.5),
+    (22, "quantity", 18.5), (23, "quantity", 39.5), (24, "p_type", 2.5), (25, "quantity", 11.5),
+    (27, "p_type", 3.5), (28, "quantity", 40.5), (29, "quantity", 44.5), (30, "p_type", 2.5),
+    (31, "quantity", 42.5),
+]
+_CATEGORICAL_FEATURES = ["quantity", "discount", "priority", "p_type", "segment", "nation"]
+
+
+def _categorical_rules_sql() -> str:
+    feats = _CATEGORICAL_FEATURES
+    splits = ",\n  ".join(f"({n}, '{c}', {t!r}::DOUBLE)" for n, c, t in _CATEGORICAL_SPLITS)
+    value = "CASE s.col " + " ".join(f"WHEN '{c}' THEN w.{c}_i" for c in feats) + " END"
+    walk = ["w0 AS (SELECT r.*, 1 AS n FROM r)"]
+    for k in range(1, _SEGMENT_DEPTH + 1):
+        walk.append(
+            f"w{k} AS (SELECT w.* EXCLUDE (n), CASE WHEN s.node IS NULL THEN w.n WHEN {value} <= s.threshold "
+            f"THEN 2 * w.n ELSE 2 * w.n + 1 END AS n FROM w{k - 1} w LEFT JOIN splits s ON s.node = w.n)"
+        )
+    joins = "\n".join(f"JOIN idx i_{c} ON i_{c}.feature = '{c}' AND i_{c}.value = CAST(fx.{c} AS VARCHAR)" for c in feats)
+    idx_cols = ", ".join(f"i_{c}.idx AS {c}_i" for c in feats)
+    unpivot = "\n    UNION ALL ".join(f"SELECT rid, '{c}' AS col, {c}_i AS idx FROM w" for c in feats)
+    depth = "CASE WHEN leaf < 2 THEN 0 WHEN leaf < 4 THEN 1 WHEN leaf < 8 THEN 2 WHEN leaf < 16 THEN 3 WHEN leaf < 32 THEN 4 ELSE 5 END"
+    side = "CASE WHEN {a}.op = '<=' THEN {b}.idx <= {a}.threshold ELSE {b}.idx > {a}.threshold END"
+    return f"""WITH {_FX},
+{_idx_block({c: f"CAST({c} AS VARCHAR)" for c in feats})},
+r AS (SELECT row_number() OVER () AS rid, fx.converted AS y, {idx_cols} FROM fx
+{joins}),
+splits(node, col, threshold) AS (VALUES
+  {splits}
+),
+{", ".join(walk)},
+w AS (SELECT * FROM w{_SEGMENT_DEPTH}),
+leaves AS (SELECT DISTINCT n AS node, {depth.replace('leaf', 'n')} AS depth FROM w),
+levels(level) AS (VALUES (1), (2), (3), (4), (5)),
+conds AS (
+  SELECT l.node, v.level, s.col, s.threshold,
+         CASE WHEN (l.node >> (l.depth - v.level)) % 2 = 0 THEN '<=' ELSE '>' END AS op
+  FROM leaves l JOIN levels v ON v.level < l.depth JOIN splits s ON s.node = l.node >> (l.depth - v.level + 1)
+),
+merged AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node, col ORDER BY level DESC) AS k FROM conds) WHERE k = 1
+),
+ctext AS (
+  SELECT m.*, '(' || m.col || ' in (' || coalesce((SELECT string_agg(i.value, ',' ORDER BY i.idx) FROM idx i
+           WHERE i.feature = m.col AND {side.format(a='m', b='i')}), '') || '))' AS txt
+  FROM merged m
+),
+rules AS (SELECT node, string_agg(txt, ' and ' ORDER BY level) AS rules, count(*) AS n_conds FROM ctext GROUP BY node),
+long AS (
+    {unpivot}
+),
+hits AS (
+  SELECT m.node, l.rid FROM merged m JOIN long l ON l.col = m.col AND {side.format(a='m', b='l')}
+  GROUP BY m.node, l.rid
+  HAVING count(*) = (SELECT n_conds FROM rules q WHERE q.node = m.node)
+),
+cov AS (SELECT node, count(*) AS coverage FROM hits GROUP BY node),
+lstat AS (SELECT n AS node, avg(y) AS p FROM w GROUP BY n),
+tot AS (SELECT count(*) AS total FROM fx)
+SELECT CAST(q.node AS INTEGER) AS node, {_pred('s.p')} AS prediction, {_prob('s.p')} AS probability, q.rules,
+       CAST(coalesce(c.coverage, 0) AS BIGINT) AS coverage, {_freq('coalesce(c.coverage, 0)', 't.total')} AS frequency,
+       {_freq_pct('coalesce(c.coverage, 0)', 't.total')} AS frequency_pct
+FROM rules q JOIN lstat s ON s.node = q.node LEFT JOIN cov c ON c.node = q.node, tot t
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "scan_filter_cast": """
 SELECT o_orderkey, o_totalprice, priority_level FROM (
@@ -449,6 +523,7 @@ FROM seg g JOIN lstat s ON s.node = g.leaf
 FROM lstat s JOIN rules r ON r.node = s.node, tot t
 """,
     "segment_report": _segment_report_sql(),
+    "rule_report_all_categorical": _categorical_rules_sql(),
     "rules_degenerate": """
 SELECT * FROM (VALUES ('single_leaf', CAST(0 AS BIGINT)), ('depth1_min4', CAST(0 AS BIGINT)), ('depth1_min2', CAST(2 AS BIGINT)))
   AS t(scenario, report_rows)
