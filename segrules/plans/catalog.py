@@ -52,8 +52,13 @@ def _fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel_fixture(spark, sf_dir)
 
 
+def _fixture_cut(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The funnel view's columns a multi-pass query needs, written once to the shared folder."""
+    return cut_lineage(_fixture(spark, sf_dir).select(*columns))
+
+
 def _tree(spark: SparkSession, sf_dir: str, depth: int = TREE_DEPTH) -> SegmentTree:
-    fx = cut_lineage(_fixture(spark, sf_dir).select(*TAGS, *TREE_FEATURES, RESPONSE))
+    fx = _fixture_cut(spark, sf_dir, *TAGS, *TREE_FEATURES, RESPONSE)
     return fit_segment_tree(fx, RESPONSE, features=TREE_FEATURES, max_depth=depth, max_bins=64, seed=42, keep=TAGS)
 
 
@@ -171,7 +176,7 @@ def q_category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_category_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fm = feat.feature_matrix(_fixture(spark, sf_dir), RESPONSE, features=TREE_FEATURES)
+    fm = feat.feature_matrix(_fixture_cut(spark, sf_dir, *TREE_FEATURES, RESPONSE), RESPONSE, features=TREE_FEATURES)
     return feat.category_lookup(fm.data, CATEGORICAL)
 
 
@@ -186,14 +191,14 @@ def _matrix_columns(fm: feat.FeatureMatrix) -> list[F.Column]:
 
 
 def q_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fx = _fixture(spark, sf_dir).select(*TAGS, *TREE_FEATURES, RESPONSE)
+    fx = _fixture_cut(spark, sf_dir, *TAGS, *TREE_FEATURES, RESPONSE)
     fm = feat.feature_matrix(fx, RESPONSE, features=TREE_FEATURES)
     tagged = fm.model.transform(fx).withColumn("__arr", feat.vector_to_array(F.col("features")))
     return tagged.select(*TAGS, *_matrix_columns(fm))
 
 
 def q_feature_matrix_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fx = _fixture(spark, sf_dir).select(*TAGS, *TREE_FEATURES, RESPONSE)
+    fx = _fixture_cut(spark, sf_dir, *TAGS, *TREE_FEATURES, RESPONSE)
     fm = feat.feature_matrix(fx, RESPONSE, features=TREE_FEATURES, all_categorical=True)
     strings = fx.select(*TAGS, *[F.col(c).cast("string").alias(c) for c in [*TREE_FEATURES, RESPONSE]])
     tagged = fm.model.transform(strings).withColumn("__arr", feat.vector_to_array(F.col("features")))
@@ -201,17 +206,17 @@ def q_feature_matrix_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_categorical_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fm = feat.feature_matrix(_fixture(spark, sf_dir), RESPONSE, features=TREE_FEATURES)
+    fm = feat.feature_matrix(_fixture_cut(spark, sf_dir, *TREE_FEATURES, RESPONSE), RESPONSE, features=TREE_FEATURES)
     return feat.categorical_slots(fm, max_categories=10)
 
 
 def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fx = cut_lineage(_fixture(spark, sf_dir).select(*TREE_FEATURES, "nation", "p_brand", RESPONSE))
+    fx = _fixture_cut(spark, sf_dir, *TREE_FEATURES, "nation", "p_brand", RESPONSE)
     return random_forest_importance(fx, RESPONSE, num_trees=20, max_depth=5, max_bins=60, seed=7)
 
 
 def _split_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    fx = _fixture(spark, sf_dir).select(*TREE_FEATURES, RESPONSE)
+    fx = _fixture_cut(spark, sf_dir, *TREE_FEATURES, RESPONSE)
     fm = feat.feature_matrix(fx, RESPONSE, features=TREE_FEATURES)
     return fm.data, fm.slots
 
@@ -319,7 +324,7 @@ def q_rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_rules_degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fx = _fixture(spark, sf_dir).select(*TREE_FEATURES, RESPONSE)
+    fx = _fixture_cut(spark, sf_dir, *TREE_FEATURES, RESPONSE)
     constant = fx.where(F.col(RESPONSE) == 1)
     single = fit_segment_tree(constant, RESPONSE, features=TREE_FEATURES, max_depth=TREE_DEPTH)
     stump = fit_segment_tree(fx, RESPONSE, features=TREE_FEATURES, max_depth=1)
@@ -353,7 +358,7 @@ def q_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_rule_report_all_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     # N covers all six candidates, so the forest's ranking cannot change the tree.
-    fx = _fixture(spark, sf_dir).select(*TREE_FEATURES, "nation", RESPONSE)
+    fx = _fixture_cut(spark, sf_dir, *TREE_FEATURES, "nation", RESPONSE)
     importance = pipelines.importance_job(
         fx, [*TREE_FEATURES, "nation"], RESPONSE, pipelines.ForestParams(num_trees=20, max_depth=5, seed=7)
     )
@@ -361,7 +366,7 @@ def q_rule_report_all_categorical(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def q_train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fx = _fixture(spark, sf_dir).select(*TAGS, RESPONSE)
+    fx = _fixture_cut(spark, sf_dir, *TAGS, RESPONSE)
     train, test = pipelines.train_test_split(fx, (0.6, 0.4), 11)
     return train.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("train").alias("part"), "rows").unionByName(
         test.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("test").alias("part"), "rows")
