@@ -45,3 +45,11 @@ def test_read_table_projects(spark):
     df = read_table(spark, SF_SMALL, "lineitem", ["l_orderkey", "l_quantity"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_replace_catalog_table(spark):
+    nation = read_table(spark, SF_SMALL, "nation")
+    name = "segrules_replace_probe"
+    assert replace_table(nation.where("n_regionkey = 1"), name).count() == nation.where("n_regionkey = 1").count()
+    assert replace_table(nation, name).count() == nation.count()
+    assert spark.table(name).count() == nation.count()
