@@ -118,7 +118,9 @@ def reduce_topn_multi(df: DataFrame, caps: Mapping[str, int] | Iterable[tuple[st
     caps = dict(caps)
     if not caps:
         return df
-    top = top_values(df, caps).select("feature", "value").cache()
+    # The N-row lists are written to the shared folder: a lost executor then
+    # re-reads them instead of repeating the counting pass over all rows.
+    top = cut_lineage(top_values(df, caps).select("feature", "value"), "top-values")
     out = df
     for i, (name, _) in enumerate(caps.items()):
         v, k = f"__top_v{i}", f"__top_k{i}"
