@@ -70,3 +70,23 @@ def test_select_top_features(spark):
     assert top_feature_names(imp, 3, "y") == ["b", "c", "a", "y"]
     pos = {r["feature_name"]: r["position"] for r in select_top_features(imp, 5, "y", drop_response=True).collect()}
     assert pos == {"b": 1, "c": 2, "a": 3, "d": 4, "y": 5}
+
+
+def test_inner_cuts_equal_split_search_on_node_rows(spark):
+    """Each inner node's split is the best gini cut over that node's rows."""
+    fx = funnel_fixture(spark, SF_ORACLE)
+    fm = feature_matrix(fx, RESPONSE, features=TREE_FEATURES)
+    data = fm.data.cache()
+    # The sf0.01 depth-3 tree's inner nodes (FIXTURES.md section 4).
+    nodes = {
+        2: ("quantity <= 30.5", ("discount", 0.055)),
+        3: ("quantity > 30.5", ("priority_index", 1.5)),
+        4: ("quantity <= 30.5 and discount <= 0.055", ("quantity", 25.5)),
+        5: ("quantity <= 30.5 and discount > 0.055", ("p_type_index", 2.5)),
+        6: ("quantity > 30.5 and priority_index <= 1.5", ("discount", 0.055)),
+        7: ("quantity > 30.5 and priority_index > 1.5", ("priority_index", 2.5)),
+    }
+    for node, (where, expected) in nodes.items():
+        best = split_search(data.where(where), RESPONSE, fm.slots).orderBy(F.desc("gain")).first()
+        assert (best["feature"], best["threshold"]) == expected, node
+    data.unpersist()
