@@ -338,12 +338,11 @@ def q_rules_degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Scan stage as in the reference: the landing page is trimmed to its last
-    # ``|`` pair, the response cast to double (inside the pipeline).
+    # As in the reference: the landing page is trimmed to its last ``|`` pair
+    # and the response cast to double (both inside the pipeline).
     fx = (
         _fixture(spark, sf_dir)
-        .withColumn("first_hit_pagename", paths.page_name_tail("first_page"))
-        .drop("first_page")
+        .withColumnRenamed("first_page", "first_hit_pagename")
         .withColumnRenamed("path", "post_prop11_concat")
     )
     return _report_rounded(
@@ -352,6 +351,7 @@ def q_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
             RESPONSE,
             forest=pipelines.ForestParams(num_trees=20, max_depth=5, seed=7),
             exclude=TAGS,
+            page_column="first_hit_pagename",
         )
     )
 

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segrules.functions.paths import clean_path
+from segrules.functions.paths import clean_path, page_name_tail
 from segrules.operators.importance import random_forest_importance, top_feature_names
 from segrules.operators.reduce import reduce_topn_multi
 from segrules.operators.report import rule_report
@@ -53,11 +53,19 @@ class TreeParams:
     seed: int = 42
 
 
-def clean(df: DataFrame, path_column: str | None) -> DataFrame:
-    """Drop incomplete rows and clean the path column."""
+def clean(df: DataFrame, path_column: str | None, page_column: str | None = None) -> DataFrame:
+    """Drop incomplete rows, then clean the path column and trim the page column.
+
+    Rows are dropped on the raw columns first: both derived columns are null
+    exactly when their input is, and a null filter written after them would be
+    pushed below the projection with the regular expressions copied into it
+    (evaluated twice per row).
+    """
     out = df.na.drop("any")
     if path_column:
         out = out.withColumn(path_column, clean_path(F.col(quote_name(path_column))))
+    if page_column:
+        out = out.withColumn(page_column, page_name_tail(F.col(quote_name(page_column))))
     return out
 
 
@@ -79,10 +87,16 @@ def segment_report(
     forest: ForestParams = ForestParams(),
     tree: TreeParams = TreeParams(),
     exclude: Sequence[str] = (),
+    page_column: str | None = None,
 ) -> DataFrame:
-    """The whole pipeline: one report row per leaf of the fitted tree."""
-    work = clean(df.drop(*exclude), path_column)
-    work = work.withColumn(response, F.col(quote_name(response)).try_cast("double")).na.drop("any")
+    """The whole pipeline: one report row per leaf of the fitted tree.
+
+    ``page_column`` (optional) is trimmed to its last ``|`` pair, as the
+    landing page is in the reference's scan.
+    """
+    work = clean(df.drop(*exclude), path_column, page_column)
+    # only the cast can add nulls here: a bad response value drops its row
+    work = work.withColumn(response, F.col(quote_name(response)).try_cast("double")).na.drop("any", subset=[response])
     # Cut before the reduction: the top-N count pass and every later fit read
     # the checkpoint; the reduction itself is a broadcast join against the
     # (cached, N-row) top lists applied on top of it.
