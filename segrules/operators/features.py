@@ -136,6 +136,29 @@ def feature_matrix(
     )
 
 
+def select_features(fm: FeatureMatrix, features: Sequence[str]) -> FeatureMatrix:
+    """The same fitted indexing restricted to ``features`` (numerics first, then categories).
+
+    A column's labels do not depend on which other columns were indexed with
+    it, so a second fit on a subset would only repeat a pass over the data.
+    """
+    numeric = {s for s in fm.slots if s not in fm.nominal}
+    nums = [c for c in features if c in numeric]
+    cats = [c for c in features if c in fm.labels]
+    missing = [c for c in features if c not in numeric and c not in fm.labels]
+    if missing:
+        raise ValueError(f"not in the feature matrix: {missing}")
+    return FeatureMatrix(
+        model=fm.model,
+        data=fm.data,
+        slots=nums + [c + INDEX_SUFFIX for c in cats],
+        nominal={c + INDEX_SUFFIX: c for c in cats},
+        labels={c: fm.labels[c] for c in cats},
+        label_col=fm.label_col,
+        response_labels=fm.response_labels,
+    )
+
+
 def plain_vector(slots: Sequence[str]) -> F.Column:
     """Dense vector of the slot columns, without ML attributes (all slots continuous).
 

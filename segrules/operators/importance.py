@@ -12,7 +12,7 @@ from pyspark.ml.feature import VectorIndexer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segrules.operators.features import INDEX_SUFFIX, feature_matrix, slot_names
+from segrules.operators.features import INDEX_SUFFIX, FeatureMatrix, feature_matrix, slot_names
 from segrules.session import checkpoint_root
 
 IMPORTANCE_SCHEMA = "feature_name string, importance double"
@@ -32,6 +32,7 @@ def random_forest_importance(
     max_memory_mb: int = 1024,
     checkpoint_interval: int = 10,
     subsampling_rate: float = 1.0,
+    fm: FeatureMatrix | None = None,
 ) -> DataFrame:
     """(feature_name, importance) from a random forest, most important first.
 
@@ -50,7 +51,8 @@ def random_forest_importance(
     ``subsampling_rate`` below 1 bags each tree on that share of the rows
     (default 1.0: every tree sees a bootstrap sample of all rows).
     """
-    fm = feature_matrix(df, response, features=features, all_categorical=all_categorical)
+    if fm is None:
+        fm = feature_matrix(df, response, features=features, all_categorical=all_categorical)
     indexer = VectorIndexer(inputCol="features", outputCol="features" + INDEX_SUFFIX, maxCategories=max_categories)
     params = dict(
         labelCol=fm.label_col,

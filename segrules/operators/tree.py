@@ -58,9 +58,15 @@ def fit_segment_tree(
     all_categorical: bool = False,
     min_instances_per_node: int = 1,
     keep: Sequence[str] = (),
+    fm: FeatureMatrix | None = None,
 ) -> SegmentTree:
-    """Index, assemble and fit; returns the model with its node table."""
-    fm = feature_matrix(df, response, features=features, all_categorical=all_categorical, keep=keep)
+    """Index, assemble and fit; returns the model with its node table.
+
+    Pass an already fitted ``fm`` (see ``features.select_features``) to skip
+    the indexing pass; ``df`` is then ignored.
+    """
+    if fm is None:
+        fm = feature_matrix(df, response, features=features, all_categorical=all_categorical, keep=keep)
     # The fit reads its input several times before MLlib caches its own
     # binned points (metadata, split candidates, first level), so the narrow
     # (label, vector) frame is kept for the duration of the fit.

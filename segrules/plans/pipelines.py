@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segrules.functions.paths import clean_path, page_name_tail
+from segrules.operators.features import feature_matrix, select_features
 from segrules.operators.importance import random_forest_importance, top_feature_names
 from segrules.operators.reduce import reduce_topn_multi
 from segrules.operators.report import rule_report
@@ -101,9 +102,12 @@ def segment_report(
     # the checkpoint; the reduction itself is a broadcast join against the
     # (cached, N-row) top lists applied on top of it.
     work = reduce_long_tails(cut_lineage(work), reduce_caps)
+    # one indexing pass serves the forest and the tree
+    fm = feature_matrix(work, response)
     importance = random_forest_importance(
         work,
         response,
+        fm=fm,
         num_trees=forest.num_trees,
         max_depth=forest.max_depth,
         max_bins=forest.max_bins,
@@ -114,7 +118,8 @@ def segment_report(
     )
     names = top_feature_names(importance, num_features)
     fitted = fit_segment_tree(
-        work, response, features=names, max_depth=tree.max_depth, max_bins=tree.max_bins, seed=tree.seed
+        work, response, max_depth=tree.max_depth, max_bins=tree.max_bins, seed=tree.seed,
+        fm=select_features(fm, names),
     )
     return rule_report(fitted, scope="full", merge="all", style="print", min_leaves=2)
 
