@@ -97,3 +97,17 @@ def test_coverage_is_one_aggregation(tree):
     cov = coverage_counts(tree.fm.data, [(r["node"], rule_predicate(r["rule_list"])) for r in rules])
     plan = cov._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") <= 2  # partial + final, one pass
+
+
+def test_select_features_gives_the_same_tree(fx):
+    from segrules.operators.features import feature_matrix, select_features
+
+    subset = ["priority", "quantity", "p_type", "discount"]
+    full = feature_matrix(fx, RESPONSE, features=[*TREE_FEATURES, "nation"])
+    view = select_features(full, subset)
+    fresh = feature_matrix(fx, RESPONSE, features=subset)
+    assert view.slots == fresh.slots and view.labels == fresh.labels and view.nominal == fresh.nominal
+    a = fit_segment_tree(fx, RESPONSE, max_depth=4, fm=view).nodes
+    b = fit_segment_tree(fx, RESPONSE, features=subset, max_depth=4).nodes
+    cols = ["node", "count", "feature_name", "threshold"]
+    assert sorted(a.select(cols).collect()) == sorted(b.select(cols).collect())
