@@ -49,7 +49,9 @@ def test_read_table_projects(spark):
 
 def test_replace_catalog_table(spark):
     nation = read_table(spark, SF_SMALL, "nation")
-    name = "segrules_replace_probe"
+    import uuid
+
+    name = f"segrules_replace_probe_{uuid.uuid4().hex[:8]}"  # the in-memory catalog does not outlive the session
     assert replace_table(nation.where("n_regionkey = 1"), name).count() == nation.where("n_regionkey = 1").count()
     assert replace_table(nation, name).count() == nation.count()
     assert spark.table(name).count() == nation.count()
