@@ -126,6 +126,8 @@ def rule_text(rule_list: Column | str, style: str = "print", rename: Mapping[str
     * ``sql``: root first, ``" and "`` between, ``(column in (a,b))`` /
       ``(column <= 30.5)``, no quotes or backticks.
     * ``html``: as ``sql`` with ``" <br> "`` between and display renames.
+    * ``where``: a Spark SQL predicate for ``DataFrame.where`` (quoted names,
+      escaped literals), root first.
     """
     rl = F.col(rule_list) if isinstance(rule_list, str) else rule_list
     if style == "print":
@@ -150,7 +152,23 @@ def rule_text(rule_list: Column | str, style: str = "print", rename: Mapping[str
             return F.when(c["nominal"], nominal).otherwise(numeric)
 
         return F.array_join(F.transform(rl, fmt), " and " if style == "sql" else " <br> ")
-    raise ValueError("style is one of print, sql, html")
+    if style == "where":
+
+        def literal(v: Column) -> Column:
+            escaped = F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+            return F.concat(F.lit("'"), escaped, F.lit("'"))
+
+        def fmt(c: Column) -> Column:
+            name = F.concat(F.lit("`"), F.replace(c["column"], F.lit("`"), F.lit("``")), F.lit("`"))
+            values = F.array_join(F.transform(c["values"], literal), ", ")
+            nominal = F.when(F.size(c["values"]) == 0, F.lit("false")).otherwise(
+                F.concat(F.lit("("), name, F.lit(" in ("), values, F.lit("))"))
+            )
+            numeric = F.concat(F.lit("("), name, F.lit(" "), c["op"], F.lit(" "), _threshold_text(c), F.lit(")"))
+            return F.when(c["nominal"], nominal).otherwise(numeric)
+
+        return F.coalesce(F.array_join(F.transform(rl, fmt), " and "), F.lit("true"))
+    raise ValueError("style is one of print, sql, html, where")
 
 
 def condition_predicate(cond: Row) -> Column:

@@ -273,8 +273,9 @@ def q_rule_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         rules.select(
             "node", F.lit("html").alias("style"), rule_text("rule_list", "html", {"p_type": "product_type"}).alias("rules")
         ),
+        rules.select("node", F.lit("where").alias("style"), rule_text("rule_list", "where").alias("rules")),
     ]
-    return styles[0].unionByName(styles[1]).unionByName(styles[2])
+    return styles[0].unionByName(styles[1]).unionByName(styles[2]).unionByName(styles[3])
 
 
 def q_rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,7 +110,11 @@ ctext AS (
          ELSE upper(c.col) || ' ' || c.op || ' ' || CAST(c.threshold AS VARCHAR) END AS ptxt,
     CASE WHEN c.nominal THEN '(' || c.col || ' in (' || coalesce((SELECT string_agg(i.value, ',' ORDER BY i.idx) FROM idx i
              WHERE i.feature = c.col AND CASE WHEN c.op = '<=' THEN i.idx <= c.threshold ELSE i.idx > c.threshold END), '') || '))'
-         ELSE '(' || c.col || ' ' || c.op || ' ' || CAST(c.threshold AS VARCHAR) || ')' END AS stxt
+         ELSE '(' || c.col || ' ' || c.op || ' ' || CAST(c.threshold AS VARCHAR) || ')' END AS stxt,
+    CASE WHEN c.nominal THEN '(`' || c.col || '` in (' || coalesce((SELECT string_agg(
+                 '''' || replace(replace(i.value, '\\', '\\\\'), '''', '\\''') || '''', ', ' ORDER BY i.idx) FROM idx i
+             WHERE i.feature = c.col AND CASE WHEN c.op = '<=' THEN i.idx <= c.threshold ELSE i.idx > c.threshold END), '') || '))'
+         ELSE '(`' || c.col || '` ' || c.op || ' ' || CAST(c.threshold AS VARCHAR) || ')' END AS wtxt
   FROM conds c
 ),
 rules AS (SELECT node, string_agg(ptxt, '  &&  ' ORDER BY level DESC) AS rules FROM ctext GROUP BY node),
@@ -493,6 +497,8 @@ SELECT CAST(node AS INTEGER), 'sql', string_agg(stxt, ' and ' ORDER BY level) FR
 UNION ALL
 SELECT CAST(node AS INTEGER), 'html', string_agg(replace(stxt, '(p_type in', '(product_type in'), ' <br> ' ORDER BY level)
 FROM ctext GROUP BY node
+UNION ALL
+SELECT CAST(node AS INTEGER), 'where', string_agg(wtxt, ' and ' ORDER BY level) FROM ctext GROUP BY node
 """,
     "rule_coverage": _TREE
     + f"""SELECT 'full' AS scope, CAST(s.node AS INTEGER) AS node, CAST(s.coverage AS BIGINT) AS coverage,

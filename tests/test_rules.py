@@ -102,3 +102,20 @@ def test_values_with_quotes_and_in_are_literals(spark):
     df = spark.createDataFrame([('say "hi" in here',), ("a -> b",), ("z",)], "c string")
     cond = [{"column": "c", "nominal": True, "values": ['say "hi" in here', "a -> b"], "op": "<=", "threshold": 1.5}]
     assert df.where(rule_predicate(cond)).count() == 2
+
+
+def test_where_text_filters_like_the_predicate(spark):
+    df = spark.createDataFrame(
+        [("Upgrade_Orders/Others", 10.0), ("it's \\\\ odd", 40.0), ("Bill/Others", 31.0), ("x", 1.0)],
+        "custcbcatname string, quantity double",
+    )
+    rule = [
+        {**RULE[0], "op": ">", "threshold": 5.0},
+        {**RULE[1], "values": ["Upgrade_Orders/Others", "it's \\\\ odd", "Bill/Others"]},
+    ]
+    rows = spark.createDataFrame([(rule,)], RULE_SCHEMA)
+    text = rows.select(rule_text("rule_list", "where").alias("w")).first()["w"]
+    assert df.where(text).count() == df.where(rule_predicate(rule)).count() == 3
+    empty = [{**RULE[1], "values": []}]
+    text = spark.createDataFrame([(empty,)], RULE_SCHEMA).select(rule_text("rule_list", "where").alias("w")).first()["w"]
+    assert text == "false" and df.where(text).count() == 0

@@ -111,3 +111,12 @@ def test_select_features_gives_the_same_tree(fx):
     b = fit_segment_tree(fx, RESPONSE, features=subset, max_depth=4).nodes
     cols = ["node", "count", "feature_name", "threshold"]
     assert sorted(a.select(cols).collect()) == sorted(b.select(cols).collect())
+
+
+def test_where_text_reproduces_coverage(tree):
+    from segrules.operators.rules import rule_text
+
+    texts = {r["node"]: r["w"] for r in leaf_rules(tree).select("node", rule_text("rule_list", "where").alias("w")).collect()}
+    cover = {r["node"]: r["coverage"] for r in rule_report(tree).collect()}
+    for node, text in texts.items():
+        assert tree.fm.data.where(text).count() == cover[node], (node, text)
