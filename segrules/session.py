@@ -15,14 +15,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     is unset (unit tests, a laptop) do we create one, mirroring what a test
     harness does.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        # ``spark.checkpoint.dir`` cannot be changed on a running session; the
+        # context's checkpoint folder is the runtime setting, read back above.
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="segrules-ckpt-"))
         root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="segrules-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
