@@ -31,7 +31,8 @@ from segrules.operators.tree import fit_segment_tree
 from segrules.session import cut_lineage
 from segrules.sources.tables import project_columns, quote_name
 
-# The reference's workload settings.
+# The reference's workload settings (category caps, features
+# kept, and the forest/tree defaults of the two dataclasses below).
 DEFAULT_REDUCE_CAPS = {"first_hit_pagename": 15, "post_prop11_concat": 25}
 DEFAULT_NUM_FEATURES = 14
 
