@@ -30,7 +30,7 @@ def split_search(df: DataFrame, label: str, features: Sequence[str], max_bins: i
     ``label`` is 0/1; gain = gini(parent) - nL/n gini(left) - nR/n gini(right);
     rows ``<= threshold`` go left.  Ties keep the smaller threshold.
     """
-    pairs = ", ".join(f"'{f}', cast({quote_name(f)} as double)" for f in features)
+    pairs = ", ".join(f"'{f.replace(chr(39), chr(39) * 2)}', cast({quote_name(f)} as double)" for f in features)
     stacked = df.selectExpr(f"cast({quote_name(label)} as double) as y", f"stack({len(features)}, {pairs}) as (feature, value)")
     hist = stacked.where("value is not null").groupBy("feature", "value").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")

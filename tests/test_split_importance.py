@@ -90,3 +90,9 @@ def test_inner_cuts_equal_split_search_on_node_rows(spark):
         best = split_search(data.where(where), RESPONSE, fm.slots).orderBy(F.desc("gain")).first()
         assert (best["feature"], best["threshold"]) == expected, node
     data.unpersist()
+
+
+def test_awkward_feature_names(spark):
+    df = spark.createDataFrame([(float(i % 7), int(i % 7 > 3)) for i in range(70)], "`it's x` double, `y-1` int")
+    r = split_search(df, "y-1", ["it's x"]).first()
+    assert (r["feature"], r["threshold"], r["left_count"]) == ("it's x", 3.5, 40)
