@@ -15,3 +15,13 @@ def test_plan_shape(spark, key):
     plan = df._jdf.queryExecution().executedPlan().toString()
     for op in FORBIDDEN:
         assert op not in plan, f"{key}: {op}"
+
+
+def test_rule_filter_reaches_the_scans(spark):
+    df = entry_mod.queries()["rule_filter"](spark, SF_SMALL)
+    scans = [l for l in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in l]
+    lineitem = next(l for l in scans if "l_orderkey" in l)
+    part = next(l for l in scans if "p_partkey" in l)
+    assert "GreaterThan(l_quantity,30.5)" in lineitem and "LessThanOrEqual(l_discount," in lineitem
+    assert "In(p_type, [PROMO,SMALL])" in part
+    assert "l_extendedprice" not in lineitem and "p_retailprice" not in part  # pruned columns
