@@ -172,10 +172,9 @@ def node_table(model: DecisionTreeRegressionModel, slots: Sequence[str], labels:
         F.try_element_at(slot_arr, F.col("feature_index") + 1).alias("feature_name"),
         "threshold",
     )
-    # Written once beside the model in the shared folder: every later use
-    # scans a few dozen rows instead of re-running the walk.
-    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-    return spark.read.parquet(f"{path}/nodes")
+    # Kept in memory (a few dozen rows): later uses skip the walk.  A lost
+    # block is rebuilt from the saved model in the shared folder.
+    return table.coalesce(1).cache()
 
 
 def score_rows(tree: SegmentTree, keep: Sequence[str] = ()) -> DataFrame:
