@@ -66,6 +66,7 @@ def _tree(spark: SparkSession, sf_dir: str, depth: int = TREE_DEPTH) -> SegmentT
 
 
 def q_scan_filter_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Join, inequality and contains filters, null-on-bad cast, null drop."""
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"])
     customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
@@ -78,11 +79,13 @@ def q_scan_filter_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_project_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted run-time column list."""
     li = read_table(spark, sf_dir, "lineitem")
     return project_columns(li, ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]).na.drop("any")
 
 
 def q_csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV written with a header and read back with an explicit schema."""
     part = read_table(spark, sf_dir, "part")
     path = shared_path(spark, "part-csv")
     write_csv(part, path)
@@ -90,6 +93,7 @@ def q_csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_replace_table_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overwrite (drop and save) twice, read back."""
     nation = read_table(spark, sf_dir, "nation")
     path = shared_path(spark, "nation-table")
     replace_table(nation.where("n_regionkey = 0"), path)
@@ -97,6 +101,7 @@ def q_replace_table_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_drop_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a null or NaN anywhere are dropped."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value", "props"])
     with_nulls = ev.select(
         "event_id",
@@ -109,6 +114,7 @@ def q_drop_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_rule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule of IN-list and threshold conditions as one predicate."""
     fx = _fixture(spark, sf_dir)
     conds = [
         {"column": "p_type", "nominal": True, "values": ["PROMO", "SMALL"], "op": "<=", "threshold": None},
@@ -122,26 +128,31 @@ def q_rule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_first_path_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """first non-empty ``->`` step."""
     fx = _fixture(spark, sf_dir)
     return fx.select(*TAGS, "path", paths.first_path_step("path").alias("first_step"))
 
 
 def q_normalize_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """separator normalising on the first step."""
     fx = _fixture(spark, sf_dir)
     return fx.select(*TAGS, "path", paths.normalize_separators(paths.first_path_step("path")).alias("normalized"))
 
 
 def q_last_pipe_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trailing ``|`` pair."""
     fx = _fixture(spark, sf_dir)
     return fx.select(*TAGS, "first_page", paths.last_pipe_pair("first_page").alias("pair"))
 
 
 def q_page_name_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """landing-page variant of F3."""
     fx = _fixture(spark, sf_dir)
     return fx.select(*TAGS, "first_page", paths.page_name_tail("first_page").alias("tail"))
 
 
 def q_clean_path_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1-F5 chained, U1 without a UDF, on real-looking URLs."""
     pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
     return pages.select("page_id", "url", paths.clean_path("url").alias("cleaned"))
 
@@ -150,20 +161,24 @@ def q_clean_path_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_value_counts_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row with its value's count."""
     fx = cut_lineage(_fixture(spark, sf_dir).select(*TAGS, "first_page"))
     return value_counts_window(fx, "first_page", keep=TAGS)
 
 
 def q_value_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values ranked by count desc, value desc, without a single-task window."""
     return value_rank(_fixture(spark, sf_dir), "first_page")
 
 
 def q_reduce_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One column collapsed to its top 15."""
     fx = cut_lineage(_fixture(spark, sf_dir).select(*TAGS, "first_page"))
     return reduce_topn(fx, "first_page", 15)
 
 
 def q_reduce_topn_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: two columns collapsed (15 and 25) from one counting pass."""
     fx = cut_lineage(_fixture(spark, sf_dir).select(*TAGS, "first_page", paths.clean_path("path").alias("path")))
     return reduce_topn_multi(fx, [("first_page", 15), ("path", 25)])
 
@@ -172,15 +187,18 @@ def q_reduce_topn_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequency-descending index, ties alphabetical."""
     return feat.category_index(_fixture(spark, sf_dir), CATEGORICAL)
 
 
 def q_category_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: distinct (feature, value, idx) read back from the indexed frame."""
     fm = feat.feature_matrix(_fixture_cut(spark, sf_dir, *TREE_FEATURES, RESPONSE), RESPONSE, features=TREE_FEATURES)
     return feat.category_lookup(fm.data, CATEGORICAL)
 
 
 def q_category_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every index cut of each category as a quoted value list."""
     lookup = feat.category_index(_fixture(spark, sf_dir), CATEGORICAL)
     return feat.category_conditions(lookup)
 
@@ -191,6 +209,7 @@ def _matrix_columns(fm: feat.FeatureMatrix) -> list[F.Column]:
 
 
 def q_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: numerics first, then indexed categories; response index as label."""
     fx = _fixture_cut(spark, sf_dir, *TAGS, *TREE_FEATURES, RESPONSE)
     fm = feat.feature_matrix(fx, RESPONSE, features=TREE_FEATURES)
     tagged = fm.model.transform(fx).withColumn("__arr", feat.vector_to_array(F.col("features")))
@@ -198,6 +217,7 @@ def q_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_feature_matrix_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: every feature cast to string and indexed."""
     fx = _fixture_cut(spark, sf_dir, *TAGS, *TREE_FEATURES, RESPONSE)
     fm = feat.feature_matrix(fx, RESPONSE, features=TREE_FEATURES, all_categorical=True)
     strings = fx.select(*TAGS, *[F.col(c).cast("string").alias(c) for c in [*TREE_FEATURES, RESPONSE]])
@@ -206,11 +226,13 @@ def q_feature_matrix_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_categorical_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M3: slots with at most 10 distinct values marked categorical."""
     fm = feat.feature_matrix(_fixture_cut(spark, sf_dir, *TREE_FEATURES, RESPONSE), RESPONSE, features=TREE_FEATURES)
     return feat.categorical_slots(fm, max_categories=10)
 
 
 def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forest importances named by slot (rows-only check)."""
     fx = _fixture_cut(spark, sf_dir, *TREE_FEATURES, "nation", "p_brand", RESPONSE)
     return random_forest_importance(fx, RESPONSE, num_trees=20, max_depth=5, max_bins=60, seed=7)
 
@@ -222,12 +244,14 @@ def _split_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]
 
 
 def q_split_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: best gini cut per feature."""
     data, slots = _split_input(spark, sf_dir)
     best = split_search(data, RESPONSE, slots, max_bins=64)
     return best.select("feature", "threshold", r6("gain").alias("gain"), "left_count", "right_count")
 
 
 def q_select_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top 3 by gain, then the response."""
     data, slots = _split_input(spark, sf_dir)
     gains = split_search(data, RESPONSE, slots, max_bins=64).select(
         F.col("feature").alias("feature_name"), r6("gain").alias("importance")
@@ -239,6 +263,7 @@ def q_select_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heap-numbered node table."""
     nodes = _tree(spark, sf_dir).nodes
     return nodes.select(
         "node", "is_leaf", "prediction", r6("probability").alias("probability"), r6("impurity").alias("impurity"),
@@ -254,11 +279,13 @@ def _path_text(conds: DataFrame) -> DataFrame:
 
 
 def q_leaf_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full root-to-leaf conditions."""
     nodes = _tree(spark, sf_dir).nodes
     return _path_text(leaf_conditions(nodes, "full", "all"))
 
 
 def q_leaf_paths_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parent and leaf scopes, deepest condition per feature."""
     nodes = _tree(spark, sf_dir).nodes
     parent = _path_text(leaf_conditions(nodes, "parent", "last")).withColumn("scope", F.lit("parent"))
     leaf = _path_text(leaf_conditions(nodes, "leaf", "last")).withColumn("scope", F.lit("leaf"))
@@ -266,6 +293,7 @@ def q_leaf_paths_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_rule_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Print, sql, html and where forms of each rule."""
     rules = leaf_rules(_tree(spark, sf_dir))
     styles = [
         rules.select("node", F.lit("print").alias("style"), rule_text("rule_list", "print").alias("rules")),
@@ -279,6 +307,7 @@ def q_rule_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of full and parent-scope rules in one pass each."""
     tree = _tree(spark, sf_dir)
     out = []
     for scope in ("full", "parent"):
@@ -297,11 +326,13 @@ def q_rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_leaf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf statistics recounted from the data."""
     st = leaf_stats(_tree(spark, sf_dir))
     return st.select("node", "prediction", r6("probability").alias("probability"), r6("impurity").alias("impurity"), "coverage")
 
 
 def q_node_rule_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules joined with leaf statistics."""
     tree = _tree(spark, sf_dir)
     rules = leaf_rules(tree).select("node", rule_text("rule_list").alias("rules"))
     stats = tree.leaves.select("node", "prediction", r6("probability").alias("probability"))
@@ -309,6 +340,7 @@ def q_node_rule_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row's prediction and probability."""
     scored = score_rows(_tree(spark, sf_dir), keep=TAGS)
     return scored.select(*TAGS, "prediction", r6("probability").alias("probability"))
 
@@ -321,10 +353,12 @@ def _report_rounded(df: DataFrame) -> DataFrame:
 
 
 def q_rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf report (flagship; also entry())."""
     return _report_rounded(rule_report(_tree(spark, sf_dir)))
 
 
 def q_rules_degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-leaf tree and minimum-leaf guard give empty reports."""
     fx = _fixture_cut(spark, sf_dir, *TREE_FEATURES, RESPONSE)
     constant = fx.where(F.col(RESPONSE) == 1)
     single = fit_segment_tree(constant, RESPONSE, features=TREE_FEATURES, max_depth=TREE_DEPTH)
@@ -339,6 +373,7 @@ def q_rules_degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline."""
     # As in the reference: the landing page is trimmed to its last ``|`` pair
     # and the response cast to double (both inside the pipeline).
     fx = (
@@ -358,6 +393,7 @@ def q_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_rule_report_all_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance job, then all-categorical parent-scope rules."""
     # N covers all six candidates, so the forest's ranking cannot change the tree.
     fx = _fixture_cut(spark, sf_dir, *TREE_FEATURES, "nation", RESPONSE)
     importance = pipelines.importance_job(
@@ -367,6 +403,7 @@ def q_rule_report_all_categorical(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def q_train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """0.6/0.4 split with seed 11 (rows-only check)."""
     fx = _fixture_cut(spark, sf_dir, *TAGS, RESPONSE)
     train, test = pipelines.train_test_split(fx, (0.6, 0.4), 11)
     return train.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("train").alias("part"), "rows").unionByName(
