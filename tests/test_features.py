@@ -17,7 +17,9 @@ from conftest import SF_SMALL
 
 @pytest.fixture(scope="module")
 def fx(spark):
-    return funnel_fixture(spark, SF_SMALL).cache()
+    df = funnel_fixture(spark, SF_SMALL).cache()
+    yield df
+    df.unpersist()
 
 
 def test_split_columns(fx):
