@@ -307,22 +307,23 @@ def q_rule_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of full and parent-scope rules in one pass each."""
+    """Coverage of full and parent-scope rules, all in one pass."""
     tree = _tree(spark, sf_dir)
-    out = []
+    keys, preds = [], []
     for scope in ("full", "parent"):
-        rows = sorted(leaf_rules(tree, scope, "all").collect(), key=lambda r: r["node"])
-        cov = coverage_counts(tree.fm.data, [(r["node"], rule_predicate(r["rule_list"])) for r in rows])
-        out.append(
-            cov.select(
-                F.lit(scope).alias("scope"),
-                "node",
-                "coverage",
-                r6(frequency(F.col("coverage"), F.col("total"))).alias("frequency"),
-                frequency_pct(F.col("coverage"), F.col("total")).alias("frequency_pct"),
-            )
-        )
-    return out[0].unionByName(out[1])
+        for r in sorted(leaf_rules(tree, scope, "all").collect(), key=lambda r: r["node"]):
+            keys.append((len(keys), scope, r["node"]))
+            preds.append((len(preds), rule_predicate(r["rule_list"])))
+    cov = coverage_counts(tree.fm.data, preds)  # one aggregation for both scopes
+    # one row per rule (at most twice the leaf count)
+    names = spark.createDataFrame(keys, "k int, scope string, leaf int")
+    return cov.join(F.broadcast(names), cov["node"] == names["k"]).select(
+        "scope",
+        F.col("leaf").alias("node"),
+        "coverage",
+        r6(frequency(F.col("coverage"), F.col("total"))).alias("frequency"),
+        frequency_pct(F.col("coverage"), F.col("total")).alias("frequency_pct"),
+    )
 
 
 def q_leaf_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
