@@ -27,9 +27,9 @@ UNKNOWN = "Unknown"
 
 
 def _stacked(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Long form (feature, value) of several string columns, one generator pass."""
+    """Long form (feature, value) of several columns as strings, one generator pass."""
     columns = list(columns)
-    pairs = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', {quote_name(c)}" for c in columns)
+    pairs = ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', cast({quote_name(c)} as string)" for c in columns)
     return df.selectExpr(f"stack({len(columns)}, {pairs}) as (feature, value)")
 
 
@@ -105,7 +105,8 @@ def top_values(df: DataFrame, caps: Mapping[str, int]) -> DataFrame:
 
 
 def _relabel(value: Column, kept: Column) -> Column:
-    """Out of the top N -> Other (tested first); blank -> Unknown; else unchanged."""
+    """Out of the top N -> Other (tested first); blank -> Unknown; else unchanged (as a label string)."""
+    value = value.cast("string")
     return F.when(~kept, F.lit(OTHER)).when(value == F.lit(""), F.lit(UNKNOWN)).otherwise(value)
 
 

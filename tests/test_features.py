@@ -71,3 +71,13 @@ def test_quoted_projection(spark):
     df = spark.createDataFrame([(1, 2)], "`a-b` int, `c d` int")
     assert project_columns(df, ["c d", "a-b"]).columns == ["c d", "a-b"]
     assert quote_name("x`y") == "`x``y`"
+
+
+def test_mixed_type_columns_index_and_reduce(spark):
+    from segrules.operators.reduce import reduce_topn_multi
+
+    df = spark.createDataFrame([(1.5, "a"), (1.5, "b"), (2.0, "a"), (3.0, "a")], "q double, s string")
+    idx = {(r["feature"], r["value"]): r["idx"] for r in category_index(df, ["q", "s"]).collect()}
+    assert idx[("q", "1.5")] == 0.0 and idx[("s", "a")] == 0.0
+    out = sorted(reduce_topn_multi(df, {"q": 1, "s": 1}).collect(), key=lambda r: (r["q"], r["s"]))
+    assert [tuple(r) for r in out] == [("1.5", "Other"), ("1.5", "a"), ("Other", "a"), ("Other", "a")]
