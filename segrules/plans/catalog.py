@@ -294,7 +294,7 @@ def q_leaf_paths_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_rule_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Print, sql, html and where forms of each rule."""
-    rules = leaf_rules(_tree(spark, sf_dir))
+    rules = leaf_rules(_tree(spark, sf_dir)).cache()  # one row per leaf, read by four styles
     styles = [
         rules.select("node", F.lit("print").alias("style"), rule_text("rule_list", "print").alias("rules")),
         rules.select("node", F.lit("sql").alias("style"), rule_text("rule_list", "sql").alias("rules")),
