@@ -47,3 +47,16 @@ def test_rules_job_all_categorical(funnel):
 def test_train_test_split_is_whole(funnel):
     train, test = pipelines.train_test_split(funnel, (0.6, 0.4), 11)
     assert train.count() + test.count() == funnel.count()
+
+
+def test_older_jobs_with_awkward_names_and_leaf_guard(funnel):
+    from segrules.operators.report import REPORT_SCHEMA
+
+    fx = funnel.select("priority", F.col("p_type").alias("p-type"), F.col("segment").alias("seg ment"), RESPONSE)
+    imp = pipelines.importance_job(fx, ["priority", "p-type", "seg ment"], RESPONSE,
+                                   pipelines.ForestParams(num_trees=5, max_depth=3, seed=1))
+    assert sorted(r["feature_name"] for r in imp.collect()) == ["p-type", "priority", "seg ment"]
+    guarded = pipelines.rules_job(fx, imp, 3, RESPONSE, tree=pipelines.TreeParams(max_depth=1))
+    assert guarded.count() == 0 and guarded.schema == REPORT_SCHEMA
+    rep = pipelines.rules_job(fx, imp, 3, RESPONSE, tree=pipelines.TreeParams(max_depth=3)).collect()
+    assert rep and all(r["coverage"] > 0 for r in rep)
