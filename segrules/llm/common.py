@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,28 @@ def id_bucket(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
 
 
+def id_bitmap(hashes: DataFrame, column: str, bits: int) -> Callable[[Column], Column]:
+    """A test whether a 64-bit hash may be in ``column``: two probes into ``bits`` bits, held as one literal.
+
+    Its size is fixed, so it can go to every task however many hashes there are.  It lets through all
+    that are in the column and a few that are not: an exact join follows, and a full bitmap costs time, not rows.
+    """
+    probes = hashes.select(F.explode(F.array(F.col(column), F.shiftright(column, 32))).alias("p"))
+    cells = probes.groupBy(F.shiftright(F.col("p").bitwiseAND(bits - 1), 6).cast("int").alias("cell")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")
+    )
+    longs = [0] * (bits // 64)
+    for cell, v in cells.collect():  # at most bits / 64 rows
+        longs[cell] = v
+    bitmap = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")
+
+    def bit(p: Column) -> Column:
+        at = p.bitwiseAND(bits - 1)
+        return F.bit_get(F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
+
+    return lambda h: bit(h) & bit(F.shiftright(h, 32))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective avalanche mixing of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(33))

@@ -11,12 +11,13 @@ word comparison of the window decide.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from segrules.llm.common import ascii_lower, pick
+from segrules.llm.common import ascii_lower, id_bitmap, pick
 from segrules.session import cut_lineage
 
 # What separates words once A-Z are lower-cased.
@@ -76,23 +77,10 @@ def benchmark_windows(benchmark: DataFrame, window: int = 13, shingle: int = 3)
     return windows, table.select("win_id", F.explode("item_ids").alias("item_id"))
 
 
-def _bitmap(windows: DataFrame) -> tuple[Column, int]:
-    """A two-probe bitmap of the prefix shingles as one literal, and its mask.
-
-    Between 2^16 and 2^22 bits whatever the benchmark's size; it only thins the
-    document positions before the exact join, so a full one costs time, not rows.
-    """
+def _prefix_test(windows: DataFrame) -> Callable[[Column], Column]:
+    """Whether a shingle may be a prefix; between 2^16 and 2^22 bits whatever the benchmark's size."""
     n = windows.agg(F.approx_count_distinct("h")).first()[0]
-    bits = 2 ** min(22, max(16, math.ceil(math.log2(max(1, n) * 128))))
-    probes = windows.select(F.explode(F.array(F.col("h"), F.shiftright("h", 32))).alias("p"))
-    at = F.col("p").bitwiseAND(bits - 1)
-    cells = probes.groupBy(F.shiftright(at, 6).cast("int").alias("cell")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(p & {63} as int))")).alias("v")
-    )
-    longs = [0] * (bits // 64)
-    for cell, v in cells.collect():  # at most bits / 64 rows
-        longs[cell] = v
-    return F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>"), bits - 1
+    return id_bitmap(windows, "h", 2 ** min(22, max(16, math.ceil(math.log2(max(1, n) * 128)))))
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -103,14 +91,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingl
     """
     windows, items = benchmark_windows(benchmark, window, shingle)
     ks = [r[0] for r in windows.select("k").distinct().collect()]  # at most ``shingle`` values
-    bitmap, mask = _bitmap(windows)
-
-    def in_bitmap(h: Column) -> Column:
-        def bit(p: Column) -> Column:
-            at = p.bitwiseAND(mask)
-            return F.bit_get(F.get(bitmap, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
-
-        return bit(h) & bit(F.shiftright(h, 32))
+    in_bitmap = _prefix_test(windows)
 
     def hits(k: int) -> Column:
         found = F.filter(_starts(F.size("ws"), k), lambda i: in_bitmap(_shingle(F.col("ws"), i, k)))

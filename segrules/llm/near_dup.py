@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segrules.llm.common import mix64, pick
+from segrules.llm.common import id_bitmap, mix64, pick
 from segrules.session import cut_lineage
 
 SHINGLE = 5
@@ -30,8 +30,10 @@ POSITIONS = 64  # minwise tokens that trees choose from
 SKETCH = 128  # one-byte minwise values for estimates
 #: Estimates below this are not verified: five standard deviations under the threshold (0.038 each).
 ESTIMATE = 0.55
-NODE = 192  # members up to which a node is compared exhaustively
+NODE = 1024  # members up to which a node is compared exhaustively
 DEPTH = 8
+STEP = 2  # levels that a large node branches at once
+ID_BITS = 2**21  # of the bitmap that thins documents before their texts are shuffled
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -144,12 +146,16 @@ def _first_level(trees: int, similarity: int):
     return run
 
 
-def _next_level(similarity: int):
+def _next_levels(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            cids = b.column(1).to_numpy(zero_copy_only=False)
             paths = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            rows, child = _children(paths, _matrix(b.column(2), np.uint32, POSITIONS), similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), b.column(1).take(pa.array(rows))], ["node", "cid"])
+            signature = _matrix(b.column(2), np.uint32, POSITIONS)
+            for _ in range(STEP):
+                rows, paths = _children(paths, signature, similarity)
+                cids, signature = cids[rows], signature[rows]
+            yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(cids, pa.int64())], ["node", "cid"])
 
     return run
 
@@ -238,17 +244,18 @@ def _compare(similarity: int):
     return run
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(v, comp) for every vertex of ``edges`` (a, b): ``comp`` is the same for connected vertices.
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(v, comp) for every vertex of ``edges`` (a, b): vertices with the same ``comp`` are connected and,
+    unless ``rounds`` ends the work early, connected vertices have the same.
 
     Each round every vertex hooks to its neighbour (or itself) of least random
     priority and the graph is contracted, so the number of vertices
     falls by a constant factor a round whatever the graph's shape.
     """
     left = cut_lineage(edges.select("a", "b").where("a != b").distinct(), "edges")
-    assigned = cut_lineage(left.select(F.col("a").alias("v")).union(left.select("b")).distinct().withColumn("comp", F.col("v")), "components")
+    assigned = left.select(F.col("a").alias("v")).union(left.select("b")).distinct().withColumn("comp", F.col("v"))
     turn = 0
-    while not left.isEmpty():
+    while turn != rounds and not left.isEmpty():
         turn += 1
 
         def ranked(c: str) -> F.Column:
@@ -257,13 +264,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = left.select(F.col("a").alias("v"), F.col("b").alias("u")).union(left.select("b", "a"))
         least = both.groupBy("v").agg(F.min(ranked("u")).alias("m"))
         hook = cut_lineage(least.select(F.col("v").alias("h"), F.least("m", ranked("v"))["id"].alias("to")), "hooks")
-        assigned = cut_lineage(
-            assigned.join(hook, F.col("comp") == F.col("h"), "left").select("v", F.coalesce("to", "comp").alias("comp")), "components"
-        )
-        moved = left.join(hook, F.col("a") == F.col("h")).select(F.col("to").alias("a"), "b")
-        moved = moved.join(hook, F.col("b") == F.col("h")).select("a", F.col("to").alias("b"))
-        left = cut_lineage(moved.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    return assigned
+        assigned = assigned.join(hook, F.col("comp") == F.col("h"), "left").select("v", F.coalesce("to", "comp").alias("comp"))
+        if turn % 4 == 0:
+            assigned = cut_lineage(assigned, "components")
+        if turn != rounds:
+            moved = left.join(hook, F.col("a") == F.col("h")).select(F.col("to").alias("a"), "b")
+            moved = moved.join(hook, F.col("b") == F.col("h")).select("a", F.col("to").alias("b"))
+            left = cut_lineage(moved.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    return cut_lineage(assigned, "components")
 
 
 def near_duplicates(docs: DataFrame, trees: int = TREES, similarity: int = SIMILARITY, node: int = NODE, depth: int = DEPTH) -> DataFrame:
@@ -308,9 +316,9 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, similarity: int = SIMIL
     links = _confirm(rows, classes, sketches, pairs, similarity)
 
     # Nodes that still hold several colours go on.
-    colours = connected_components(links)
+    colours = connected_components(links, rounds=3)
     leaves = None
-    for level in range(2, depth + 2):
+    for level in range(1, depth + 1, STEP):
         coloured = members.select("node", "cid").join(colours, F.col("cid") == F.col("v"), "left").select(
             "node", "cid", F.coalesce("comp", "cid").alias("colour")
         )
@@ -321,11 +329,11 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, similarity: int = SIMIL
         large = alive.where(F.col("size") > node)
         if large.isEmpty():
             break
-        if level == depth + 1:
+        if level + STEP > depth:
             leaves = leaves.union(_block_pairs(large, node))
             break
         grown = large.select("node", "cid").join(classes.select("cid", "signature"), "cid").select("node", "cid", "signature")
-        members = cut_lineage(grown.mapInArrow(_next_level(similarity), "node long, cid long").distinct(), "members")
+        members = cut_lineage(grown.mapInArrow(_next_levels(similarity), "node long, cid long").distinct(), "members")
 
     described_leaves = leaves.join(sketches, "cid").select("node", "cid", "colour", "n", "sketch")
     sorted_leaves = described_leaves.repartition("node").sortWithinPartitions("node", "cid")
@@ -356,7 +364,9 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, similarity: int = SIMIL
 def _texts(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cid, text): a text of each wanted class, from a row with its representative's id and its set."""
     reps = cut_lineage(wanted.join(classes.select("cid", "rep", "s1", "s2"), "cid"), "wanted")
-    found = rows.join(reps, rows["doc_id"].eqNullSafe(reps["rep"])).select("cid", "s1", "s2", "text")
+    is_rep = id_bitmap(reps.select(F.xxhash64("rep").alias("h")), "h", ID_BITS)
+    likely = rows.where(is_rep(F.xxhash64("doc_id")))  # else every text is shuffled for the few that are wanted
+    found = likely.join(reps, likely["doc_id"].eqNullSafe(reps["rep"])).select("cid", "s1", "s2", "text")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
