@@ -105,7 +105,8 @@ def feature_matrix(
     pass fits all indexers together (``StringIndexer(inputCols=...)``).
     """
     keep = [k for k in keep if k != response]
-    cols = [c for c in (features or df.columns) if c != response and c not in keep]
+    cols = [c for c in features if c != response] if features else [c for c in df.columns if c != response and c not in keep]
+    keep = [k for k in keep if k not in cols]  # a feature that is kept as well is there already
     work = df.select(*[F.col(quote_name(c)) for c in [*keep, *cols, response]])
     if all_categorical:
         work = work.select(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -43,6 +42,9 @@ def random_forest_importance(
     back, and is paired with the slot names read from the vector metadata,
     ordered by slot index.
 
+    Like the tree's, the forest's candidate thresholds come from a sample of rows
+    when a slot has more values than ``max_bins``.
+
     Scale knobs: ``max_memory_mb`` bounds the per-task histogram memory; a
     larger budget aggregates more tree nodes per pass, so fewer passes over
     the data.  Node ids per row are cached and checkpointed into the shared
@@ -78,7 +80,7 @@ def random_forest_importance(
         train.unpersist()
     names = slot_names(fm.data, "features")
     weights = model.stages[-1].featureImportances.toArray()
-    rows = [(re.sub(f"{INDEX_SUFFIX}$", "", n), float(w)) for n, w in zip(names, weights)]
+    rows = [(fm.nominal.get(n, n), float(w)) for n, w in zip(names, weights)]
     spark = df.sparkSession
     return spark.createDataFrame(rows, IMPORTANCE_SCHEMA).orderBy(F.desc("importance"), "feature_name")
 

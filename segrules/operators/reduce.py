@@ -17,6 +17,7 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from segrules.session import cut_lineage
 from segrules.sources.tables import quote_name
@@ -95,8 +96,14 @@ def top_values(df: DataFrame, caps: Mapping[str, int]) -> DataFrame:
     task forwards at most N rows per column.
     """
     caps = dict(caps)
+    # Ties go by the value in its own type, so 10 comes before 9.
+    numeric = [c for c in caps if isinstance(df.schema[c].dataType, NumericType)]
     counted = _stacked(df, caps).groupBy("feature", "value").agg(F.count("value").alias("count"))
-    w = Window.partitionBy("feature").orderBy(F.desc("count"), F.desc_nulls_last("value"))
+    number = F.when(F.col("feature").isin(numeric), F.col("value").try_cast("decimal(38,9)")) if numeric else F.lit(None).cast("double")
+    exact = F.when(F.col("feature").isin(numeric), F.col("value").try_cast("double")) if numeric else F.lit(None).cast("double")
+    w = Window.partitionBy("feature").orderBy(
+        F.desc("count"), F.desc_nulls_last(exact), F.desc_nulls_last(number), F.desc_nulls_last("value")
+    )
     ranked = counted.withColumn("rank", F.row_number().over(w))
     cap = F.lit(None).cast("int")
     for name, n in caps.items():

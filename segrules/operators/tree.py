@@ -62,11 +62,17 @@ def fit_segment_tree(
 ) -> SegmentTree:
     """Index, assemble and fit; returns the model with its node table.
 
+    The response has two classes at most (one gives a single leaf); more raise.
+    The trainer takes candidate thresholds from a sample of rows when a slot has more values
+    than ``max_bins`` (at least ``max_bins`` squared and 10,000 rows, MLlib's bound).
+
     Pass an already fitted ``fm`` (see ``features.select_features``) to skip
     the indexing pass; ``df`` is then ignored.
     """
     if fm is None:
         fm = feature_matrix(df, response, features=features, all_categorical=all_categorical, keep=keep)
+    if len(fm.response_labels) > 2:
+        raise ValueError(f"the response needs two classes, {response!r} has {len(fm.response_labels)}")
     # The fit reads its input several times before MLlib caches its own
     # binned points (metadata, split candidates, first level), so the narrow
     # (label, vector) frame is kept for the duration of the fit.

@@ -234,26 +234,26 @@ def q_categorical_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forest importances named by slot (rows-only check)."""
     fx = _fixture_cut(spark, sf_dir, *TREE_FEATURES, "nation", "p_brand", RESPONSE)
-    return random_forest_importance(fx, RESPONSE, num_trees=20, max_depth=5, max_bins=60, seed=7)
+    return random_forest_importance(fx, RESPONSE, seed=7)
 
 
 def _split_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    fx = _fixture_cut(spark, sf_dir, *TREE_FEATURES, RESPONSE)
-    fm = feat.feature_matrix(fx, RESPONSE, features=TREE_FEATURES)
+    fx = _fixture_cut(spark, sf_dir, "l_orderkey", *TREE_FEATURES, RESPONSE)
+    fm = feat.feature_matrix(fx, RESPONSE, features=TREE_FEATURES, keep=["l_orderkey"])
     return fm.data, fm.slots
 
 
 def q_split_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M9: best gini cut per feature."""
+    """M9: best gini cut per feature, one of them with a value per order."""
     data, slots = _split_input(spark, sf_dir)
-    best = split_search(data, RESPONSE, slots, max_bins=64)
+    best = split_search(data, RESPONSE, [*slots, "l_orderkey"])
     return best.select("feature", "threshold", r6("gain").alias("gain"), "left_count", "right_count")
 
 
 def q_select_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 3 by gain, then the response."""
     data, slots = _split_input(spark, sf_dir)
-    gains = split_search(data, RESPONSE, slots, max_bins=64).select(
+    gains = split_search(data, RESPONSE, slots).select(
         F.col("feature").alias("feature_name"), r6("gain").alias("importance")
     )
     return select_top_features(gains, 3, response=RESPONSE)
@@ -404,7 +404,7 @@ def q_rule_report_all_categorical(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def q_train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """0.6/0.4 split with seed 11 (rows-only check)."""
+    """0.6/0.4 split with seed 11."""
     fx = _fixture_cut(spark, sf_dir, *TAGS, RESPONSE)
     train, test = pipelines.train_test_split(fx, (0.6, 0.4), 11)
     return train.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("train").alias("part"), "rows").unionByName(

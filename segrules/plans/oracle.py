@@ -454,7 +454,7 @@ d AS (
 )
 SELECT feature, n_distinct, n_distinct <= 10 AS is_categorical FROM d
 """,
-    "split_search": _SPLIT_BEST
+    "split_search": _SPLIT_BEST.replace("\n),\nhist AS", "\n  UNION ALL SELECT 'l_orderkey', l_orderkey, converted FROM fxi\n),\nhist AS", 1)
     + """SELECT feature, threshold, round(gain, 6) AS gain, CAST(nl AS BIGINT) AS left_count, CAST(nr AS BIGINT) AS right_count
 FROM best
 """,
@@ -464,6 +464,12 @@ FROM best
 )
 SELECT feature_name, position FROM ranked WHERE position <= 3
 UNION ALL SELECT 'converted', CAST(4 AS INTEGER)
+""",
+    "train_test_split": f"""WITH {_FX},
+placed AS (
+  SELECT CAST('0x' || substr(md5(concat_ws(chr(1), '11', l_orderkey, l_linenumber, converted)), 1, 8) AS BIGINT) / 4294967296.0 AS place FROM fx
+)
+SELECT CASE WHEN place < 0.6 THEN 'train' ELSE 'test' END AS part, count(*) AS rows FROM placed GROUP BY 1
 """,
     "tree_nodes": _TREE
     + f""", anc AS (SELECT leaf >> k AS node, converted FROM seg, (VALUES (0), (1), (2), (3)) t(k)),

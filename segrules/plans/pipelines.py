@@ -126,7 +126,7 @@ def segment_report(
 
 
 # The importance job sets no depth, so the forest runs at Spark's default depth 5.
-IMPORTANCE_FOREST = ForestParams(max_depth=5)
+IMPORTANCE_FOREST = ForestParams(max_depth=5, max_categories=10)
 
 
 def importance_job(
@@ -141,7 +141,7 @@ def importance_job(
         max_depth=forest.max_depth,
         max_bins=forest.max_bins,
         impurity=forest.impurity,
-        max_categories=10,
+        max_categories=forest.max_categories,
         seed=forest.seed,
         all_categorical=True,
         subsampling_rate=forest.subsampling_rate,
@@ -167,5 +167,18 @@ def rules_job(
 
 
 def train_test_split(df: DataFrame, weights: Sequence[float] = (0.6, 0.4), seed: int = 11) -> list[DataFrame]:
-    """Random split with a fixed seed (per-partition sampling, no shuffle)."""
-    return df.randomSplit(list(weights), seed)
+    """Split by a hash of the whole row and the seed: the same rows whatever the layout, no shuffle.
+
+    A row's place in [0, 1) is the first eight hexadecimal digits of the md5 of
+    ``seed`` and its values as text (nulls as a mark of their own), divided by 2^32;
+    the parts take their shares of ``weights`` in turn.  Equal rows stay together.
+    """
+    values = [F.coalesce(F.col(quote_name(c)).cast("string"), F.lit("\x00")) for c in df.columns]
+    digits = F.substring(F.md5(F.concat_ws("\x01", F.lit(str(seed)), *values).cast("binary")), 1, 8)
+    place = F.conv(digits, 16, 10).cast("double") / 2.0**32
+    total, low, parts = float(sum(weights)), 0.0, []
+    for i, w in enumerate(weights):
+        high = low + w / total if i < len(weights) - 1 else 1.0
+        parts.append(df.where((place >= low) & (place < high)))
+        low = high
+    return parts

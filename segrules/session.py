@@ -12,11 +12,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     On a cluster this is set by the operator and read back here.  Only when it
-    is unset (unit tests, a laptop) do we create one, mirroring what a test
-    harness does.
+    is unset and the master is local (unit tests, a laptop) do we create one;
+    elsewhere executors would write to their own disks, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         # ``spark.checkpoint.dir`` cannot be changed on a running session; the
         # context's checkpoint folder is the runtime setting, read back above.
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="segrules-ckpt-"))

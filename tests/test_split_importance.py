@@ -35,7 +35,7 @@ def test_exact_cut_equals_brute_force(spark):
     rnd = random.Random(3)
     rows = [(float(rnd.randint(0, 20)), int(rnd.random() < 0.3 + 0.02 * i % 5)) for i in range(400)]
     df = spark.createDataFrame(rows, "x double, y int")
-    r = split_search(df, "y", ["x"], max_bins=64).first()
+    r = split_search(df, "y", ["x"]).first()
     values = sorted({v for v, _ in rows})
     cands = [(a + b) / 2 for a, b in zip(values, values[1:])]
     best = max(cands, key=lambda t: (brute_gain(rows, t)[0], -t))
@@ -43,14 +43,16 @@ def test_exact_cut_equals_brute_force(spark):
     assert r["gain"] == pytest.approx(brute_gain(rows, best)[0])
 
 
-def test_binned_cut_is_consistent(spark):
+def test_cut_of_many_values_is_exact(spark):
     rnd = random.Random(5)
-    rows = [(rnd.random() * 1000, int(rnd.random() < 0.5)) for _ in range(2000)]
-    rows += [(v, 1) for v, _ in rows[:300]]
+    rows = [(round(rnd.random() * 1000), int(rnd.random() < 0.5)) for _ in range(1500)]
+    rows = [(float(v), y) for v, y in rows] + [(float(v), 1) for v, _ in rows[:300]]
     df = spark.createDataFrame(rows, "x double, y int")
-    r = split_search(df, "y", ["x"], max_bins=16).first()
+    r = split_search(df, "y", ["x"]).first()
     gain, nl = brute_gain(rows, r["threshold"])
     assert r["gain"] == pytest.approx(gain)
+    values = sorted({v for v, _ in rows})
+    assert gain == pytest.approx(max(brute_gain(rows, (a + b) / 2)[0] for a, b in zip(values, values[1:])))
     assert r["left_count"] == nl and r["left_count"] + r["right_count"] == len(rows)
 
 
