@@ -32,8 +32,10 @@ ROUNDS = 6
 MIX = 0.95  # weight of the class model against the unigram model
 PRIOR = 20.0  # how many observations the unigram class shares count for in a transition
 END = b""  # no word is empty
-GROUP_WORDS = 400_000  # different rare words in one unit of lookup
-FLUSH = 1_000_000  # different words that a task counts before it hands them on
+GROUP_WORDS = 300_000  # different rare words in one unit of lookup
+FLUSH = 600_000  # different words that a task counts before it hands them on
+CACHED = 300_000  # rare words whose symbol a task remembers
+MERGE = 1_000_000  # tokens between two merges of a task's bigram counts
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -56,7 +58,7 @@ class Symbols(dict):
 
     def __missing__(self, word: bytes) -> int:
         s = ending(word)
-        if len(self) < self.fixed + FLUSH:
+        if len(self) < self.fixed + CACHED:
             self[word] = s
         return s
 
@@ -101,9 +103,9 @@ def _bigrams(frequent: list[bytes]):
                 s = np.array(list(map(symbols.__getitem__, tokens(text))), np.int64)
                 parts.append(np.concatenate([[end], s[:-1]]) * width + s)
                 waiting += len(s)
-                if waiting >= 2_000_000:
+                if waiting >= MERGE:
                     merge()
-                    if len(keys) >= 4_000_000:
+                    if len(keys) >= 2 * MERGE:
                         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ns)], ["pair", "n"])
                         keys, ns = keys[:0], ns[:0]
         if parts:
