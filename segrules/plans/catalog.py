@@ -38,7 +38,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 TREE_FEATURES = ["quantity", "discount", "priority", "p_type", "segment"]
 CATEGORICAL = ["p_type", "priority", "segment"]
 RESPONSE = "converted"
-TREE_DEPTH = 3
+TREE_DEPTH = 5
 TAGS = ["l_orderkey", "l_linenumber"]
 
 

@@ -2,15 +2,11 @@
 
 The tables ``lineitem orders customer nation part pages events`` are views
 over the driver's parquet files.  Category indexes, value lists, rule text,
-coverages and leaf statistics are recomputed here from those tables.  The only
-frozen inputs are tree shapes fit on the sf0.01 funnel view (which column and
-threshold each inner node splits on): the depth-3 tree of the rule queries
-(``_SPLITS``), the depth-5 tree of the whole pipeline (``_SEGMENT_SPLITS``)
-and the depth-5 all-categorical tree (``_CATEGORICAL_SPLITS``); the leaf
-assignment follows those splits.
-
-Queries without an entry here (random-forest importance, the random split)
-are checked by invariants in the tests instead.
+coverages and leaf statistics are recomputed here from those tables.  The trees
+are grown in SQL as well: level by level the best gini cut of every node over all
+features, then each row goes to its side.  Nothing is taken from a fitted model.
+
+Random-forest importance has no entry here; invariants in the tests check it.
 """
 
 from __future__ import annotations
@@ -54,7 +50,7 @@ def _idx_block(columns: dict[str, str], src: str = "fx") -> str:
     """Frequency-descending index per feature, ties alphabetical (0-based, double)."""
     parts = [f"SELECT '{name}' AS feature, {expr} AS value, count(*) AS cnt FROM {src} GROUP BY 1, 2" for name, expr in columns.items()]
     union = "\n    UNION ALL ".join(parts)
-    return f"""idx AS (
+    return f"""idx AS MATERIALIZED (
   SELECT feature, value, cnt,
          CAST(row_number() OVER (PARTITION BY feature ORDER BY cnt DESC, value) - 1 AS DOUBLE) AS idx
   FROM ({union}) c
@@ -72,38 +68,70 @@ _FXI = """fxi AS (
   JOIN idx cv ON cv.feature = 'converted' AND cv.value = CAST(fx.converted AS VARCHAR)
 )"""
 
-# Inner nodes of the depth-3 tree on the sf0.01 funnel view
-# (node, vector slot, source column, threshold, indexed category?).
-_SPLITS = """splits(node, feature, col, threshold, nominal) AS (VALUES
-  (1, 'quantity', 'quantity', 30.5::DOUBLE, false),
-  (2, 'discount', 'discount', 0.055::DOUBLE, false),
-  (3, 'priority_index', 'priority', 1.5::DOUBLE, true),
-  (4, 'quantity', 'quantity', 25.5::DOUBLE, false),
-  (5, 'p_type_index', 'p_type', 2.5::DOUBLE, true),
-  (6, 'discount', 'discount', 0.055::DOUBLE, false),
-  (7, 'priority_index', 'priority', 2.5::DOUBLE, true)
-)"""
+_DEPTH = 5
 
-_SEG = """seg AS (
-  SELECT fxi.*,
-    CASE WHEN quantity <= 30.5 THEN
-           CASE WHEN discount <= 0.055 THEN (CASE WHEN quantity <= 25.5 THEN 8 ELSE 9 END)
-                ELSE (CASE WHEN p_type_index <= 2.5 THEN 10 ELSE 11 END) END
-         ELSE
-           CASE WHEN priority_index <= 1.5 THEN (CASE WHEN discount <= 0.055 THEN 12 ELSE 13 END)
-                ELSE (CASE WHEN priority_index <= 2.5 THEN 14 ELSE 15 END) END
-    END AS leaf
-  FROM fxi
-)"""
+#: (vector slot, source column, indexed category?) of the rule queries' tree, in slot order.
+_SLOTS = [
+    ("quantity", "quantity", False),
+    ("discount", "discount", False),
+    ("priority_index", "priority", True),
+    ("p_type_index", "p_type", True),
+    ("segment_index", "segment", True),
+]
 
-_CONDS = """leaves(node) AS (VALUES (8), (9), (10), (11), (12), (13), (14), (15)),
-levels(level) AS (VALUES (1), (2), (3)),
-conds AS (
-  SELECT l.node, v.level, s.feature, s.col, s.threshold, s.nominal,
-         CASE WHEN (l.node >> (3 - v.level)) % 2 = 0 THEN '<=' ELSE '>' END AS op
-  FROM leaves l, levels v JOIN splits s ON s.node = l.node >> (4 - v.level)
-),
-ctext AS (
+
+def _grow(src: str, slots: list[tuple[str, str, bool]], depth: int = _DEPTH) -> str:
+    """CTEs splits (node, feature, col, threshold, nominal), seg (rows of ``src`` with their leaf),
+    leaves (node, depth) and conds: the gini tree over ``src``, whose columns hold the slots and the 0/1 label.
+
+    A cut lies halfway between a value of the node and the next value of the whole
+    table; ties go to the earlier slot, then to the lower threshold.
+    """
+    long = " UNION ALL ".join(f"SELECT {{n}} AS n, {i} AS f, CAST({c} AS DOUBLE) AS v, label AS y FROM {{t}}" for i, (c, _, _) in enumerate(slots))
+    names = ", ".join(f"({i}, '{c}', '{col}', {str(nom).lower()})" for i, (c, col, nom) in enumerate(slots))
+    value = "CASE b.f " + " ".join(f"WHEN {i} THEN w.{c}" for i, (c, _, _) in enumerate(slots)) + " END"
+    parts = [
+        f"cuts AS MATERIALIZED (SELECT f, v, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS threshold\n"
+        f"  FROM (SELECT DISTINCT f, v FROM ({long.format(n=0, t=src)})))",
+        f"w0 AS MATERIALIZED (SELECT {src}.*, 1 AS n FROM {src})",
+    ]
+    for k in range(depth):
+        parts.append(f"""b{k} AS MATERIALIZED (
+  SELECT n, f, threshold FROM (
+    SELECT *, row_number() OVER (PARTITION BY n ORDER BY gain DESC, f, threshold) AS rn FROM (
+      SELECT n, f, threshold, round(2 * (pt / ct) * (1 - pt / ct) - cl / ct * 2 * (pl / cl) * (1 - pl / cl)
+               - (ct - cl) / ct * 2 * ((pt - pl) / (ct - cl)) * (1 - (pt - pl) / (ct - cl)), 12) AS gain
+      FROM (
+        SELECT h.n, h.f, c.threshold,
+               sum(h.c) OVER (PARTITION BY h.n, h.f ORDER BY h.v) AS cl, sum(h.p) OVER (PARTITION BY h.n, h.f ORDER BY h.v) AS pl,
+               sum(h.c) OVER (PARTITION BY h.n, h.f) AS ct, sum(h.p) OVER (PARTITION BY h.n, h.f) AS pt
+        FROM (SELECT n, f, v, CAST(count(*) AS DOUBLE) AS c, CAST(sum(y) AS DOUBLE) AS p
+              FROM ({long.format(n='n', t=f'w{k}')}) WHERE n >= {2**k} GROUP BY n, f, v) h
+        JOIN cuts c ON c.f = h.f AND c.v = h.v
+      ) WHERE cl < ct
+    ) WHERE gain > 0
+  ) WHERE rn = 1
+)""")
+        parts.append(
+            f"w{k + 1} AS MATERIALIZED (SELECT w.* EXCLUDE (n), CASE WHEN b.n IS NULL THEN w.n WHEN {value} <= b.threshold "
+            f"THEN 2 * w.n ELSE 2 * w.n + 1 END AS n FROM w{k} w LEFT JOIN b{k} b ON b.n = w.n)"
+        )
+    union = " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(depth))
+    levels = ", ".join(f"({k})" for k in range(1, depth + 1))
+    parts.append(f"""slots(f, feature, col, nominal) AS (VALUES {names}),
+splits AS MATERIALIZED (SELECT b.n AS node, s.feature, s.col, b.threshold, s.nominal FROM ({union}) b JOIN slots s ON s.f = b.f),
+seg AS MATERIALIZED (SELECT w.* EXCLUDE (n), n AS leaf FROM w{depth} w),
+leaves AS MATERIALIZED (SELECT DISTINCT leaf AS node, CAST(floor(log2(leaf)) AS INTEGER) AS depth FROM seg),
+levels(level) AS (VALUES {levels}),
+conds AS MATERIALIZED (
+  SELECT l.node, l.depth, v.level, s.feature, s.col, s.threshold, s.nominal,
+         CASE WHEN (l.node >> (l.depth - v.level)) % 2 = 0 THEN '<=' ELSE '>' END AS op
+  FROM leaves l JOIN levels v ON v.level <= l.depth JOIN splits s ON s.node = l.node >> (l.depth - v.level + 1)
+)""")
+    return ",\n".join(parts)
+
+
+_CONDS = """ctext AS (
   SELECT c.*,
     CASE WHEN c.nominal THEN upper(c.col) || ' : ["' || coalesce((SELECT string_agg(i.value, '","' ORDER BY i.idx) FROM idx i
              WHERE i.feature = c.col AND CASE WHEN c.op = '<=' THEN i.idx <= c.threshold ELSE i.idx > c.threshold END), '') || '"]'
@@ -118,10 +146,10 @@ ctext AS (
   FROM conds c
 ),
 rules AS (SELECT node, string_agg(ptxt, '  &&  ' ORDER BY level DESC) AS rules FROM ctext GROUP BY node),
-lstat AS (SELECT leaf AS node, count(*) AS coverage, avg(converted) AS p FROM seg GROUP BY leaf),
+lstat AS (SELECT leaf AS node, count(*) AS coverage, avg(label) AS p FROM seg GROUP BY leaf),
 tot AS (SELECT count(*) AS total FROM fx)"""
 
-_TREE = f"WITH {_FX},\n{_IDX},\n{_FXI},\n{_SPLITS},\n{_SEG},\n{_CONDS}\n"
+_TREE = f"WITH {_FX},\n{_IDX},\n{_FXI},\n{_grow('fxi', _SLOTS)},\n{_CONDS}\n"
 
 
 def _pred(p: str = "p") -> str:
@@ -182,41 +210,16 @@ def _reduced(col: str, top: str) -> str:
     return f"CASE WHEN {top}.kept IS NULL THEN 'Other' WHEN {col} = '' THEN 'Unknown' ELSE {col} END"
 
 
-# Inner nodes of the depth-5 tree the whole pipeline fits on the
-# sf0.01 funnel view (node, source column, threshold); all nine candidate
-# features are kept (fewer than the 14 selected), so the forest's ranking does
-# not change the tree.
-_SEGMENT_SPLITS = [
-    (1, "quantity", 30.5), (2, "discount", 0.055), (3, "priority", 1.5), (4, "quantity", 25.5),
-    (5, "p_type", 2.5), (6, "discount", 0.055), (7, "priority", 2.5), (9, "nation", 5.5),
-    (10, "quantity", 25.5), (11, "p_type", 3.5), (12, "segment", 0.5), (13, "p_type", 2.5),
-    (15, "priority", 3.5), (18, "p_type", 2.5), (19, "nation", 20.5), (21, "first_hit_pagename", 14.5),
-    (22, "quantity", 25.5), (23, "quantity", 25.5), (24, "quantity", 33.5), (25, "nation", 19.5),
-    (26, "quantity", 42.5), (27, "p_type", 3.5), (30, "discount", 0.055),
-]
 _SEGMENT_CATS = ["priority", "p_type", "segment", "nation", "p_brand", "first_hit_pagename", "post_prop11_concat"]
 _SEGMENT_NUMS = ["quantity", "discount"]
-_SEGMENT_DEPTH = 5
-
-
+#: The categories in the order of the funnel view's columns, which is the slots' order.
+_SEGMENT_ORDER = ["p_type", "p_brand", "segment", "nation", "priority", "first_hit_pagename", "post_prop11_concat"]
 def _segment_report_sql() -> str:
-    splits = ",\n  ".join(
-        f"({n}, '{c}', {t!r}::DOUBLE, {'true' if c in _SEGMENT_CATS else 'false'})" for n, c, t in _SEGMENT_SPLITS
-    )
-    value = "CASE s.col " + " ".join(
-        [f"WHEN '{c}' THEN w.{c}" for c in _SEGMENT_NUMS] + [f"WHEN '{c}' THEN w.{c}_i" for c in _SEGMENT_CATS]
-    ) + " END"
-    walk = ["w0 AS (SELECT r.*, 1 AS n FROM r)"]
-    for k in range(1, _SEGMENT_DEPTH + 1):
-        walk.append(
-            f"w{k} AS (SELECT w.* EXCLUDE (n), CASE WHEN s.node IS NULL THEN w.n WHEN {value} <= s.threshold "
-            f"THEN 2 * w.n ELSE 2 * w.n + 1 END AS n FROM w{k - 1} w LEFT JOIN splits s ON s.node = w.n)"
-        )
     joins = "\n".join(
         f"JOIN idx i_{c} ON i_{c}.feature = '{c}' AND i_{c}.value = red.{c}" for c in _SEGMENT_CATS
     )
     idx_cols = ", ".join(f"i_{c}.idx AS {c}_i" for c in _SEGMENT_CATS)
-    depth = "CASE WHEN node < 2 THEN 0 WHEN node < 4 THEN 1 WHEN node < 8 THEN 2 WHEN node < 16 THEN 3 WHEN node < 32 THEN 4 ELSE 5 END"
+    slots = [(c, c, False) for c in _SEGMENT_NUMS] + [(f"{c}_i", c, True) for c in _SEGMENT_ORDER]
     return f"""WITH {_FX},
 base AS (
   SELECT p_type, p_brand, segment, nation, priority, quantity, discount,
@@ -231,20 +234,9 @@ red AS (
   FROM base b LEFT JOIN t1 ON b.fh IS NOT DISTINCT FROM t1.value LEFT JOIN t2 ON b.pp IS NOT DISTINCT FROM t2.value
 ),
 {_idx_block({c: c for c in _SEGMENT_CATS}, src="red")},
-r AS (SELECT red.*, {idx_cols} FROM red
+r AS (SELECT red.*, red.y AS label, {idx_cols} FROM red
 {joins}),
-splits(node, col, threshold, nominal) AS (VALUES
-  {splits}
-),
-{", ".join(walk)},
-seg AS (SELECT n AS leaf, y FROM w{_SEGMENT_DEPTH}),
-leaves AS (SELECT DISTINCT leaf AS node, {depth.replace('node', 'leaf')} AS depth FROM seg),
-levels(level) AS (VALUES (1), (2), (3), (4), (5)),
-conds AS (
-  SELECT l.node, v.level, s.col, s.threshold, s.nominal,
-         CASE WHEN (l.node >> (l.depth - v.level)) % 2 = 0 THEN '<=' ELSE '>' END AS op
-  FROM leaves l JOIN levels v ON v.level <= l.depth JOIN splits s ON s.node = l.node >> (l.depth - v.level + 1)
-),
+{_grow('r', slots)},
 ctext AS (
   SELECT c.*,
     CASE WHEN c.nominal THEN upper(c.col) || ' : ["' || coalesce((SELECT string_agg(i.value, '","' ORDER BY i.idx) FROM idx i
@@ -262,72 +254,41 @@ FROM lstat s JOIN rules r ON r.node = s.node, tot t
 """
 
 
-# Inner nodes of the depth-5 tree the all-categorical rule job
-# fits on the sf0.01 funnel view (node, source column, threshold on its
-# frequency index); all six candidate features are kept.
-_CATEGORICAL_SPLITS = [
-    (1, "priority", 1.5), (2, "p_type", 2.5), (3, "quantity", 23.5), (4, "quantity", 23.5),
-    (5, "p_type", 3.5), (6, "quantity", 18.5), (7, "priority", 2.5), (8, "quantity", 18.5),
-    (9, "quantity", 42.5), (10, "discount", 5.5), (11, "quantity", 23.5), (12, "quantity", 9.5),
-    (13, "p_type", 2.5), (14, "quantity", 42.5), (15, "priority", 3.5), (16, "quantity", 16.5),
-    (18, "quantity", 24.5), (19, "quantity", 44.5), (20, "discount", 0.5), (21, "discount", 8.5),
-    (22, "quantity", 18.5), (23, "quantity", 39.5), (24, "p_type", 2.5), (25, "quantity", 11.5),
-    (27, "p_type", 3.5), (28, "quantity", 40.5), (29, "quantity", 44.5), (30, "p_type", 2.5),
-    (31, "quantity", 42.5),
-]
 _CATEGORICAL_FEATURES = ["quantity", "discount", "priority", "p_type", "segment", "nation"]
 
 
 def _categorical_rules_sql() -> str:
     feats = _CATEGORICAL_FEATURES
-    splits = ",\n  ".join(f"({n}, '{c}', {t!r}::DOUBLE)" for n, c, t in _CATEGORICAL_SPLITS)
-    value = "CASE s.col " + " ".join(f"WHEN '{c}' THEN w.{c}_i" for c in feats) + " END"
-    walk = ["w0 AS (SELECT r.*, 1 AS n FROM r)"]
-    for k in range(1, _SEGMENT_DEPTH + 1):
-        walk.append(
-            f"w{k} AS (SELECT w.* EXCLUDE (n), CASE WHEN s.node IS NULL THEN w.n WHEN {value} <= s.threshold "
-            f"THEN 2 * w.n ELSE 2 * w.n + 1 END AS n FROM w{k - 1} w LEFT JOIN splits s ON s.node = w.n)"
-        )
     joins = "\n".join(f"JOIN idx i_{c} ON i_{c}.feature = '{c}' AND i_{c}.value = CAST(fx.{c} AS VARCHAR)" for c in feats)
     idx_cols = ", ".join(f"i_{c}.idx AS {c}_i" for c in feats)
-    unpivot = "\n    UNION ALL ".join(f"SELECT rid, '{c}' AS col, {c}_i AS idx FROM w" for c in feats)
-    depth = "CASE WHEN leaf < 2 THEN 0 WHEN leaf < 4 THEN 1 WHEN leaf < 8 THEN 2 WHEN leaf < 16 THEN 3 WHEN leaf < 32 THEN 4 ELSE 5 END"
+    unpivot = "\n    UNION ALL ".join(f"SELECT rid, '{c}' AS col, {c}_i AS idx FROM seg" for c in feats)
+    slots = [(f"{c}_i", c, True) for c in feats]
     side = "CASE WHEN {a}.op = '<=' THEN {b}.idx <= {a}.threshold ELSE {b}.idx > {a}.threshold END"
     return f"""WITH {_FX},
 {_idx_block({c: f"CAST({c} AS VARCHAR)" for c in feats})},
-r AS (SELECT row_number() OVER () AS rid, fx.converted AS y, {idx_cols} FROM fx
+r AS MATERIALIZED (SELECT row_number() OVER () AS rid, fx.converted AS label, {idx_cols} FROM fx
 {joins}),
-splits(node, col, threshold) AS (VALUES
-  {splits}
-),
-{", ".join(walk)},
-w AS (SELECT * FROM w{_SEGMENT_DEPTH}),
-leaves AS (SELECT DISTINCT n AS node, {depth.replace('leaf', 'n')} AS depth FROM w),
-levels(level) AS (VALUES (1), (2), (3), (4), (5)),
-conds AS (
-  SELECT l.node, v.level, s.col, s.threshold,
-         CASE WHEN (l.node >> (l.depth - v.level)) % 2 = 0 THEN '<=' ELSE '>' END AS op
-  FROM leaves l JOIN levels v ON v.level < l.depth JOIN splits s ON s.node = l.node >> (l.depth - v.level + 1)
-),
-merged AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node, col ORDER BY level DESC) AS k FROM conds) WHERE k = 1
+{_grow('r', slots)},
+merged AS MATERIALIZED (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node, col ORDER BY level DESC) AS k FROM conds WHERE level < depth) WHERE k = 1
 ),
 ctext AS (
   SELECT m.*, '(' || m.col || ' in (' || coalesce((SELECT string_agg(i.value, ',' ORDER BY i.idx) FROM idx i
            WHERE i.feature = m.col AND {side.format(a='m', b='i')}), '') || '))' AS txt
   FROM merged m
 ),
-rules AS (SELECT node, string_agg(txt, ' and ' ORDER BY level) AS rules, count(*) AS n_conds FROM ctext GROUP BY node),
-long AS (
+rules AS MATERIALIZED (SELECT node, string_agg(txt, ' and ' ORDER BY level) AS rules, count(*) AS n_conds FROM ctext GROUP BY node),
+long AS MATERIALIZED (
     {unpivot}
 ),
-hits AS (
-  SELECT m.node, l.rid FROM merged m JOIN long l ON l.col = m.col AND {side.format(a='m', b='l')}
-  GROUP BY m.node, l.rid
-  HAVING count(*) = (SELECT n_conds FROM rules q WHERE q.node = m.node)
+sat AS MATERIALIZED (
+  SELECT m.node, m.col, i.idx FROM merged m JOIN idx i ON i.feature = m.col WHERE {side.format(a='m', b='i')}
+),
+hits AS MATERIALIZED (
+  SELECT s.node, l.rid, count(*) AS met FROM long l JOIN sat s ON s.col = l.col AND s.idx = l.idx GROUP BY s.node, l.rid
 ),
-cov AS (SELECT node, count(*) AS coverage FROM hits GROUP BY node),
-lstat AS (SELECT n AS node, avg(y) AS p FROM w GROUP BY n),
+cov AS (SELECT h.node, count(*) AS coverage FROM hits h JOIN rules q ON q.node = h.node AND q.n_conds = h.met GROUP BY h.node),
+lstat AS (SELECT leaf AS node, avg(label) AS p FROM seg GROUP BY leaf),
 tot AS (SELECT count(*) AS total FROM fx)
 SELECT CAST(q.node AS INTEGER) AS node, {_pred('s.p')} AS prediction, {_prob('s.p')} AS probability, q.rules,
        CAST(coalesce(c.coverage, 0) AS BIGINT) AS coverage, {_freq('coalesce(c.coverage, 0)', 't.total')} AS frequency,
@@ -472,9 +433,9 @@ placed AS (
 SELECT CASE WHEN place < 0.6 THEN 'train' ELSE 'test' END AS part, count(*) AS rows FROM placed GROUP BY 1
 """,
     "tree_nodes": _TREE
-    + f""", anc AS (SELECT leaf >> k AS node, converted FROM seg, (VALUES (0), (1), (2), (3)) t(k)),
-nstat AS (SELECT node, avg(converted) AS p FROM anc GROUP BY node)
-SELECT CAST(n.node AS INTEGER) AS node, n.node >= 8 AS is_leaf, {_pred()} AS prediction, {_prob()} AS probability,
+    + f""", anc AS (SELECT leaf >> k AS node, label FROM seg, range(0, {_DEPTH + 1}) t(k) WHERE leaf >> k > 0),
+nstat AS (SELECT node, avg(label) AS p FROM anc GROUP BY node)
+SELECT CAST(n.node AS INTEGER) AS node, s.node IS NULL AS is_leaf, {_pred()} AS prediction, {_prob()} AS probability,
        round(2 * p * (1 - p), 6) AS impurity, s.feature AS feature_name, s.threshold AS threshold
 FROM nstat n LEFT JOIN splits s ON s.node = n.node
 """,
@@ -485,7 +446,7 @@ FROM conds GROUP BY node
 """,
     "leaf_paths_parent": _TREE
     + """, scoped AS (
-  SELECT 'parent' AS scope, * FROM conds WHERE level < 3
+  SELECT 'parent' AS scope, * FROM conds WHERE level < depth
   UNION ALL SELECT 'leaf' AS scope, * FROM conds
 ),
 merged AS (
@@ -513,7 +474,9 @@ FROM lstat s, tot t
 UNION ALL
 SELECT 'parent', CAST(l.node AS INTEGER), CAST(pc.coverage AS BIGINT),
        {_freq('pc.coverage', 't.total')}, {_freq_pct('pc.coverage', 't.total')}
-FROM leaves l JOIN (SELECT leaf >> 1 AS parent, count(*) AS coverage FROM seg GROUP BY 1) pc ON pc.parent = l.node >> 1, tot t
+FROM leaves l JOIN (SELECT leaf >> k AS node, count(*) AS coverage FROM seg, range(1, {_DEPTH + 1}) t(k) GROUP BY 1) pc
+     ON pc.node = l.node >> 1, tot t
+WHERE l.depth > 1
 """,
     "leaf_stats": _TREE
     + f"""SELECT CAST(node AS INTEGER) AS node, {_pred()} AS prediction, {_prob()} AS probability,
