@@ -9,6 +9,7 @@ matching SQL in :mod:`segrules.plans.oracle`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -386,7 +387,7 @@ def q_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         pipelines.segment_report(
             fx,
             RESPONSE,
-            forest=pipelines.ForestParams(num_trees=20, max_depth=5, seed=7),
+            forest=pipelines.ForestParams(seed=7),
             exclude=TAGS,
             page_column="first_hit_pagename",
         )
@@ -398,7 +399,7 @@ def q_rule_report_all_categorical(spark: SparkSession, sf_dir: str) -> DataFrame
     # N covers all six candidates, so the forest's ranking cannot change the tree.
     fx = _fixture_cut(spark, sf_dir, *TREE_FEATURES, "nation", RESPONSE)
     importance = pipelines.importance_job(
-        fx, [*TREE_FEATURES, "nation"], RESPONSE, pipelines.ForestParams(num_trees=20, max_depth=5, seed=7)
+        fx, [*TREE_FEATURES, "nation"], RESPONSE, replace(pipelines.IMPORTANCE_FOREST, seed=7)
     )
     return _report_rounded(pipelines.rules_job(fx, importance, 6, RESPONSE))
 
