@@ -30,7 +30,7 @@ from segrules.llm.common import mix64, pick
 
 #: Default place of the public tokenizer's model; a parameter, never copied.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 2_500_000  # code points that one batch of lattices takes on
+CHUNK = 1_000_000  # code points that one batch of lattices takes on
 
 SPACE = 0x2581  # stands for a space in pieces
 _LITERAL = 0x10FFFF + 1  # stands for that character itself where a text holds it
