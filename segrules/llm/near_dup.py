@@ -4,7 +4,7 @@ Documents with equal shingle sets are one class.  Classes walk down random
 trees: a node picks a few signature positions by its path, and a class goes to one
 child for each picked position, named by its minwise token there.  At every
 node the members are compared with one pivot; nodes whose members are not yet one
-group are branched further until they are small, and small nodes are compared
+group are branched further, a level at a time, until they are small, and small nodes are compared
 exhaustively.  Several independent trees bring the recall up.  All links are
 confirmed on full shingle sets, and linked classes are merged by
 distributed contraction.
@@ -25,14 +25,14 @@ from segrules.session import cut_lineage
 
 SHINGLE = 5
 SIMILARITY = 75  # in hundredths
-TREES = 12
+TREES = 8
+SHARED = 2.25  # picked positions per level that a pair at the threshold shares on average; with fewer it dies out with depth
 POSITIONS = 64  # minwise tokens that trees choose from
 SKETCH = 128  # one-byte minwise values for estimates
 #: Estimates below this are not verified: five standard deviations under the threshold (0.038 each).
 ESTIMATE = 0.55
 NODE = 1024  # members up to which a node is compared exhaustively
 DEPTH = 8
-STEP = 2  # levels that a large node branches at once
 ID_BITS = 2**21  # of the bitmap that thins documents before their texts are shuffled
 
 _RNG = np.random.default_rng(20)
@@ -124,10 +124,10 @@ def _matrix(column: pa.Array, dtype: type, width: int) -> np.ndarray:
 
 
 def _children(paths: np.ndarray, signature: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child) for each position that a row's path picks: 100 / similarity of them on average."""
+    """(row, child) for each position that a row's path picks: ``SHARED`` * 100 / similarity of them on average."""
     place = np.arange(POSITIONS, dtype=np.uint64)
     coins = mix64(mix64(paths)[:, None] + (place + np.uint64(1))[None, :] * _BASE)
-    picked = coins < np.uint64(int(2**64 * 100 / similarity / POSITIONS))
+    picked = coins < np.uint64(int(2**64 * SHARED * 100 / similarity / POSITIONS))
     rows, at = np.nonzero(picked)
     return rows, mix64(coins[rows, at] ^ mix64(signature[rows, at].astype(np.uint64) + _BASE))
 
@@ -146,16 +146,14 @@ def _first_level(trees: int, similarity: int):
     return run
 
 
-def _next_levels(similarity: int):
+def _next_level(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cids = b.column(1).to_numpy(zero_copy_only=False)
             paths = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             signature = _matrix(b.column(2), np.uint32, POSITIONS)
-            for _ in range(STEP):
-                rows, paths = _children(paths, signature, similarity)
-                cids, signature = cids[rows], signature[rows]
-            yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(cids, pa.int64())], ["node", "cid"])
+            rows, child = _children(paths, signature, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(cids[rows], pa.int64())], ["node", "cid"])
 
     return run
 
@@ -291,8 +289,12 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, similarity: int = SIMIL
 
     Scale: copies collapse in one aggregation before any comparison.  A node hands on
     one row per member, never pairs: members are compared with the pivot, nodes of one
-    colour end, large ones branch, and those still large after ``depth`` levels are cut into pairs
+    colour end, large ones with few members of other colours are cut into slices, the rest
+    branch, and those still large after ``depth`` levels are cut into pairs
     of blocks, so every task holds at most about ``node`` members and no member is left out.
+
+    Recall: a pair at the threshold shares ``SHARED`` children of a node on average, so its line
+    dies out with a bounded probability: over all trees 1e-6 at most, at each of the first eight levels.
     """
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
@@ -318,22 +320,30 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, similarity: int = SIMIL
     # Nodes that still hold several colours go on.
     colours = connected_components(links, rounds=3)
     leaves = None
-    for level in range(1, depth + 1, STEP):
+    for level in range(1, depth + 1):
         coloured = members.select("node", "cid").join(colours, F.col("cid") == F.col("v"), "left").select(
             "node", "cid", F.coalesce("comp", "cid").alias("colour")
         )
-        mixed = coloured.groupBy("node").agg(F.count("cid").alias("size"), F.min("colour").alias("c0"), F.max("colour").alias("c1")).where("c0 != c1")
-        alive = cut_lineage(coloured.join(mixed.select("node", "size"), "node"), "mixed")
+        tallied = coloured.groupBy("node", "colour").agg(F.count("cid").alias("k"))
+        mixed = (
+            tallied.groupBy("node")
+            .agg(F.sum("k").alias("size"), F.count("*").alias("colours"), F.max(F.struct("k", "colour")).alias("top"))
+            .where("colours > 1")
+            .select("node", "size", F.col("top.k").alias("top_size"), F.col("top.colour").alias("top"))
+        )
+        alive = cut_lineage(coloured.join(mixed, "node"), "mixed")
+        few_others = 2 * (F.col("size") - F.col("top_size")) <= node
         small = alive.where(F.col("size") <= node).select("node", "cid", "colour")
-        leaves = small if leaves is None else leaves.union(small)
-        large = alive.where(F.col("size") > node)
+        sliced = _slices(alive.where((F.col("size") > node) & few_others), node)
+        leaves = small.union(sliced) if leaves is None else leaves.union(small).union(sliced)
+        large = alive.where((F.col("size") > node) & ~few_others)
         if large.isEmpty():
             break
-        if level + STEP > depth:
+        if level == depth:
             leaves = leaves.union(_block_pairs(large, node))
             break
         grown = large.select("node", "cid").join(classes.select("cid", "signature"), "cid").select("node", "cid", "signature")
-        members = cut_lineage(grown.mapInArrow(_next_levels(similarity), "node long, cid long").distinct(), "members")
+        members = cut_lineage(grown.mapInArrow(_next_level(similarity), "node long, cid long").distinct(), "members")
 
     described_leaves = leaves.join(sketches, "cid").select("node", "cid", "colour", "n", "sketch")
     sorted_leaves = described_leaves.repartition("node").sortWithinPartitions("node", "cid")
@@ -390,6 +400,16 @@ def _confirm(rows: DataFrame, classes: DataFrame, sketches: DataFrame, pairs: Da
     return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long"), "links")
 
 
+def _slices(large: DataFrame, node: int) -> DataFrame:
+    """Members of nodes with one large colour and few others: the colour is cut into slices, and each slice
+    with all the others becomes a node of its own.  Every pair of unlike colour meets; rows at most double."""
+    sliced = large.withColumn("slices", F.ceil(2 * F.col("top_size") / node).cast("int"))
+    own = F.array(F.pmod(F.xxhash64("cid"), F.col("slices")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("slices") - 1)
+    at = sliced.withColumn("slice", F.explode(F.when(F.col("colour") == F.col("top"), own).otherwise(every)))
+    return at.select(F.xxhash64("node", "slice").alias("node"), "cid", "colour")
+
+
 def _block_pairs(large: DataFrame, node: int) -> DataFrame:
     """Members of nodes that stayed large, cut into blocks; each pair of blocks becomes a node of its own."""
     blocks = F.ceil(2 * F.col("size") / node).cast("int")
