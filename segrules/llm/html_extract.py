@@ -3,8 +3,8 @@
 The standard library's streaming parser cuts a page into lines, one per
 block of text.  Each line has the ratio of its text to its tags; the ratios
 are smoothed along the page, and a threshold separates content lines from
-the rest.  The container in which the content lines' text gathers is the content
-region, and all its lines that no boilerplate element holds are the text.
+the rest.  The lowest container that holds all content lines and the heading before
+them is the content region, and all its lines that no boilerplate element holds are the text.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGION = frozenset("article main section div td body html".split())
 ENDS_P = BLOCK - {"html", "body", "caption", "legend", "summary", "td", "th", "tr", "tbody", "thead", "tfoot", "title"}
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar alert".split())
@@ -51,6 +52,8 @@ class Line:
     tags: int  # tags met in the line, its own included
     region: int  # number of the innermost region element around it, or -1
     good: bool  # not inside a boilerplate element
+    heading: bool
+    prose: bool  # in a paragraph or heading
 
 
 class _Lines(HTMLParser):
@@ -72,7 +75,8 @@ class _Lines(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         self.text = []
         if text:
-            self.lines.append(Line(text, self.tags + 1, self.region, not self.bad))
+            heading = any(self.open_tags[t] for t in HEADINGS)
+            self.lines.append(Line(text, self.tags + 1, self.region, not self.bad, heading, heading or self.open_tags["p"] > 0))
             self.tags = 0
 
     def open(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -182,9 +186,11 @@ def main_text(html: str | None) -> str:
 
     Character references are decoded, white space inside a block becomes one
     space.  Lines inside boilerplate elements (by tag, role, class or id) never count.
-    The region is the ``article`` or ``main`` element that holds most of such
-    elements' text, else the deepest element with nine tenths of the content
-    lines' text; all its lines are kept.
+    The region is the ``main`` around the ``article`` that holds most of such elements'
+    text, else that article and its sibling articles; without an article the ``main`` that
+    holds most; else the lowest element that holds all content lines and the
+    heading before them, or the highest one around it with paragraphs or headings of its own.  All lines of
+    the region are kept; without one, all from the first content line, or the heading before it, to the last.
     """
     if not html:
         return ""
@@ -194,34 +200,45 @@ def main_text(html: str | None) -> str:
         return ""
     content = content_lines(lines)
     own = [0] * len(page.names)  # code points below each region element
-    weight = [0] * len(page.names)  # those in content lines
-    for line, is_content in zip(lines, content):
+    for line in lines:
         if line.region >= 0:
             own[line.region] += len(line.text)
-            weight[line.region] += is_content * len(line.text)
     for n in range(len(page.names) - 1, -1, -1):
         if page.parents[n] >= 0:
             own[page.parents[n]] += own[n]
-            weight[page.parents[n]] += weight[n]
-    best = -1
+    best: set[int] = set()
     for tag in ("article", "main"):
         held = [n for n, name in enumerate(page.names) if name == tag and own[n]]
         most = max(held, key=lambda n: (own[n], -n), default=-1)
         # Teaser lists hold many small articles: then the element around them decides.
         if most >= 0 and own[most] * 2 >= sum(own[n] for n in held if page.parents[n] < 0 or page.names[page.parents[n]] != tag):
-            best = most
+            around = [n for n in _upwards(page, most) if page.names[n] == "main"]
+            best = {around[-1]} if around else {n for n in held if page.parents[n] == page.parents[most]}
             break
-    if best < 0:
-        whole = sum(len(x.text) for x, is_content in zip(lines, content) if is_content)
-        best = max((n for n in range(len(page.names)) if weight[n] * 10 >= whole * 9), default=-1)  # numbers grow with depth
-    if best < 0:
-        return "\n\n".join(x.text for x, is_content in zip(lines, content) if is_content)
+    if not best:
+        at = [i for i, is_content in enumerate(content) if is_content]
+        heading = next((i for i in range(at[0] - 1, -1, -1) if lines[i].heading), at[0])
+        paths = [_upwards(page, lines[i].region) for i in {heading, *at}]
+        common = max(set(paths[0]).intersection(*paths[1:]), default=-1)  # numbers grow with depth
+        if common < 0:
+            return "\n\n".join(x.text for x in lines[heading : at[-1] + 1])
+        direct = {x.region for x in lines if x.prose}
+        best = {min((n for n in _upwards(page, common) if n in direct), default=common)}
     inside = [False] * len(page.names)
     for n, parent in enumerate(page.parents):
-        inside[n] = n == best or (parent >= 0 and inside[parent])
+        inside[n] = n in best or (parent >= 0 and inside[parent])
     return "\n\n".join(x.text for x in lines if x.region >= 0 and inside[x.region])
 
 
+def _upwards(page: _Lines, n: int) -> list[int]:
+    """A region element and those around it."""
+    out = []
+    while n >= 0:
+        out.append(n)
+        n = page.parents[n]
+    return out
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars (code points).
 
