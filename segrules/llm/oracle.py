@@ -80,9 +80,54 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 10"""
 
+URLS = """
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, row_number() OVER () AS rid,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(verdict, h, s) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fits AS (
+  SELECT rid, h || s AS rule, verdict, row_number() OVER (PARTITION BY rid ORDER BY length(h) DESC, length(s) DESC) AS k
+  FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN fits ON p.rid = fits.rid AND k = 1"""
+
+_NEAREST = """a{i} AS MATERIALIZED (
+  SELECT rid, part, v, min_by(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT x.rid, x.part, x.v, c.entry, list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
+    FROM x JOIN c{i} c ON x.part = c.part)
+  GROUP BY rid, part, v)"""
+_MOVED = """c{j} AS MATERIALIZED (
+  SELECT c.part, c.entry, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (
+    SELECT part, entry, list(mean ORDER BY pos) AS v FROM (
+      SELECT part, entry, pos, floor(sum(v[pos])::DOUBLE / count(*))::BIGINT AS mean
+      FROM (SELECT part, entry, v, unnest([1, 2, 3, 4]) AS pos FROM a{i}) GROUP BY part, entry, pos)
+    GROUP BY part, entry) m ON m.part = c.part AND m.entry = c.entry)"""
+VECTOR_CODES = f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT rid, part, q[4 * part + 1:4 * part + 4] AS v FROM (SELECT rid, q, unnest(range(16)) AS part FROM k)),
+c0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, v FROM x WHERE rid <= 64),
+{_NEAREST.format(i=0)},
+{_MOVED.format(i=0, j=1)},
+{_NEAREST.format(i=1)},
+{_MOVED.format(i=1, j=2)},
+{_NEAREST.format(i=2)},
+coded AS (
+  SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY rid),
+books AS (
+  SELECT sha256(string_agg(v[pos]::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256
+  FROM (SELECT part, entry, v, unnest([1, 2, 3, 4]) AS pos FROM c2))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM k JOIN coded USING (rid), books"""
+
 ORACLE_SQL = {
     "op3_decontamination": decontamination_sql("documents"),
     "op6_line_dedup": line_dedup_sql("documents", "doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256"),
     "op7_near_dedup": near_dedup_sql("documents"),
     "op10_topk_search": TOP_K,
+    "op12_url_filter": URLS,
+    "op13_vector_codes": VECTOR_CODES,
 }

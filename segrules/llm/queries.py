@@ -15,8 +15,19 @@ from segrules.llm.pii import KINDS, find_personal_data, span_text
 from segrules.llm.quality_gbt import THRESHOLD, fit_quality, is_held_out, score_quality
 from segrules.llm.sharding import assign_shards
 from segrules.llm.spm_sample import sample_segmentations
+from segrules.llm.token_links import align_tokenizers
 from segrules.llm.topk_search import exact_top_k
-
+from segrules.llm.url_rules import judge_urls
+from segrules.llm.vector_codes import compress_vectors
+
+# The rules (action, host, path) of the url query.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
 SHARDS = [f"shard-{i:03d}" for i in range(128)]
 
 
@@ -85,6 +96,19 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(documents(spark, sf_dir), digest=True)
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return judge_urls(documents(spark, sf_dir, "pages"), rules)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(documents(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_class_lm": op2_class_lm,
@@ -96,4 +120,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_html_extraction": op9_html_extraction,
     "op10_topk_search": op10_topk_search,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_url_filter": op12_url_filter,
+    "op13_vector_codes": op13_vector_codes,
 }
