@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorIndexer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segrules.operators.features import INDEX_SUFFIX, FeatureMatrix, feature_matrix, slot_names
-from segrules.session import checkpoint_root
+from segrules.operators.features import FeatureMatrix, feature_matrix, plain_vector, slot_names
+from segrules.operators.routing import node_counts
+from segrules.session import checkpoint_root, cut_lineage, shared_path
+from segrules.sources.tables import quote_name
 
 IMPORTANCE_SCHEMA = "feature_name string, importance double"
 
 
-def random_forest_importance(
+@dataclass
+class FittedForest:
+    fm: FeatureMatrix
+    model: RandomForestClassificationModel
+
+
+def fit_forest(
     df: DataFrame,
     response: str,
     features: Sequence[str] | None = None,
@@ -32,15 +41,15 @@ def random_forest_importance(
     checkpoint_interval: int = 10,
     subsampling_rate: float = 1.0,
     fm: FeatureMatrix | None = None,
-) -> DataFrame:
-    """(feature_name, importance) from a random forest, most important first.
+    bootstrap: bool = True,
+    continuous: bool = False,
+) -> FittedForest:
+    """A random forest over the feature matrix.
 
     Strings (and the response) are frequency-indexed, numerics assembled
     first, slots with at most ``max_categories`` values marked categorical by
-    ``VectorIndexer``.  Training is MLlib's distributed level-wise histogram
-    aggregation; only the importance vector (one value per feature) comes
-    back, and is paired with the slot names read from the vector metadata,
-    ordered by slot index.
+    ``VectorIndexer``; with ``continuous`` every slot is split as a number, indexes too.  One tree sees all
+    features at every node, and without ``bootstrap`` all rows: such a forest has no randomness.
 
     Like the tree's, the forest's candidate thresholds come from a sample of rows
     when a slot has more values than ``max_bins``.
@@ -55,10 +64,10 @@ def random_forest_importance(
     """
     if fm is None:
         fm = feature_matrix(df, response, features=features, all_categorical=all_categorical)
-    indexer = VectorIndexer(inputCol="features", outputCol="features" + INDEX_SUFFIX, maxCategories=max_categories)
+    indexer = VectorIndexer(inputCol="features", outputCol="indexed", maxCategories=max_categories)
     params = dict(
-        labelCol=fm.label_col,
-        featuresCol="features" + INDEX_SUFFIX,
+        labelCol="label",
+        featuresCol="features" if continuous else "indexed",
         numTrees=num_trees,
         maxDepth=max_depth,
         maxBins=max_bins,
@@ -67,22 +76,105 @@ def random_forest_importance(
         cacheNodeIds=True,
         checkpointInterval=checkpoint_interval,
         subsamplingRate=subsampling_rate,
+        bootstrap=bootstrap,
     )
     checkpoint_root(df.sparkSession)
     if seed is not None:
         params["seed"] = seed
+    vector = plain_vector(fm.slots).alias("features") if continuous else F.col(fm.output_col).alias("features")
     # Kept for the fit: the indexer pass and the forest's first passes read it
     # before MLlib caches its binned points.
-    train = fm.data.select(fm.label_col, "features").persist(StorageLevel.MEMORY_AND_DISK)
+    train = fm.data.select(F.col(quote_name(fm.label_col)).alias("label"), vector).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = Pipeline(stages=[indexer, RandomForestClassifier(**params)]).fit(train)
+        model = Pipeline(stages=[*([] if continuous else [indexer]), RandomForestClassifier(**params)]).fit(train)
     finally:
         train.unpersist()
-    names = slot_names(fm.data, "features")
-    weights = model.stages[-1].featureImportances.toArray()
-    rows = [(fm.nominal.get(n, n), float(w)) for n, w in zip(names, weights)]
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, IMPORTANCE_SCHEMA).orderBy(F.desc("importance"), "feature_name")
+    return FittedForest(fm, model.stages[-1])
+
+
+def random_forest_importance(df: DataFrame, response: str, **forest) -> DataFrame:
+    """(feature_name, importance) from a random forest, most important first; parameters as in :func:`fit_forest`.
+
+    Training is MLlib's distributed level-wise histogram
+    aggregation; only the importance vector (one value per feature) comes
+    back, and is paired with the slot names read from the vector metadata,
+    ordered by slot index.
+    """
+    fitted = fit_forest(df, response, **forest)
+    names = slot_names(fitted.fm.data, fitted.fm.output_col)
+    weights = fitted.model.featureImportances.toArray()
+    rows = [(fitted.fm.nominal.get(n, n), float(w)) for n, w in zip(names, weights)]
+    return df.sparkSession.createDataFrame(rows, IMPORTANCE_SCHEMA).orderBy(F.desc("importance"), "feature_name")
+
+
+def ensemble_nodes(fitted: FittedForest) -> DataFrame:
+    """One row per node of every tree: tree, id, depth, node, is_leaf, count, impurity, gain, feature_index, feature_name, threshold,
+    left_categories, prediction.
+
+    The saved forest's own node table, in the shared folder.  ``node`` is the heap id (root 1, children 2n and
+    2n + 1), found level by level from the edges, all trees at once.  A split on a number has a threshold (left is
+    ``<=``), one on a categorical slot the categories that go left.  ``count`` is the node's training weight.
+    """
+    spark = fitted.fm.data.sparkSession
+    path = shared_path(spark, "forest")
+    fitted.model.write().overwrite().save(path)
+    raw = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    inner = F.col("leftChild") >= 0
+    edges = raw.where(inner).select(
+        F.col("treeID").alias("tree"), F.col("id").alias("parent"),
+        F.explode(F.array(F.struct(F.col("leftChild").alias("child"), F.lit(0).alias("dir")), F.struct(F.col("rightChild").alias("child"), F.lit(1).alias("dir")))).alias("e"),
+    ).select("tree", "parent", "e.child", "e.dir")
+    level = raw.where("id = 0").select(F.col("treeID").alias("tree"), "id", F.lit(1).cast("long").alias("node"), F.lit(0).alias("depth"))
+    walk = level
+    for _ in range(max(t.depth for t in fitted.model.trees)):
+        below = level.join(edges, (level["tree"] == edges["tree"]) & (level["id"] == edges["parent"])).select(
+            edges["tree"], F.col("child").alias("id"), (F.col("node") * 2 + F.col("dir")).alias("node"), (F.col("depth") + 1).alias("depth")
+        )
+        level = cut_lineage(below, "level")
+        walk = walk.unionByName(level)
+    slots = F.array(*[F.lit(s) for s in fitted.fm.slots])
+    number = inner & (F.col("split.numCategories") < 0)
+    sides = F.col("split.leftCategoriesOrThreshold")
+    nodes = raw.join(walk, (raw["treeID"] == walk["tree"]) & (raw["id"] == walk["id"])).select(
+        "tree", raw["id"], "depth", "node", (~inner).alias("is_leaf"),
+        F.aggregate("impurityStats", F.lit(0.0), lambda a, x: a + x).alias("count"), "impurity",
+        F.when(inner, F.col("gain")).alias("gain"),
+        F.when(inner, F.col("split.featureIndex")).alias("feature_index"),
+        F.when(inner, F.get(slots, F.col("split.featureIndex"))).alias("feature_name"),
+        F.when(number, F.get(sides, F.lit(0))).alias("threshold"),
+        F.when(inner & ~number, sides).alias("left_categories"),
+        "prediction",
+    )
+    return cut_lineage(nodes, "forest-nodes")
+
+
+def ensemble_importance(nodes: DataFrame, fm: FeatureMatrix) -> DataFrame:
+    """(feature_name, importance, splits) from the node table, by grouped sums: in each tree a split adds its gain times its
+    count to its feature, trees are brought to a sum of 1, added, and the total is brought to 1 again.
+
+    Features that no tree splits on have importance 0.  Names go by the slot's index, index columns by their source.
+    """
+    split = nodes.where(~F.col("is_leaf"))
+    per_tree = split.groupBy("tree", "feature_index").agg(F.sum(F.col("gain") * F.col("count")).alias("w"), F.count("*").alias("k"))
+    whole = per_tree.groupBy("tree").agg(F.sum("w").alias("all"))
+    shares = per_tree.join(whole, "tree").groupBy("feature_index").agg(
+        F.sum(F.when(F.col("all") > 0, F.col("w") / F.col("all")).otherwise(0.0)).alias("share"), F.sum("k").alias("splits")
+    )
+    spark = nodes.sparkSession
+    named = spark.createDataFrame([(i, fm.nominal.get(s, s)) for i, s in enumerate(fm.slots)], "feature_index int, feature_name string")
+    joined = named.join(shares, "feature_index", "left")
+    total = shares.agg(F.sum("share").alias("total"))
+    value = F.when(F.col("total") > 0, F.col("share") / F.col("total"))
+    summed = joined.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")  # one row of totals
+    return summed.select(
+        "feature_name", F.coalesce(value, F.lit(0.0)).alias("importance"), F.coalesce("splits", F.lit(0)).cast("long").alias("splits")
+    )
+
+
+def recount_nodes(nodes: DataFrame, data: DataFrame, tree: int = 0) -> DataFrame:
+    """(node, rows): how many rows of ``data`` pass each node of one tree of the node table, counted by routing them."""
+    table = nodes.where(F.col("tree") == tree).collect()  # one tree's nodes
+    return node_counts(data, table)
 
 
 def select_top_features(importance: DataFrame, n: int, response: str | None = None, drop_response: bool = False) -> DataFrame:

@@ -1,10 +1,8 @@
 """Leaf report: prediction, probability, readable rule, coverage, frequency.
 
-Coverage of every rule comes from **one** aggregation over the data: one
-``count_if(rule_i)`` per leaf plus the total, evaluated by generated code in a
-single scan, partially aggregated per task and merged from one row per task.
-The rule table (at most 2^depth leaves) is collected once to build those
-predicates; no data goes through the driver.
+Coverage comes from routing the rows down the tree (:mod:`segrules.operators.routing`): one count by
+leaf, and sums over the node table.  ``coverage_counts`` counts given predicates instead, in one
+aggregation: one ``count_if(rule_i)`` per rule plus the total, partially aggregated per task.
 """
 
 from __future__ import annotations
@@ -13,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from segrules.operators.rules import leaf_rules, rule_predicate, rule_text
+from segrules.operators.routing import node_counts, rule_counts
+from segrules.operators.rules import leaf_conditions, leaf_rules, rule_text
 from segrules.operators.tree import SegmentTree
 
 REPORT_SCHEMA = StructType(
@@ -60,39 +59,27 @@ def rule_report(
     min_leaves: int = 2,
     skip_empty: bool = True,
     rename: dict[str, str] | None = None,
+    with_label: bool = False,
+    invalid: str = "keep",
 ) -> DataFrame:
     """One row per leaf rule: node, prediction, probability, rules, coverage, frequency, frequency_pct.
 
     ``min_leaves``: trees with fewer leaves give an empty report (2 = only a
     single-leaf tree is dropped; 4 drops trees with three leaves or fewer).
     ``skip_empty``: leaves whose rule has no condition (parent scope, depth 1)
-    are left out.
+    are left out.  ``with_label`` adds predicted_label, the class that ``prediction`` numbers.
+    ``data`` and ``invalid``: see :func:`leaf_coverage`.
     """
     spark = tree.nodes.sparkSession
-    data = tree.fm.data if data is None else data
-    stats = tree.leaves.select("node", "prediction", "probability")
-    # One row per leaf (at most 2^max_depth): kept in memory so the predicate
-    # build below and the final join read it once.
-    rules = (
-        leaf_rules(tree, scope, merge)
-        .join(stats, "node", "right")
-        .select("node", "rule_list", rule_text("rule_list", style, rename).alias("rules"), "prediction", "probability")
-        .cache()
-    )
-    collected = rules.select("node", "rule_list").collect()
-    n_leaves = len(collected)
-    if n_leaves < max(min_leaves, 2):
-        rules.unpersist()
-        return spark.createDataFrame([], REPORT_SCHEMA)
-    if skip_empty:
-        collected = [r for r in collected if r["rule_list"]]
-    if not collected:
-        rules.unpersist()
-        return spark.createDataFrame([], REPORT_SCHEMA)
-    preds = [(r["node"], rule_predicate(r["rule_list"] or [])) for r in sorted(collected, key=lambda r: r["node"])]
-    cov = coverage_counts(data, preds)
+    schema = StructType([*REPORT_SCHEMA.fields, *([StructField("predicted_label", StringType())] if with_label else [])])
+    if tree.leaves.count() < max(min_leaves, 2):
+        return spark.createDataFrame([], schema)
+    rules = leaf_rules(tree, scope, merge).select("node", rule_text("rule_list", style, rename).alias("rules"))
+    stats = tree.leaves.select("node", "prediction", "probability", "predicted_label")
+    texts = stats.join(rules, "node", "inner" if skip_empty else "left").select("*", F.coalesce("rules", F.lit("")).alias("text")).drop("rules")
+    cov = leaf_coverage(tree, data, scope, merge, invalid)
     return (
-        cov.join(F.broadcast(rules.drop("rule_list")), "node")
+        cov.join(texts.withColumnRenamed("text", "rules"), "node")
         .select(
             F.col("node").cast("int"),
             "prediction",
@@ -101,5 +88,33 @@ def rule_report(
             "coverage",
             frequency(F.col("coverage"), F.col("total")).alias("frequency"),
             frequency_pct(F.col("coverage"), F.col("total")).alias("frequency_pct"),
+            *(["predicted_label"] if with_label else []),
         )
     )
+
+
+def leaf_coverage(tree: SegmentTree, data: DataFrame | None = None, scope: str = "full", merge: str = "all", invalid: str = "keep") -> DataFrame:
+    """(node, coverage, total): rows that each leaf's rule covers, in one pass over ``data`` and without a list of values.
+
+    Whole paths, and the parent scope's that end one node higher, are node counts of the routed rows; with
+    ``merge='last'`` a rule may cover more than its node, and is counted on cells of the used cuts.
+    ``data`` (default: the rows the tree was fitted on) gets the tree's index first; values it lacks go by ``invalid``.
+    """
+    data = tree.fm.data if data is None else tree.fm.transform(data, invalid, with_response=False)
+    nodes = tree.nodes.collect()  # at most 2^(depth + 1) rows
+    leaves = tree.leaves.select("node", "depth")
+    if merge == "all":
+        counts = node_counts(data, nodes)
+        at = F.when((F.lit(scope) == "parent") & (F.col("node") > 1), F.expr("shiftright(node, 1)")).otherwise(F.col("node"))
+    else:
+        conditions = leaf_conditions(tree.nodes, scope, merge).collect()  # at most depth of them a leaf
+        counts = rule_counts(data, conditions)
+        # the empty rule of the parent scope at depth 1 covers every row, as node 1 does
+        at = F.when(F.col("node").isin(sorted({c["node"] for c in conditions})), F.col("node")).otherwise(1)
+    total = counts.where("node = 1").select(F.col("rows").alias("total"))
+    wanted = leaves.select("node", at.alias("at"))
+    counted = wanted.join(counts.withColumnRenamed("node", "at"), "at", "left")
+    one = total.withColumn("one", F.lit(1))  # a single row
+    return counted.withColumn("one", F.lit(1)).join(one, "one").select(
+        "node", F.coalesce("rows", F.lit(0)).cast("long").alias("coverage"), F.col("total").cast("long").alias("total")
+    )

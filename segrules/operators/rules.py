@@ -17,8 +17,8 @@ widen a rule: ``x <= 8`` then ``x > 4`` keeps only ``x > 4``);
 ``merge='all'`` keeps every condition.
 
 A condition on an indexed category (``idx <= t``) is expanded to the list of
-category values on that side, ordered by index, read from the fitted
-indexer's labels.
+category values on that side, ordered by index, joined from the index table by
+the intervals between the cuts that the rules use.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from segrules.operators.features import labels_frame
+from segrules.operators.features import condition_values, interval_values
 from segrules.operators.tree import SegmentTree
 from segrules.sources.tables import quote_name
 
@@ -80,32 +80,19 @@ def leaf_rules(tree: SegmentTree, scope: str = "full", merge: str = "all") -> Da
     threshold, nominal, values (category values on the branch's side, by
     index; empty for numeric conditions).
     """
-    spark = tree.nodes.sparkSession
     conds = leaf_conditions(tree.nodes, scope, merge)
     nominal = dict(tree.fm.nominal)
+    values = F.array().cast("array<string>")
     if nominal:
         src = F.create_map(*[F.lit(x) for kv in nominal.items() for x in kv])
         conds = conds.withColumn("column", F.coalesce(F.try_element_at(src, F.col("feature")), F.col("feature")))
         conds = conds.withColumn("nominal", F.col("feature").isin(list(nominal)))
+        sides = conds.where("nominal").select("node", "level", F.col("column").alias("feature"), "op", "threshold")
+        cuts = sides.select("feature", "threshold")
+        matched = condition_values(sides, interval_values(tree.fm.index, cuts), cuts, ["node", "level"])
+        conds = conds.join(matched, ["node", "level"], "left").withColumn("values", F.coalesce(F.col("values"), values))
     else:
-        conds = conds.withColumn("column", F.col("feature")).withColumn("nominal", F.lit(False))
-    values = F.array().cast("array<string>")
-    if nominal and tree.fm.labels:
-        lookup = labels_frame(spark, tree.fm.labels).withColumnRenamed("feature", "column")
-        side = F.when(F.col("op") == LEFT, F.col("idx") <= F.col("threshold")).otherwise(F.col("idx") > F.col("threshold"))
-        matched = (
-            conds.where("nominal")
-            .join(lookup, "column")
-            .where(side)
-            .groupBy("node", "level")
-            .agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("__vals"))
-            .select("node", "level", F.transform("__vals", lambda s: s["value"]).alias("values"))
-        )
-        conds = conds.join(matched, ["node", "level"], "left").withColumn(
-            "values", F.coalesce(F.col("values"), values)
-        )
-    else:
-        conds = conds.withColumn("values", values)
+        conds = conds.withColumn("column", F.col("feature")).withColumn("nominal", F.lit(False)).withColumn("values", values)
     cond = F.struct("level", "feature", "column", "op", "threshold", "nominal", "values")
     return conds.groupBy("node").agg(F.array_sort(F.collect_list(cond)).alias("rule_list"))
 

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segrules.operators.features import FeatureMatrix, feature_matrix, plain_vector
-from segrules.session import shared_path
+from segrules.session import cut_lineage, shared_path
+from segrules.sources.tables import quote_name
 
 PLAIN_FEATURES = "features_plain"
 LEAF_COL = "leaf"
@@ -76,12 +77,12 @@ def fit_segment_tree(
     # The fit reads its input several times before MLlib caches its own
     # binned points (metadata, split candidates, first level), so the narrow
     # (label, vector) frame is kept for the duration of the fit.
-    train = fm.data.select(F.col(fm.label_col), plain_vector(fm.slots).alias(PLAIN_FEATURES)).persist(
+    train = fm.data.select(F.col(quote_name(fm.label_col)).alias("label"), plain_vector(fm.slots).alias(PLAIN_FEATURES)).persist(
         StorageLevel.MEMORY_AND_DISK
     )
     reg = DecisionTreeRegressor(
         featuresCol=PLAIN_FEATURES,
-        labelCol=fm.label_col,
+        labelCol="label",
         impurity="variance",
         maxDepth=max_depth,
         maxBins=max_bins,
@@ -178,9 +179,8 @@ def node_table(model: DecisionTreeRegressionModel, slots: Sequence[str], labels:
         F.try_element_at(slot_arr, F.col("feature_index") + 1).alias("feature_name"),
         "threshold",
     )
-    # Kept in memory (a few dozen rows): later uses skip the walk.  A lost
-    # block is rebuilt from the saved model in the shared folder.
-    return table.coalesce(1).cache()
+    # Written next to the model (a few dozen rows): later uses skip the walk.
+    return cut_lineage(table.coalesce(1), "nodes")
 
 
 def score_rows(tree: SegmentTree, keep: Sequence[str] = ()) -> DataFrame:
@@ -191,7 +191,7 @@ def score_rows(tree: SegmentTree, keep: Sequence[str] = ()) -> DataFrame:
     out = tree.model.transform(tree.data)
     p = F.col("prediction")
     return out.select(
-        *[F.col(k) for k in keep],
+        *[F.col(quote_name(k)) for k in keep],
         F.col(LEAF_COL).cast("int").alias("leaf_index"),
         F.when(p > 0.5, F.lit(1.0)).otherwise(F.lit(0.0)).alias("prediction"),
         F.greatest(p, 1 - p).alias("probability"),
@@ -205,7 +205,7 @@ def leaf_stats(tree: SegmentTree) -> DataFrame:
     aggregation per task), joined to the leaf table for heap ids.
     """
     scored = tree.model.transform(tree.data)
-    y = F.col(tree.fm.label_col)
+    y = F.col(quote_name(tree.fm.label_col))
     stats = scored.groupBy(F.col(LEAF_COL).cast("int").alias("leaf_index")).agg(
         F.count(F.lit(1)).alias("coverage"), F.avg(y).alias("p")
     )

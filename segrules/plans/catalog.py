@@ -18,7 +18,7 @@ from segrules.functions import paths
 from segrules.operators import features as feat
 from segrules.operators.importance import random_forest_importance, select_top_features
 from segrules.operators.reduce import reduce_topn, reduce_topn_multi, value_counts_window, value_rank
-from segrules.operators.report import coverage_counts, frequency, frequency_pct, rule_report
+from segrules.operators.report import frequency, frequency_pct, leaf_coverage, rule_report
 from segrules.operators.rules import leaf_conditions, leaf_rules, rule_predicate, rule_text
 from segrules.operators.split_search import split_search
 from segrules.operators.tree import SegmentTree, fit_segment_tree, leaf_stats, score_rows
@@ -213,7 +213,7 @@ def q_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: numerics first, then indexed categories; response index as label."""
     fx = _fixture_cut(spark, sf_dir, *TAGS, *TREE_FEATURES, RESPONSE)
     fm = feat.feature_matrix(fx, RESPONSE, features=TREE_FEATURES)
-    tagged = fm.model.transform(fx).withColumn("__arr", feat.vector_to_array(F.col("features")))
+    tagged = fm.transform(fx).withColumn("__arr", feat.vector_to_array(F.col("features")))
     return tagged.select(*TAGS, *_matrix_columns(fm))
 
 
@@ -222,7 +222,7 @@ def q_feature_matrix_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     fx = _fixture_cut(spark, sf_dir, *TAGS, *TREE_FEATURES, RESPONSE)
     fm = feat.feature_matrix(fx, RESPONSE, features=TREE_FEATURES, all_categorical=True)
     strings = fx.select(*TAGS, *[F.col(c).cast("string").alias(c) for c in [*TREE_FEATURES, RESPONSE]])
-    tagged = fm.model.transform(strings).withColumn("__arr", feat.vector_to_array(F.col("features")))
+    tagged = fm.transform(strings).withColumn("__arr", feat.vector_to_array(F.col("features")))
     return tagged.select(*TAGS, *_matrix_columns(fm))
 
 
@@ -295,7 +295,7 @@ def q_leaf_paths_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_rule_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Print, sql, html and where forms of each rule."""
-    rules = leaf_rules(_tree(spark, sf_dir)).cache()  # one row per leaf, read by four styles
+    rules = cut_lineage(leaf_rules(_tree(spark, sf_dir)))  # one row per leaf, read by four styles
     styles = [
         rules.select("node", F.lit("print").alias("style"), rule_text("rule_list", "print").alias("rules")),
         rules.select("node", F.lit("sql").alias("style"), rule_text("rule_list", "sql").alias("rules")),
@@ -308,19 +308,14 @@ def q_rule_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_rule_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage of full and parent-scope rules, all in one pass."""
+    """Coverage of full and parent-scope rules from routed rows."""
     tree = _tree(spark, sf_dir)
-    keys, preds = [], []
-    for scope in ("full", "parent"):
-        for r in sorted(leaf_rules(tree, scope, "all").collect(), key=lambda r: r["node"]):
-            keys.append((len(keys), scope, r["node"]))
-            preds.append((len(preds), rule_predicate(r["rule_list"])))
-    cov = coverage_counts(tree.fm.data, preds)  # one aggregation for both scopes
-    # one row per rule (at most twice the leaf count)
-    names = spark.createDataFrame(keys, "k int, scope string, leaf int")
-    return cov.join(F.broadcast(names), cov["node"] == names["k"]).select(
+    conditioned = tree.leaves.where("depth > 1").select("node")  # the parent scope has no rule for a child of the root
+    full = leaf_coverage(tree, scope="full").withColumn("scope", F.lit("full"))
+    parent = leaf_coverage(tree, scope="parent").join(conditioned, "node").withColumn("scope", F.lit("parent"))
+    return full.unionByName(parent).select(
         "scope",
-        F.col("leaf").alias("node"),
+        "node",
         "coverage",
         r6(frequency(F.col("coverage"), F.col("total"))).alias("frequency"),
         frequency_pct(F.col("coverage"), F.col("total")).alias("frequency_pct"),

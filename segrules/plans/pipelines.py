@@ -17,7 +17,7 @@ executor then re-reads the checkpoint instead of recomputing the scan.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ from segrules.operators.importance import random_forest_importance, top_feature_
 from segrules.operators.reduce import reduce_topn_multi
 from segrules.operators.report import rule_report
 from segrules.operators.tree import fit_segment_tree
-from segrules.session import cut_lineage
+from segrules.session import WorkingSet, cut_lineage
 from segrules.sources.tables import project_columns, quote_name
 
 # The reference's workload settings (category caps, features
@@ -46,6 +46,12 @@ class ForestParams:
     max_categories: int = 20
     seed: int | None = None
     subsampling_rate: float = 1.0
+    bootstrap: bool = True
+    continuous: bool = False  # split index slots as numbers
+
+
+#: One tree over all rows and features, index slots as numbers: no randomness, so its importances can be recomputed.
+EXACT_FOREST = ForestParams(num_trees=1, max_depth=5, max_bins=64, bootstrap=False, continuous=True, seed=1)
 
 
 @dataclass(frozen=True)
@@ -90,39 +96,49 @@ def segment_report(
     tree: TreeParams = TreeParams(),
     exclude: Sequence[str] = (),
     page_column: str | None = None,
+    with_label: bool = False,
 ) -> DataFrame:
     """The whole pipeline: one report row per leaf of the fitted tree.
 
     ``page_column`` (optional) is trimmed to its last ``|`` pair, as the
-    landing page is in the reference's scan.
+    landing page is in the reference's scan.  ``with_label`` adds predicted_label.
+    The report (2^depth rows at most) stands by itself: all tables and caches of the run are released.
     """
+    with WorkingSet(df.sparkSession) as work_set:
+        return work_set.keep(
+            _segment_report(df, response, path_column, reduce_caps, num_features, forest, tree, exclude, page_column, with_label)
+        )
+
+
+def _segment_report(
+    df: DataFrame,
+    response: str,
+    path_column: str | None,
+    reduce_caps: Mapping[str, int],
+    num_features: int,
+    forest: ForestParams,
+    tree: TreeParams,
+    exclude: Sequence[str],
+    page_column: str | None,
+    with_label: bool,
+) -> DataFrame:
     work = clean(df.drop(*exclude), path_column, page_column)
     # only the cast can add nulls here: a bad response value drops its row
-    work = work.withColumn(response, F.col(quote_name(response)).try_cast("double")).na.drop("any", subset=[response])
+    work = work.withColumn(response, F.col(quote_name(response)).try_cast("double"))
+    work = work.where(F.col(quote_name(response)).isNotNull() & ~F.isnan(quote_name(response)))
     # Cut before the reduction: the top-N count pass and every later fit read
     # the checkpoint; the reduction itself is a broadcast join against the
     # (cached, N-row) top lists applied on top of it.
     work = reduce_long_tails(cut_lineage(work), reduce_caps)
     # one indexing pass serves the forest and the tree
     fm = feature_matrix(work, response)
-    importance = random_forest_importance(
-        work,
-        response,
-        fm=fm,
-        num_trees=forest.num_trees,
-        max_depth=forest.max_depth,
-        max_bins=forest.max_bins,
-        impurity=forest.impurity,
-        max_categories=forest.max_categories,
-        seed=forest.seed,
-        subsampling_rate=forest.subsampling_rate,
-    )
+    importance = random_forest_importance(work, response, fm=fm, **asdict(forest))
     names = top_feature_names(importance, num_features)
     fitted = fit_segment_tree(
         work, response, max_depth=tree.max_depth, max_bins=tree.max_bins, seed=tree.seed,
         fm=select_features(fm, names),
     )
-    return rule_report(fitted, scope="full", merge="all", style="print", min_leaves=2)
+    return rule_report(fitted, scope="full", merge="all", style="print", min_leaves=2, with_label=with_label)
 
 
 # The importance job sets no depth, so the forest runs at Spark's default depth 5.
@@ -133,19 +149,9 @@ def importance_job(
     df: DataFrame, columns: Sequence[str], response: str, forest: ForestParams = IMPORTANCE_FOREST
 ) -> DataFrame:
     """Importance table of the listed columns, every one indexed as a category."""
-    work = project_columns(df, list(dict.fromkeys([*columns, response]))).na.drop("any")
-    return random_forest_importance(
-        work,
-        response,
-        num_trees=forest.num_trees,
-        max_depth=forest.max_depth,
-        max_bins=forest.max_bins,
-        impurity=forest.impurity,
-        max_categories=forest.max_categories,
-        seed=forest.seed,
-        all_categorical=True,
-        subsampling_rate=forest.subsampling_rate,
-    )
+    with WorkingSet(df.sparkSession) as work_set:
+        work = project_columns(df, list(dict.fromkeys([*columns, response]))).na.drop("any")
+        return work_set.keep(random_forest_importance(work, response, all_categorical=True, **asdict(forest)))
 
 
 def rules_job(
@@ -158,12 +164,13 @@ def rules_job(
 ) -> DataFrame:
     """Rules of the older jobs: parent scope, deepest condition per feature, float percent."""
     names = [n for n in top_feature_names(importance, num_features) if n != response]
-    work = project_columns(df, [*names, response]).na.drop("any")
-    fitted = fit_segment_tree(
-        work, response, features=names, max_depth=tree.max_depth, max_bins=tree.max_bins, seed=tree.seed,
-        all_categorical=True,
-    )
-    return rule_report(fitted, scope="parent", merge="last", style="sql", min_leaves=min_leaves, skip_empty=True)
+    with WorkingSet(df.sparkSession) as work_set:
+        work = project_columns(df, [*names, response]).na.drop("any")
+        fitted = fit_segment_tree(
+            work, response, features=names, max_depth=tree.max_depth, max_bins=tree.max_bins, seed=tree.seed,
+            all_categorical=True,
+        )
+        return work_set.keep(rule_report(fitted, scope="parent", merge="last", style="sql", min_leaves=min_leaves, skip_empty=True))
 
 
 def train_test_split(df: DataFrame, weights: Sequence[float] = (0.6, 0.4), seed: int = 11) -> list[DataFrame]:

@@ -1,10 +1,12 @@
-"""Session helpers: the shared folder for lineage cuts and a local session for tests."""
+"""Session helpers: the shared folder for lineage cuts, working sets and a local session for tests."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,9 +29,60 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_OWNER: ContextVar[WorkingSet | None] = ContextVar("segrules_owner", default=None)
+
+
+class WorkingSet:
+    """Owner of the tables, saved models and caches that a job makes on its way; releases them when it is left.
+
+        with WorkingSet(spark) as work:
+            report = work.keep(segment_steps(...))
+
+    Inside the block every :func:`cut_lineage` and :func:`shared_path` lands in the folder of one database in the shared
+    folder, and :meth:`persist` notes what it caches.  Leaving the block, by an error too, unpersists the
+    caches and drops the database, its folder included; sets may be nested, each owns what is made while it is the innermost.
+
+    Frames are lazy, so a result that still reads the set's tables would lose them: what is handed out goes
+    through :meth:`keep` (rows bounded by a model or a caller's number, held by the plan itself) or
+    :meth:`keep_table` (any size, a table of the set or folder around this one).
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.name, self.cached = spark, f"segrules_{uuid.uuid4().hex}", []
+        self.outer = _OWNER.get()
+        self.folder = f"{checkpoint_root(spark)}/{self.name}"
+
+    def __enter__(self) -> WorkingSet:
+        self.spark.sql(f"CREATE DATABASE {self.name} LOCATION '{self.folder}'")
+        self._token = _OWNER.set(self)
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        _OWNER.reset(self._token)
+        for df in self.cached:
+            df.unpersist()
+        self.spark.sql(f"DROP DATABASE {self.name} CASCADE")
+
+    def persist(self, df: DataFrame) -> DataFrame:
+        """``df`` in executor memory, on their disks beyond it, until the set is left."""
+        self.cached.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A bounded result (a report, a node table) that outlives the set: its rows become part of the plan."""
+        return self.spark.createDataFrame(df.collect(), df.schema)
+
+    def keep_table(self, df: DataFrame, name: str = "kept") -> DataFrame:
+        """A result of any size that outlives the set: written beside it, owned by the set around it, if any."""
+        path = f"{self.outer.folder if self.outer else checkpoint_root(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh, unique path under the shared checkpoint folder, or under the working set's part of it."""
+    owner = _OWNER.get()
+    return f"{owner.folder if owner else checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:

@@ -46,7 +46,7 @@ def test_feature_matrix_slots_numeric_first(fx):
 def test_all_categorical_indexes_numbers(fx):
     fm = feature_matrix(fx, RESPONSE, features=["quantity", "p_type"], all_categorical=True)
     assert fm.slots == ["quantity_index", "p_type_index"]
-    assert all("." in v for v in fm.labels["quantity"])
+    assert all("." in r["value"] for r in fm.index.where("feature = 'quantity'").collect())
 
 
 def test_categorical_slots_threshold(fx):
