@@ -118,25 +118,25 @@ def ensemble_nodes(fitted: FittedForest) -> DataFrame:
     spark = fitted.fm.data.sparkSession
     path = shared_path(spark, "forest")
     fitted.model.write().overwrite().save(path)
-    raw = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+    raw = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
     inner = F.col("leftChild") >= 0
     edges = raw.where(inner).select(
-        F.col("treeID").alias("tree"), F.col("id").alias("parent"),
+        "tree", F.col("id").alias("parent"),
         F.explode(F.array(F.struct(F.col("leftChild").alias("child"), F.lit(0).alias("dir")), F.struct(F.col("rightChild").alias("child"), F.lit(1).alias("dir")))).alias("e"),
     ).select("tree", "parent", "e.child", "e.dir")
-    level = raw.where("id = 0").select(F.col("treeID").alias("tree"), "id", F.lit(1).cast("long").alias("node"), F.lit(0).alias("depth"))
+    level = raw.where("id = 0").select("tree", "id", F.lit(1).cast("long").alias("node"), F.lit(0).alias("depth"))
     walk = level
     for _ in range(max(t.depth for t in fitted.model.trees)):
-        below = level.join(edges, (level["tree"] == edges["tree"]) & (level["id"] == edges["parent"])).select(
-            edges["tree"], F.col("child").alias("id"), (F.col("node") * 2 + F.col("dir")).alias("node"), (F.col("depth") + 1).alias("depth")
+        below = level.withColumnRenamed("id", "parent").join(edges, ["tree", "parent"]).select(
+            "tree", F.col("child").alias("id"), (F.col("node") * 2 + F.col("dir")).alias("node"), (F.col("depth") + 1).alias("depth")
         )
         level = cut_lineage(below, "level")
         walk = walk.unionByName(level)
     slots = F.array(*[F.lit(s) for s in fitted.fm.slots])
     number = inner & (F.col("split.numCategories") < 0)
     sides = F.col("split.leftCategoriesOrThreshold")
-    nodes = raw.join(walk, (raw["treeID"] == walk["tree"]) & (raw["id"] == walk["id"])).select(
-        "tree", raw["id"], "depth", "node", (~inner).alias("is_leaf"),
+    nodes = raw.join(walk, ["tree", "id"]).select(
+        "tree", "id", "depth", "node", (~inner).alias("is_leaf"),
         F.aggregate("impurityStats", F.lit(0.0), lambda a, x: a + x).alias("count"), "impurity",
         F.when(inner, F.col("gain")).alias("gain"),
         F.when(inner, F.col("split.featureIndex")).alias("feature_index"),

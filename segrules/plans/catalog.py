@@ -8,18 +8,28 @@ matching SQL in :mod:`segrules.plans.oracle`.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segrules.functions import paths
 from segrules.operators import features as feat
-from segrules.operators.importance import random_forest_importance, select_top_features
+from segrules.operators.importance import (
+    FittedForest,
+    ensemble_importance,
+    ensemble_nodes,
+    fit_forest,
+    random_forest_importance,
+    recount_nodes,
+    select_top_features,
+)
 from segrules.operators.reduce import reduce_topn, reduce_topn_multi, value_counts_window, value_rank
 from segrules.operators.report import frequency, frequency_pct, leaf_coverage, rule_report
 from segrules.operators.rules import leaf_conditions, leaf_rules, rule_predicate, rule_text
+from segrules.operators.scorer import load_tree, save_tree, score_frame
 from segrules.operators.split_search import split_search
 from segrules.operators.tree import SegmentTree, fit_segment_tree, leaf_stats, score_rows
 from segrules.plans import pipelines
@@ -30,6 +40,9 @@ from segrules.sources.tables import (
     read_csv,
     read_table,
     replace_table,
+    save_table,
+    scan_table,
+    sql_rows,
     write_csv,
 )
 
@@ -101,6 +114,27 @@ def q_replace_table_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_table(nation, path)
 
 
+def q_catalog_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An SQL text over a saved catalog table with bound parameters, a run-time column list, null drop."""
+    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"])
+    customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
+    table = f"segrules_orders_{uuid.uuid4().hex}"
+    save_table(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), table, ["c_mktsegment"], shared_path(spark, "orders-table"))
+    priced = sql_rows(
+        spark,
+        """SELECT o_orderkey, o_custkey, cast(o_totalprice AS double) AS price, o_orderpriority, c_mktsegment
+           FROM IDENTIFIER(:orders) WHERE c_mktsegment LIKE :segment AND o_custkey <> :nobody AND o_totalprice > :least""",
+        orders=table, segment="%MACHIN%", nobody=0, least=1000.0,
+    )
+    named = scan_table(spark, table, ["o_orderkey", "o_orderpriority"], "c_mktsegment = :segment", segment="BUILDING")
+    return (
+        project_columns(priced, ["o_orderkey", "o_orderpriority"])
+        .withColumn("part", F.lit("text"))
+        .unionByName(named.withColumn("part", F.lit("name")))
+        .na.drop("any")
+    )
+
+
 def q_drop_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with a null or NaN anywhere are dropped."""
     ev = read_table(spark, sf_dir, "events", ["event_id", "user_id", "event_type", "value", "props"])
@@ -204,6 +238,17 @@ def q_category_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.category_conditions(lookup)
 
 
+def q_interval_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories between the cuts that the tree uses, each value in one list."""
+    tree = _tree(spark, sf_dir)
+    splits = tree.nodes.where("not is_leaf").select("feature_name", "threshold").distinct()
+    cuts = splits.where(F.col("feature_name").isin(list(tree.fm.nominal))).select(
+        F.regexp_replace("feature_name", f"{feat.INDEX_SUFFIX}$", "").alias("feature"), "threshold"
+    )
+    lists = feat.interval_values(tree.fm.index, cuts)
+    return lists.select("feature", F.col("interval").cast("long").alias("interval"), F.array_join("values", ",").alias("value_list"))
+
+
 def _matrix_columns(fm: feat.FeatureMatrix) -> list[F.Column]:
     arr = F.col("__arr")
     return [arr[i].alias(s) for i, s in enumerate(fm.slots)] + [F.col(fm.label_col).alias("label")]
@@ -238,6 +283,30 @@ def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return random_forest_importance(fx, RESPONSE, seed=7)
 
 
+def _exact_forest(spark: SparkSession, sf_dir: str) -> FittedForest:
+    columns = [*TREE_FEATURES, "nation", "p_brand"]
+    fx = _fixture_cut(spark, sf_dir, *columns, RESPONSE)
+    return fit_forest(fx, RESPONSE, features=columns, **asdict(pipelines.EXACT_FOREST))
+
+
+def q_importance_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importances from the node table of a forest without randomness (one tree, all rows and features)."""
+    fitted = _exact_forest(spark, sf_dir)
+    found = ensemble_importance(ensemble_nodes(fitted), fitted.fm)
+    return found.select("feature_name", r6("importance").alias("importance"), "splits")
+
+
+def q_ensemble_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest's node table by heap id, with each node's rows counted anew by routing them."""
+    fitted = _exact_forest(spark, sf_dir)
+    nodes = ensemble_nodes(fitted)
+    counted = recount_nodes(nodes, fitted.fm.data)
+    return nodes.join(counted, "node").select(
+        F.col("node").cast("int").alias("node"), "is_leaf", "prediction", r6("impurity").alias("impurity"), r6("gain").alias("gain"),
+        "feature_name", "threshold", F.col("count").cast("long").alias("count"), "rows",
+    )
+
+
 def _split_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     fx = _fixture_cut(spark, sf_dir, "l_orderkey", *TREE_FEATURES, RESPONSE)
     fm = feat.feature_matrix(fx, RESPONSE, features=TREE_FEATURES, keep=["l_orderkey"])
@@ -342,10 +411,20 @@ def q_score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*TAGS, "prediction", r6("probability").alias("probability"))
 
 
-def _report_rounded(df: DataFrame) -> DataFrame:
+def q_score_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved tree, loaded again, scores another frame, which holds a category the tree has not seen."""
+    path = shared_path(spark, "saved-tree")
+    save_tree(_tree(spark, sf_dir), path)
+    fx = _fixture(spark, sf_dir)
+    other = fx.withColumn("priority", F.when(F.col("l_linenumber") == 7, F.lit("0-NEW")).otherwise(F.col("priority")))
+    scored = score_frame(load_tree(spark, path), other.select(*TAGS, *TREE_FEATURES), unseen="keep")
+    return scored.select(*TAGS, "node", "prediction", "predicted_label", r6("probability").alias("probability"))
+
+
+def _report_rounded(df: DataFrame, *more: str) -> DataFrame:
     return df.select(
         "node", "prediction", r6("probability").alias("probability"), "rules", "coverage",
-        r6("frequency").alias("frequency"), "frequency_pct",
+        r6("frequency").alias("frequency"), "frequency_pct", *more,
     )
 
 
@@ -389,6 +468,20 @@ def q_segment_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_segment_report_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline where selection matters: the 3 most important of 9 features, ranked without
+    randomness, make the tree; with the predicted label."""
+    fx = (
+        _fixture(spark, sf_dir)
+        .withColumnRenamed("first_page", "first_hit_pagename")
+        .withColumnRenamed("path", "post_prop11_concat")
+    )
+    report = pipelines.segment_report(
+        fx, RESPONSE, num_features=3, forest=pipelines.EXACT_FOREST, exclude=TAGS, page_column="first_hit_pagename", with_label=True
+    )
+    return _report_rounded(report, "predicted_label")
+
+
 def q_rule_report_all_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance job, then all-categorical parent-scope rules."""
     # N covers all six candidates, so the forest's ranking cannot change the tree.
@@ -413,6 +506,7 @@ QUERIES: dict[str, Query] = {
     "project_columns": q_project_columns,
     "csv_source": q_csv_source,
     "replace_table_sink": q_replace_table_sink,
+    "catalog_scan": q_catalog_scan,
     "drop_nulls": q_drop_nulls,
     "rule_filter": q_rule_filter,
     "first_path_step": q_first_path_step,
@@ -427,10 +521,13 @@ QUERIES: dict[str, Query] = {
     "category_index": q_category_index,
     "category_lookup": q_category_lookup,
     "category_condition": q_category_condition,
+    "interval_values": q_interval_values,
     "feature_matrix": q_feature_matrix,
     "feature_matrix_categorical": q_feature_matrix_categorical,
     "categorical_slots": q_categorical_slots,
     "feature_importance": q_feature_importance,
+    "importance_exact": q_importance_exact,
+    "ensemble_nodes": q_ensemble_nodes,
     "select_top_features": q_select_top_features,
     "split_search": q_split_search,
     "tree_nodes": q_tree_nodes,
@@ -441,9 +538,11 @@ QUERIES: dict[str, Query] = {
     "leaf_stats": q_leaf_stats,
     "node_rule_join": q_node_rule_join,
     "score_rows": q_score_rows,
+    "score_saved": q_score_saved,
     "rule_report": q_rule_report,
     "rules_degenerate": q_rules_degenerate,
     "segment_report": q_segment_report,
+    "segment_report_selected": q_segment_report_selected,
     "rule_report_all_categorical": q_rule_report_all_categorical,
     "train_test_split": q_train_test_split,
 }

@@ -80,23 +80,25 @@ _SLOTS = [
 ]
 
 
-def _grow(src: str, slots: list[tuple[str, str, bool]], depth: int = _DEPTH) -> str:
+def _grow(src: str, slots: list[tuple[str, str, bool]], depth: int = _DEPTH, pre: str = "", only: str = "") -> str:
     """CTEs splits (node, feature, col, threshold, nominal), seg (rows of ``src`` with their leaf),
     leaves (node, depth) and conds: the gini tree over ``src``, whose columns hold the slots and the 0/1 label.
 
     A cut lies halfway between a value of the node and the next value of the whole
-    table; ties go to the earlier slot, then to the lower threshold.
+    table; ties go to the earlier slot, then to the lower threshold.  ``pre`` goes before the names of the CTEs;
+    ``only`` is a query of the slots' numbers that may be split on (all without it).
     """
+    among = f" AND f IN ({only})" if only else ""
     long = " UNION ALL ".join(f"SELECT {{n}} AS n, {i} AS f, CAST({c} AS DOUBLE) AS v, label AS y FROM {{t}}" for i, (c, _, _) in enumerate(slots))
     names = ", ".join(f"({i}, '{c}', '{col}', {str(nom).lower()})" for i, (c, col, nom) in enumerate(slots))
     value = "CASE b.f " + " ".join(f"WHEN {i} THEN w.{c}" for i, (c, _, _) in enumerate(slots)) + " END"
     parts = [
-        f"cuts AS MATERIALIZED (SELECT f, v, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS threshold\n"
+        f"{pre}cuts AS MATERIALIZED (SELECT f, v, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS threshold\n"
         f"  FROM (SELECT DISTINCT f, v FROM ({long.format(n=0, t=src)})))",
-        f"w0 AS MATERIALIZED (SELECT {src}.*, 1 AS n FROM {src})",
+        f"{pre}w0 AS MATERIALIZED (SELECT {src}.*, 1 AS n FROM {src})",
     ]
     for k in range(depth):
-        parts.append(f"""b{k} AS MATERIALIZED (
+        parts.append(f"""{pre}b{k} AS MATERIALIZED (
   SELECT n, f, threshold FROM (
     SELECT *, row_number() OVER (PARTITION BY n ORDER BY gain DESC, f, threshold) AS rn FROM (
       SELECT n, f, threshold, round(2 * (pt / ct) * (1 - pt / ct) - cl / ct * 2 * (pl / cl) * (1 - pl / cl)
@@ -106,31 +108,54 @@ def _grow(src: str, slots: list[tuple[str, str, bool]], depth: int = _DEPTH) ->
                sum(h.c) OVER (PARTITION BY h.n, h.f ORDER BY h.v) AS cl, sum(h.p) OVER (PARTITION BY h.n, h.f ORDER BY h.v) AS pl,
                sum(h.c) OVER (PARTITION BY h.n, h.f) AS ct, sum(h.p) OVER (PARTITION BY h.n, h.f) AS pt
         FROM (SELECT n, f, v, CAST(count(*) AS DOUBLE) AS c, CAST(sum(y) AS DOUBLE) AS p
-              FROM ({long.format(n='n', t=f'w{k}')}) WHERE n >= {2**k} GROUP BY n, f, v) h
-        JOIN cuts c ON c.f = h.f AND c.v = h.v
+              FROM ({long.format(n='n', t=f'{pre}w{k}')}) WHERE n >= {2**k}{among} GROUP BY n, f, v) h
+        JOIN {pre}cuts c ON c.f = h.f AND c.v = h.v
       ) WHERE cl < ct
     ) WHERE gain > 0
   ) WHERE rn = 1
 )""")
         parts.append(
-            f"w{k + 1} AS MATERIALIZED (SELECT w.* EXCLUDE (n), CASE WHEN b.n IS NULL THEN w.n WHEN {value} <= b.threshold "
-            f"THEN 2 * w.n ELSE 2 * w.n + 1 END AS n FROM w{k} w LEFT JOIN b{k} b ON b.n = w.n)"
+            f"{pre}w{k + 1} AS MATERIALIZED (SELECT w.* EXCLUDE (n), CASE WHEN b.n IS NULL THEN w.n WHEN {value} <= b.threshold "
+            f"THEN 2 * w.n ELSE 2 * w.n + 1 END AS n FROM {pre}w{k} w LEFT JOIN {pre}b{k} b ON b.n = w.n)"
         )
-    union = " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(depth))
+    union = " UNION ALL ".join(f"SELECT * FROM {pre}b{k}" for k in range(depth))
     levels = ", ".join(f"({k})" for k in range(1, depth + 1))
-    parts.append(f"""slots(f, feature, col, nominal) AS (VALUES {names}),
-splits AS MATERIALIZED (SELECT b.n AS node, s.feature, s.col, b.threshold, s.nominal FROM ({union}) b JOIN slots s ON s.f = b.f),
-seg AS MATERIALIZED (SELECT w.* EXCLUDE (n), n AS leaf FROM w{depth} w),
-leaves AS MATERIALIZED (SELECT DISTINCT leaf AS node, CAST(floor(log2(leaf)) AS INTEGER) AS depth FROM seg),
-levels(level) AS (VALUES {levels}),
-conds AS MATERIALIZED (
+    parts.append(f"""{pre}slots(f, feature, col, nominal) AS (VALUES {names}),
+{pre}splits AS MATERIALIZED (
+  SELECT b.n AS node, s.f, s.feature, s.col, b.threshold, s.nominal FROM ({union}) b JOIN {pre}slots s ON s.f = b.f),
+{pre}seg AS MATERIALIZED (SELECT w.* EXCLUDE (n), n AS leaf FROM {pre}w{depth} w),
+{pre}leaves AS MATERIALIZED (SELECT DISTINCT leaf AS node, CAST(floor(log2(leaf)) AS INTEGER) AS depth FROM {pre}seg),
+{pre}levels(level) AS (VALUES {levels}),
+{pre}conds AS MATERIALIZED (
   SELECT l.node, l.depth, v.level, s.feature, s.col, s.threshold, s.nominal,
          CASE WHEN (l.node >> (l.depth - v.level)) % 2 = 0 THEN '<=' ELSE '>' END AS op
-  FROM leaves l JOIN levels v ON v.level <= l.depth JOIN splits s ON s.node = l.node >> (l.depth - v.level + 1)
+  FROM {pre}leaves l JOIN {pre}levels v ON v.level <= l.depth JOIN {pre}splits s ON s.node = l.node >> (l.depth - v.level + 1)
 )""")
     return ",\n".join(parts)
 
 
+def _pruned(pre: str = "", depth: int = _DEPTH) -> str:
+    """CTEs pstat (node, c, p: rows and share of label 1 of every node), gone (inner nodes whose two children are leaves of one
+    class, from the bottom up, which a classification tree makes leaves), kept (splits that stay, with their gain) and
+    imp (f, w: gain times count by slot) of the tree that ``_grow`` left."""
+    parts = [f"""{pre}pstat AS MATERIALIZED (
+  SELECT leaf >> k AS node, CAST(count(*) AS DOUBLE) AS c, avg(label) AS p FROM {pre}seg, range(0, {depth + 1}) t(k) WHERE leaf >> k > 0 GROUP BY 1),
+{pre}x{depth} AS (SELECT 0 AS node WHERE false)"""]
+    for k in range(depth - 1, -1, -1):  # a child is a leaf if it is not split, or gone on the level below
+        alive = f"(SELECT node FROM {pre}splits WHERE node NOT IN (SELECT node FROM {pre}x{k + 1}))"
+        parts.append(f"""{pre}x{k} AS MATERIALIZED (
+  SELECT node FROM {pre}x{k + 1} UNION ALL
+  SELECT s.node FROM {pre}splits s JOIN {pre}pstat l ON l.node = 2 * s.node JOIN {pre}pstat r ON r.node = 2 * s.node + 1
+  WHERE s.node >= {2**k} AND s.node < {2 ** (k + 1)} AND 2 * s.node NOT IN {alive} AND 2 * s.node + 1 NOT IN {alive} AND (l.p > 0.5) = (r.p > 0.5))""")
+    parts.append(f"""{pre}kept AS MATERIALIZED (
+  SELECT s.*, t.c, 2 * t.p * (1 - t.p) - l.c / t.c * 2 * l.p * (1 - l.p) - r.c / t.c * 2 * r.p * (1 - r.p) AS gain
+  FROM {pre}splits s JOIN {pre}pstat t ON t.node = s.node JOIN {pre}pstat l ON l.node = 2 * s.node JOIN {pre}pstat r ON r.node = 2 * s.node + 1
+  WHERE s.node NOT IN (SELECT node FROM {pre}x0)),
+{pre}imp AS MATERIALIZED (
+  SELECT s.f, s.feature, s.col, coalesce(sum(k.gain * k.c), 0) AS w, count(k.node) AS splits FROM {pre}slots s LEFT JOIN {pre}kept k ON k.f = s.f GROUP BY s.f, s.feature, s.col)""")
+    return ",\n".join(parts)
+
+
 _CONDS = """ctext AS (
   SELECT c.*,
     CASE WHEN c.nominal THEN upper(c.col) || ' : ["' || coalesce((SELECT string_agg(i.value, '","' ORDER BY i.idx) FROM idx i
@@ -214,12 +239,19 @@ _SEGMENT_CATS = ["priority", "p_type", "segment", "nation", "p_brand", "first_hi
 _SEGMENT_NUMS = ["quantity", "discount"]
 #: The categories in the order of the funnel view's columns, which is the slots' order.
 _SEGMENT_ORDER = ["p_type", "p_brand", "segment", "nation", "priority", "first_hit_pagename", "post_prop11_concat"]
-def _segment_report_sql() -> str:
+def _segment_report_sql(top: int | None = None) -> str:
+    """With ``top`` the tree is grown on the features with the greatest importances of an unrestricted classification tree."""
+    label = ""
     joins = "\n".join(
         f"JOIN idx i_{c} ON i_{c}.feature = '{c}' AND i_{c}.value = red.{c}" for c in _SEGMENT_CATS
     )
     idx_cols = ", ".join(f"i_{c}.idx AS {c}_i" for c in _SEGMENT_CATS)
     slots = [(c, c, False) for c in _SEGMENT_NUMS] + [(f"{c}_i", c, True) for c in _SEGMENT_ORDER]
+    grown = _grow("r", slots)
+    if top:
+        ranked = f"SELECT f FROM (SELECT f, row_number() OVER (ORDER BY w DESC, col) AS k FROM i_imp) WHERE k <= {top}"
+        grown = f"{_grow('r', slots, pre='i_')},\n{_pruned('i_')},\n{_grow('r', slots, only=ranked)}"
+        label = ", CASE WHEN s.p > 0.5 THEN '1.0' ELSE '0.0' END AS predicted_label"
     return f"""WITH {_FX},
 base AS (
   SELECT p_type, p_brand, segment, nation, priority, quantity, discount,
@@ -236,7 +268,7 @@ red AS (
 {_idx_block({c: c for c in _SEGMENT_CATS}, src="red")},
 r AS (SELECT red.*, red.y AS label, {idx_cols} FROM red
 {joins}),
-{_grow('r', slots)},
+{grown},
 ctext AS (
   SELECT c.*,
     CASE WHEN c.nominal THEN upper(c.col) || ' : ["' || coalesce((SELECT string_agg(i.value, '","' ORDER BY i.idx) FROM idx i
@@ -249,7 +281,7 @@ lstat AS (SELECT leaf AS node, count(*) AS coverage, avg(y) AS p FROM seg GROUP
 tot AS (SELECT count(*) AS total FROM red)
 SELECT CAST(s.node AS INTEGER) AS node, {_pred('s.p')} AS prediction, {_prob('s.p')} AS probability, r.rules,
        CAST(s.coverage AS BIGINT) AS coverage, {_freq('s.coverage', 't.total')} AS frequency,
-       {_freq_pct('s.coverage', 't.total')} AS frequency_pct
+       {_freq_pct('s.coverage', 't.total')} AS frequency_pct{label}
 FROM lstat s JOIN rules r ON r.node = s.node, tot t
 """
 
@@ -297,7 +329,60 @@ FROM rules q JOIN lstat s ON s.node = q.node LEFT JOIN cov c ON c.node = q.node,
 """
 
 
+_EXACT_CATS = {"priority": "priority", "p_type": "p_type", "segment": "segment", "nation": "nation", "p_brand": "p_brand"}
+_EXACT_SLOTS = [("quantity", "quantity", False), ("discount", "discount", False)] + [(f"{c}_index", c, True) for c in _EXACT_CATS]
+_EXACT = f"""WITH {_FX},
+{_idx_block(_EXACT_CATS)},
+r AS (SELECT quantity, discount, converted AS label, {', '.join(f"i_{c}.idx AS {c}_index" for c in _EXACT_CATS)} FROM fx
+{' '.join(f"JOIN idx i_{c} ON i_{c}.feature = '{c}' AND i_{c}.value = fx.{c}" for c in _EXACT_CATS)}),
+{_grow('r', _EXACT_SLOTS)},
+{_pruned()}
+"""
+
+
+def _score_saved_sql() -> str:
+    """The tree of the rule queries, walked by rows of which one category is new: it takes the number after the last."""
+    value = "CASE b.feature " + " ".join(f"WHEN '{c}' THEN w.{c}" for c, _, _ in _SLOTS) + " END"
+    walk = ",\n".join(
+        f"v{k + 1} AS MATERIALIZED (SELECT w.* EXCLUDE (pos), CASE WHEN b.node IS NULL THEN pos WHEN {value} <= b.threshold THEN 2 * pos ELSE 2 * pos + 1 END AS pos "
+        f"FROM v{k} w LEFT JOIN splits b ON b.node = w.pos)"
+        for k in range(_DEPTH)
+    )
+    return f"""{_TREE}, v0 AS (
+  SELECT * EXCLUDE (priority_index), 1 AS pos,
+    CASE WHEN l_linenumber = 7 THEN (SELECT count(*) FROM idx WHERE feature = 'priority') ELSE priority_index END AS priority_index FROM fxi),
+{walk}
+SELECT l_orderkey, l_linenumber, CAST(pos AS INTEGER) AS node, {_pred('s.p')} AS prediction, CASE WHEN s.p > 0.5 THEN '1' ELSE '0' END AS predicted_label,
+       {_prob('s.p')} AS probability
+FROM v{_DEPTH} JOIN lstat s ON s.node = pos
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "catalog_scan": """
+SELECT o_orderkey, o_orderpriority, 'text' AS part FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE c_mktsegment LIKE '%MACHIN%' AND o_custkey <> 0 AND o_totalprice > 1000 AND o_orderkey IS NOT NULL AND o_orderpriority IS NOT NULL
+UNION ALL
+SELECT o_orderkey, o_orderpriority, 'name' FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE c_mktsegment = 'BUILDING' AND o_orderkey IS NOT NULL AND o_orderpriority IS NOT NULL
+""",
+    "interval_values": _TREE
+    + """, cuts2 AS (SELECT DISTINCT col AS feature, threshold FROM splits WHERE nominal),
+placed AS (
+  SELECT i.feature, i.value, i.idx, (SELECT count(*) FROM cuts2 c WHERE c.feature = i.feature AND c.threshold < i.idx) AS k
+  FROM idx i WHERE i.feature IN (SELECT feature FROM cuts2))
+SELECT feature, k AS interval, string_agg(value, ',' ORDER BY idx) AS value_list FROM placed GROUP BY feature, k
+""",
+    "importance_exact": _EXACT
+    + "SELECT col AS feature_name, round(w / (SELECT sum(w) FROM imp), 6) AS importance, splits FROM imp\n",
+    "ensemble_nodes": _EXACT
+    + """, alive AS (SELECT node FROM pstat WHERE node = 1 OR node >> 1 IN (SELECT node FROM kept))
+SELECT CAST(t.node AS INTEGER) AS node, k.node IS NULL AS is_leaf, CAST(CASE WHEN t.p > 0.5 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS prediction,
+       round(2 * t.p * (1 - t.p), 6) AS impurity, round(k.gain, 6) AS gain, k.feature AS feature_name, k.threshold,
+       CAST(t.c AS BIGINT) AS count, CAST(t.c AS BIGINT) AS rows
+FROM alive a JOIN pstat t ON t.node = a.node LEFT JOIN kept k ON k.node = t.node
+""",
+    "score_saved": _score_saved_sql(),
     "scan_filter_cast": """
 SELECT o_orderkey, o_totalprice, priority_level FROM (
   SELECT o_orderkey, o_totalprice, TRY_CAST(split_part(o_orderpriority, '-', 1) AS DOUBLE) AS priority_level
@@ -498,6 +583,7 @@ FROM seg g JOIN lstat s ON s.node = g.leaf
 FROM lstat s JOIN rules r ON r.node = s.node, tot t
 """,
     "segment_report": _segment_report_sql(),
+    "segment_report_selected": _segment_report_sql(top=3),
     "rule_report_all_categorical": _categorical_rules_sql(),
     "rules_degenerate": """
 SELECT * FROM (VALUES ('single_leaf', CAST(0 AS BIGINT)), ('depth1_min4', CAST(0 AS BIGINT)), ('depth1_min2', CAST(2 AS BIGINT)))

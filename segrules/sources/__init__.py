@@ -8,6 +8,9 @@ from segrules.sources.tables import (
     read_csv,
     read_table,
     replace_table,
+    save_table,
+    scan_table,
+    sql_rows,
     write_csv,
 )
 
@@ -19,5 +22,8 @@ __all__ = [
     "read_csv",
     "read_table",
     "replace_table",
+    "save_table",
+    "scan_table",
+    "sql_rows",
     "write_csv",
 ]

@@ -108,6 +108,32 @@ def read_csv(
     return reader.option("inferSchema", True).csv(path)
 
 
+def sql_rows(spark: SparkSession, text: str, **parameters: object) -> DataFrame:
+    """Rows of an SQL text with named parameters: ``:name`` for values, ``IDENTIFIER(:name)`` for tables and columns.
+
+    Parameters are bound, never pasted: a value is a literal whatever it holds, an identifier one name.
+    The result is a plan like any other, so later filters and projections reach its scans.
+    """
+    return spark.sql(text, args=parameters)
+
+
+def scan_table(
+    spark: SparkSession, table: str, columns: Sequence[str] | None = None, where: str | None = None, **parameters: object
+) -> DataFrame:
+    """A table of the session's catalog (``name`` or ``database.name``), a run-time list of its columns and a condition with
+    named parameters.  Columns the condition needs are read, those that neither asks for are not."""
+    rows = sql_rows(spark, f"SELECT * FROM IDENTIFIER(:__table) WHERE {where or 'true'}", __table=table, **parameters)
+    return project_columns(rows, columns) if columns else rows
+
+
+def save_table(df: DataFrame, table: str, partition_by: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """Replace a catalog table; ``path`` puts its files outside the warehouse, ``partition_by`` lets scans prune."""
+    writer = df.write.mode("overwrite").format("parquet")
+    writer = writer.partitionBy(*partition_by) if partition_by else writer
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def replace_table(df: DataFrame, target: str, fmt: str = "parquet") -> DataFrame:
     """Drop-then-save as one overwrite; returns a scan of what was written.
 
