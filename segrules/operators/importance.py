@@ -24,6 +24,7 @@ IMPORTANCE_SCHEMA = "feature_name string, importance double"
 class FittedForest:
     fm: FeatureMatrix
     model: RandomForestClassificationModel
+    categories: dict[int, list[float]]  # slots that the indexer numbered anew -> their values by number
 
 
 def fit_forest(
@@ -89,7 +90,9 @@ def fit_forest(
         model = Pipeline(stages=[*([] if continuous else [indexer]), RandomForestClassifier(**params)]).fit(train)
     finally:
         train.unpersist()
-    return FittedForest(fm, model.stages[-1])
+    # at most ``max_categories`` numbers a slot
+    numbered = {} if continuous else {slot: sorted(m, key=m.get) for slot, m in model.stages[0].categoryMaps.items()}
+    return FittedForest(fm, model.stages[-1], numbered)
 
 
 def random_forest_importance(df: DataFrame, response: str, **forest) -> DataFrame:
@@ -113,7 +116,7 @@ def ensemble_nodes(fitted: FittedForest) -> DataFrame:
 
     The saved forest's own node table, in the shared folder.  ``node`` is the heap id (root 1, children 2n and
     2n + 1), found level by level from the edges, all trees at once.  A split on a number has a threshold (left is
-    ``<=``), one on a categorical slot the categories that go left.  ``count`` is the node's training weight.
+    ``<=``), one on a categorical slot the slot's values that go left.  ``count`` is the node's training weight.
     """
     spark = fitted.fm.data.sparkSession
     path = shared_path(spark, "forest")
@@ -135,6 +138,12 @@ def ensemble_nodes(fitted: FittedForest) -> DataFrame:
     slots = F.array(*[F.lit(s) for s in fitted.fm.slots])
     number = inner & (F.col("split.numCategories") < 0)
     sides = F.col("split.leftCategoriesOrThreshold")
+    renumbered = [x for slot, values in fitted.categories.items() for x in (F.lit(slot), F.array(*[F.lit(float(v)) for v in values]))]
+    if renumbered:
+        own = F.try_element_at(F.create_map(*renumbered), F.col("split.featureIndex"))
+        categories = F.transform(sides, lambda c: F.coalesce(F.get(own, c.cast("int")), c))
+    else:
+        categories = sides
     nodes = raw.join(walk, ["tree", "id"]).select(
         "tree", "id", "depth", "node", (~inner).alias("is_leaf"),
         F.aggregate("impurityStats", F.lit(0.0), lambda a, x: a + x).alias("count"), "impurity",
@@ -142,7 +151,7 @@ def ensemble_nodes(fitted: FittedForest) -> DataFrame:
         F.when(inner, F.col("split.featureIndex")).alias("feature_index"),
         F.when(inner, F.get(slots, F.col("split.featureIndex"))).alias("feature_name"),
         F.when(number, F.get(sides, F.lit(0))).alias("threshold"),
-        F.when(inner & ~number, sides).alias("left_categories"),
+        F.when(inner & ~number, categories).alias("left_categories"),
         "prediction",
     )
     return cut_lineage(nodes, "forest-nodes")
