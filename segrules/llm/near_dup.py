@@ -2,10 +2,10 @@
 
 Documents with equal shingle sets are one class.  Classes walk down random
 trees: a node picks a few signature positions by its path, and a class goes to one
-child for each picked position, named by its minwise token there.  At every
-node the members are compared with one pivot; nodes whose members are not yet one
-group are branched further, a level at a time, until they are small, and small nodes are compared
-exhaustively.  Several independent trees bring the recall up.  All links are
+child for each picked position, named by its minwise token there.  At the first
+level the members of a node are compared with one pivot.  Nodes whose members are not yet one
+group are compared exhaustively where few of them lie outside the largest group, which is cut
+into slices; the others branch further, a level at a time.  Several independent trees bring the recall up.  All links are
 confirmed on full shingle sets, and linked classes are merged by
 distributed contraction.
 """
@@ -31,8 +31,10 @@ POSITIONS = 64  # minwise tokens that trees choose from
 SKETCH = 128  # one-byte minwise values for estimates
 #: Estimates below this are not verified: five standard deviations under the threshold (0.038 each).
 ESTIMATE = 0.55
-NODE = 1024  # members up to which a node is compared exhaustively
-DEPTH = 8
+NODE = 1024  # members up to which a node is one task's piece
+#: Members, and shingles in them, outside a node's largest colour up to which it is compared exhaustively, not branched.
+WIDE, WEIGHT = 8192, 4_000_000
+DEPTH = 3
 ID_BITS = 2**21  # of the bitmap that thins documents before their texts are shuffled
 
 _RNG = np.random.default_rng(20)
@@ -141,7 +143,7 @@ def _first_level(trees: int, similarity: int):
             signature = _matrix(b.column(1), np.uint32, POSITIONS)
             for root in roots:
                 rows, child = _children(np.full(len(ids), root, np.uint64), signature, similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[rows], pa.int64())], ["node", "cid"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[rows], pa.int64()), b.column(2).take(pa.array(rows))], ["node", "cid", "n"])
 
     return run
 
@@ -153,7 +155,7 @@ def _next_level(similarity: int):
             paths = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             signature = _matrix(b.column(2), np.uint32, POSITIONS)
             rows, child = _children(paths, signature, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(cids[rows], pa.int64())], ["node", "cid"])
+            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(cids[rows], pa.int64()), b.column(3).take(pa.array(rows))], ["node", "cid", "n"])
 
     return run
 
@@ -182,15 +184,26 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield list(run)
 
 
-class _Union:
-    def __init__(self, colours: list) -> None:
-        first: dict = {}
-        self.parent = [first.setdefault(c, i) for i, c in enumerate(colours)]
+class Groups:
+    """Labels of items that merge as links come in."""
 
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
+    def __init__(self, labels: np.ndarray) -> None:
+        self.label = np.unique(labels, return_inverse=True)[1]
+
+    def link(self, i: int, others: np.ndarray) -> list[int]:
+        """Links ``i`` with ``others``; those of them, one a label, that weren't connected with it before."""
+        labels, first = np.unique(self.label[others], return_index=True)
+        new = labels != self.label[i]
+        if new.any():
+            self.label[np.isin(self.label, labels[new])] = self.label[i]
+        return others[first[new]].tolist()
+
+
+def _top_last(colour: np.ndarray) -> tuple[np.ndarray, int]:
+    """An order of the members with those of the most frequent colour last, and how many others there are."""
+    top = np.argmax(np.bincount(colour))
+    order = np.argsort(colour == top, kind="stable")
+    return order, int((colour != top).sum())
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,45 +211,62 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a node that are connected by pairs of unlike colour and high estimate.  A family is
     named by its members, so the same set from several nodes is one."""
     for members in _groups(batches):
-        cids = np.array([m[1] for m in members], np.int64)
         _, colour = np.unique(np.array([m[2] for m in members], np.int64), return_inverse=True)
         if colour.max() == 0:
             continue
-        sketch = np.frombuffer(b"".join(m[4] for m in members), np.uint8).reshape(len(members), SKETCH)
-        union = _Union(list(range(len(members))))
+        order, others = _top_last(colour)
+        colour = colour[order]
+        cids = np.array([m[1] for m in members], np.int64)[order]
+        sketch = np.frombuffer(b"".join(m[4] for m in members), np.uint8).reshape(len(members), SKETCH)[order]
+        near = Groups(np.arange(len(members)))
         touched = np.zeros(len(members), bool)
-        for i in range(len(members) - 1):
+        for i in range(others):  # two of the top colour are never a pair
             later = np.flatnonzero(colour[i + 1 :] != colour[i]) + i + 1
-            if len(later):
-                close = later[(sketch[later] == sketch[i]).mean(axis=1) >= ESTIMATE]
-                for j in close:
-                    touched[i] = touched[j] = True
-                    union.parent[union.find(int(j))] = union.find(i)
-        families: dict[int, list[int]] = {}
-        for i in np.flatnonzero(touched):
-            families.setdefault(union.find(int(i)), []).append(int(cids[i]))
-        for family in families.values():
-            ids = np.unique(np.array(family, np.int64))
+            close = later[(sketch[later] == sketch[i]).mean(axis=1) >= ESTIMATE]
+            if len(close):
+                touched[i] = touched[close] = True
+                near.link(i, close)
+        at = np.flatnonzero(touched)
+        at = at[np.argsort(near.label[at], kind="stable")]
+        for family in np.split(cids[at], np.flatnonzero(np.diff(near.label[at])) + 1):
+            if not len(family):
+                continue
+            ids = np.unique(family)
             name = np.uint64(len(ids))
             for v in mix64(ids.view(np.uint64) + _BASE):
                 name = mix64(np.array([name ^ v]))[0]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), name, np.uint64).view(np.int64)), pa.array(ids)], ["family", "cid"])
 
 
+def links_within(sets: list[np.ndarray], colour: np.ndarray, similarity: int) -> list[tuple[int, int]]:
+    """Links that join unlike colours, on full sets: sizes of all intersections come from one inverted index of the family."""
+    _, colour = np.unique(colour, return_inverse=True)
+    order, others = _top_last(colour)
+    size = np.array([len(sets[i]) for i in order], np.int64)
+    owner = np.repeat(np.arange(len(order)), size)
+    _, value, times = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    shared = times[value] > 1  # a shingle of one member meets nobody
+    owner, value = owner[shared], value[shared]
+    starts = np.searchsorted(owner, np.arange(len(order) + 1))
+    posting = owner[np.argsort(value, kind="stable")]
+    first = np.cumsum(np.where(times > 1, times, 0)) - np.where(times > 1, times, 0)
+    groups, out = Groups(colour[order]), []
+    for i in range(others):
+        v = value[starts[i] : starts[i + 1]]
+        at = np.repeat(first[v] - (np.cumsum(times[v]) - times[v]), times[v]) + np.arange(times[v].sum())
+        both = np.bincount(posting[at], minlength=len(order))
+        close = np.flatnonzero(100 * both >= similarity * (size + size[i] - both))
+        out += [(int(order[i]), int(order[j])) for j in groups.link(i, close)]
+    return out
+
+
 def _compare(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (family, cid, colour, text), sorted by family, to links that join unlike colours."""
         for members in _groups(batches):
-            sets = [shingle_set(m[3]) for m in members]
-            union = _Union([m[2] for m in members])
-            a, b = [], []
-            for i in range(len(members)):
-                for j in range(i):
-                    x, y = union.find(i), union.find(j)
-                    if x != y and linked(sets[i], sets[j], similarity):
-                        union.parent[x] = y
-                        a.append(members[i][1]), b.append(members[j][1])
-            if a:
+            found = links_within([shingle_set(m[3]) for m in members], np.array([m[2] for m in members], np.int64), similarity)
+            if found:
+                a, b = ([members[x[k]][1] for x in found] for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
@@ -272,7 +302,7 @@ def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFra
     return cut_lineage(assigned, "components")
 
 
-def near_duplicates(docs: DataFrame, trees: int = TREES, similarity: int = SIMILARITY, node: int = NODE, depth: int = DEPTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, trees: int = TREES, similarity: int = SIMILARITY, node: int = NODE, depth: int = DEPTH, wide: int = WIDE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are separated by white space, A-Z lower-cased; the set of a text is its
@@ -289,12 +319,14 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, similarity: int = SIMIL
 
     Scale: copies collapse in one aggregation before any comparison.  A node hands on
     one row per member, never pairs: members are compared with the pivot, nodes of one
-    colour end, large ones with few members of other colours are cut into slices, the rest
-    branch, and those still large after ``depth`` levels are cut into pairs
-    of blocks, so every task holds at most about ``node`` members and no member is left out.
+    colour end, large ones with at most ``wide`` members (and ``WEIGHT`` shingles) outside the largest colour are
+    cut into slices, about two rows a member, the rest
+    branch, and those still larger after ``depth`` levels are cut into pairs
+    of blocks, so a task's piece is bounded and no member is left out.  In a piece sketches are compared
+    row by row, and the intersections of full sets come from an inverted index of the piece.
 
     Recall: a pair at the threshold shares ``SHARED`` children of a node on average, so its line
-    dies out with a bounded probability: over all trees 1e-6 at most, at each of the first eight levels.
+    dies out with a bounded probability: over all trees 1e-6 at most, at each of the first ``DEPTH`` levels.
     """
     spark = docs.sparkSession
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
@@ -311,7 +343,8 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, similarity: int = SIMIL
     sketches = classes.select("cid", "n", "sketch")
 
     # Level 1: pivots.
-    first = cut_lineage(classes.select("cid", "signature").mapInArrow(_first_level(trees, similarity), "node long, cid long"), "level1")
+    kinds = "node long, cid long, n long"
+    first = cut_lineage(classes.select("cid", "signature", "n").mapInArrow(_first_level(trees, similarity), kinds), "level1")
     nodes = first.groupBy("node").agg(F.count("cid").alias("size"), F.min("cid").alias("pivot")).where("size > 1")
     members = cut_lineage(first.join(nodes, "node"), "members1")
     pairs = members.where("cid != pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -321,29 +354,33 @@ def near_duplicates(docs: DataFrame, trees: int = TREES, similarity: int = SIMIL
     colours = connected_components(links, rounds=3)
     leaves = None
     for level in range(1, depth + 1):
-        coloured = members.select("node", "cid").join(colours, F.col("cid") == F.col("v"), "left").select(
-            "node", "cid", F.coalesce("comp", "cid").alias("colour")
+        coloured = members.select("node", "cid", "n").join(colours, F.col("cid") == F.col("v"), "left").select(
+            "node", "cid", "n", F.coalesce("comp", "cid").alias("colour")
         )
-        tallied = coloured.groupBy("node", "colour").agg(F.count("cid").alias("k"))
+        tallied = coloured.groupBy("node", "colour").agg(F.count("cid").alias("k"), F.sum("n").alias("w"))
         mixed = (
             tallied.groupBy("node")
-            .agg(F.sum("k").alias("size"), F.count("*").alias("colours"), F.max(F.struct("k", "colour")).alias("top"))
+            .agg(
+                F.sum("k").alias("size"), F.sum("w").alias("weight"), F.count("*").alias("colours"), F.max(F.struct("k", "colour", "w")).alias("top")
+            )
             .where("colours > 1")
-            .select("node", "size", F.col("top.k").alias("top_size"), F.col("top.colour").alias("top"))
+            .select(
+                "node", "size", (F.col("size") - F.col("top.k")).alias("others"), (F.col("weight") - F.col("top.w")).alias("others_weight"),
+                F.col("top.w").alias("top_weight"), F.col("top.colour").alias("top"),
+            )
         )
         alive = cut_lineage(coloured.join(mixed, "node"), "mixed")
-        few_others = 2 * (F.col("size") - F.col("top_size")) <= node
-        small = alive.where(F.col("size") <= node).select("node", "cid", "colour")
-        sliced = _slices(alive.where((F.col("size") > node) & few_others), node)
-        leaves = small.union(sliced) if leaves is None else leaves.union(small).union(sliced)
-        large = alive.where((F.col("size") > node) & ~few_others)
+        exhaustive = (F.col("others") <= wide) & (F.col("others_weight") <= WEIGHT)
+        sliced = _slices(alive.where(exhaustive), node)
+        leaves = sliced if leaves is None else leaves.union(sliced)
+        large = alive.where(~exhaustive)
         if large.isEmpty():
             break
         if level == depth:
-            leaves = leaves.union(_block_pairs(large, node))
+            leaves = leaves.union(_block_pairs(large, wide))
             break
-        grown = large.select("node", "cid").join(classes.select("cid", "signature"), "cid").select("node", "cid", "signature")
-        members = cut_lineage(grown.mapInArrow(_next_level(similarity), "node long, cid long").distinct(), "members")
+        grown = large.select("node", "cid", "n").join(classes.select("cid", "signature"), "cid").select("node", "cid", "signature", "n")
+        members = cut_lineage(grown.mapInArrow(_next_level(similarity), kinds).distinct(), "members")
 
     described_leaves = leaves.join(sketches, "cid").select("node", "cid", "colour", "n", "sketch")
     sorted_leaves = described_leaves.repartition("node").sortWithinPartitions("node", "cid")
@@ -400,19 +437,24 @@ def _confirm(rows: DataFrame, classes: DataFrame, sketches: DataFrame, pairs: Da
     return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long"), "links")
 
 
-def _slices(large: DataFrame, node: int) -> DataFrame:
-    """Members of nodes with one large colour and few others: the colour is cut into slices, and each slice
-    with all the others becomes a node of its own.  Every pair of unlike colour meets; rows at most double."""
-    sliced = large.withColumn("slices", F.ceil(2 * F.col("top_size") / node).cast("int"))
+def _slices(mixed: DataFrame, node: int) -> DataFrame:
+    """Members of nodes with a top colour and few others: the top colour is cut into slices, and each slice
+    with all the others becomes a node of its own.  Every pair of unlike colour meets.  A slice is as large as the
+    others, or ``node`` members and ``WEIGHT`` shingles, whichever is more, so rows at most double."""
+    top_size = F.col("size") - F.col("others")
+    by_size = F.ceil(top_size / F.greatest(F.lit(node), F.col("others")))
+    by_weight = F.ceil(F.col("top_weight") / WEIGHT)
+    sliced = mixed.withColumn("slices", F.least(F.greatest(by_size, by_weight), top_size).cast("int"))
     own = F.array(F.pmod(F.xxhash64("cid"), F.col("slices")).cast("int"))
     every = F.sequence(F.lit(0), F.col("slices") - 1)
     at = sliced.withColumn("slice", F.explode(F.when(F.col("colour") == F.col("top"), own).otherwise(every)))
     return at.select(F.xxhash64("node", "slice").alias("node"), "cid", "colour")
 
 
-def _block_pairs(large: DataFrame, node: int) -> DataFrame:
+def _block_pairs(large: DataFrame, wide: int) -> DataFrame:
     """Members of nodes that stayed large, cut into blocks; each pair of blocks becomes a node of its own."""
-    blocks = F.ceil(2 * F.col("size") / node).cast("int")
+    blocks = F.greatest(F.ceil(2 * F.col("size") / wide), F.ceil(2 * (F.col("top_weight") + F.col("others_weight")) / WEIGHT))
+    blocks = F.greatest(F.lit(2), F.least(blocks, F.col("size"))).cast("int")
     placed = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     name = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))

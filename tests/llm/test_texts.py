@@ -136,7 +136,7 @@ def test_near_duplicates_in_crowded_nodes(spark):
         rows.append((i, " ".join(words)))
         words = list(words)
         words[rnd.randrange(120)] = f"n{i}"
-    got = near_duplicates(frame(spark, rows), node=8, depth=4)
+    got = near_duplicates(frame(spark, rows), node=8, depth=4, wide=8)
     assert by_row(got, "doc_id", "n_shingles", "component_id", "kept") == ordered(brute_near(rows))
 
 
