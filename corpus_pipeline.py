@@ -42,8 +42,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of each document that is left."""
-    return sample_segmentations(docs, k=2)
+    """Distinct sampled segmentations of each document that is left, four of each where there are so many.
+
+    A null or empty text has one without pieces; an empty table gives an empty result."""
+    return sample_segmentations(docs)
 
 
 STAGES = [

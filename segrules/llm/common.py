@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import string
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,16 @@ def id_bitmap(hashes: DataFrame, column: str, bits: int) -> Callable[[Column], C
     return lambda h: bit(h) & bit(F.shiftright(h, 32))
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: workers are kept between tasks, with all they once held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective avalanche mixing of unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(33))

@@ -60,7 +60,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_segmentations(documents(spark, sf_dir), k=2, digest=True)
+    return sample_segmentations(documents(spark, sf_dir), digest=True)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

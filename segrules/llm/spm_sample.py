@@ -23,14 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segrules.llm.common import mix64, pick
+from segrules.llm.common import give_back, mix64, pick
 
 #: Default place of the public tokenizer's model; a parameter, never copied.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 1_000_000  # code points that one batch of lattices takes on
+CHUNK = 400_000  # code points whose lattices a task holds at a time
 
 SPACE = 0x2581  # stands for a space in pieces
 _LITERAL = 0x10FFFF + 1  # stands for that character itself where a text holds it
@@ -459,15 +460,15 @@ def sample_texts(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary) -> l
     return out
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
     start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > CHUNK:
+    for i, n in enumerate(sizes):
+        if i > start and size + n > CHUNK:
             yield start, i
             start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+        size += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def sample_segmentations(docs: DataFrame, k: int = 4, model: str = MODEL, digest: bool = False, key: Column | None = None) -> DataFrame:
@@ -500,11 +501,12 @@ def sample_segmentations(docs: DataFrame, k: int = 4, model: str = MODEL, digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
+        give_back()
         for b in batches:
-            doc_ids, texts = b.column(0), [t or "" for t in b.column(1).to_pylist()]
-            keys = b.column(2).to_numpy(zero_copy_only=False)
-            for a, z in _chunks(texts):
-                found = sample_texts(texts[a:z], keys[a:z], k, v)
+            doc_ids, keys = b.column(0), b.column(2).to_numpy(zero_copy_only=False)
+            for a, z in _chunks(pc.fill_null(pc.utf8_length(b.column(1)), 0).to_pylist()):
+                texts = [t or "" for t in b.column(1).slice(a, z - a).to_pylist()]
+                found = sample_texts(texts, keys[a:z], k, v)
                 row = np.repeat(np.arange(a, z), [len(f) for f in found])
                 flat = [s for f in found for s in f]
                 columns = [
@@ -515,12 +517,14 @@ def sample_segmentations(docs: DataFrame, k: int = 4, model: str = MODEL, digest
                 ]
                 if digest:
                     columns.append(pa.array([hashlib.sha256(s[0].tobytes()).hexdigest() for s in flat], pa.string()))
-                    columns.append(pa.array([decode_ids(s[0], v) == texts[i] for i, s in zip(row, flat)], pa.bool_()))
+                    columns.append(pa.array([decode_ids(s[0], v) == texts[i - a] for i, s in zip(row, flat)], pa.bool_()))
                     yield pa.RecordBatch.from_arrays(columns, [*names, "ids_sha256", "round_trip"])
                 else:
                     ends = np.concatenate([[0], np.cumsum([len(s[0]) for s in flat])]).astype(np.int32)
                     ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s[0] for s in flat]), pa.int32()))
                     yield pa.RecordBatch.from_arrays([*columns, ids], [*names, "ids"])
+                del found, flat, columns
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
