@@ -172,10 +172,10 @@ def ensemble_importance(nodes: DataFrame, fm: FeatureMatrix) -> DataFrame:
     spark = nodes.sparkSession
     named = spark.createDataFrame([(i, fm.nominal.get(s, s)) for i, s in enumerate(fm.slots)], "feature_index int, feature_name string")
     joined = named.join(shares, "feature_index", "left")
-    total = shares.agg(F.sum("share").alias("total"))
+    # a window over one row a feature
+    joined = joined.withColumn("total", F.sum("share").over(Window.partitionBy()))
     value = F.when(F.col("total") > 0, F.col("share") / F.col("total"))
-    summed = joined.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")  # one row of totals
-    return summed.select(
+    return joined.select(
         "feature_name", F.coalesce(value, F.lit(0.0)).alias("importance"), F.coalesce("splits", F.lit(0)).cast("long").alias("splits")
     )
 

@@ -111,10 +111,12 @@ def leaf_coverage(tree: SegmentTree, data: DataFrame | None = None, scope: str =
         counts = rule_counts(data, conditions)
         # the empty rule of the parent scope at depth 1 covers every row, as node 1 does
         at = F.when(F.col("node").isin(sorted({c["node"] for c in conditions})), F.col("node")).otherwise(1)
-    total = counts.where("node = 1").select(F.col("rows").alias("total"))
-    wanted = leaves.select("node", at.alias("at"))
-    counted = wanted.join(counts.withColumnRenamed("node", "at"), "at", "left")
-    one = total.withColumn("one", F.lit(1))  # a single row
-    return counted.withColumn("one", F.lit(1)).join(one, "one").select(
-        "node", F.coalesce("rows", F.lit(0)).cast("long").alias("coverage"), F.col("total").cast("long").alias("total")
+    # Each leaf meets its rule's count and, by node 1, that of all rows: one join of model-sized tables.
+    own = F.struct(at.cast("long").alias("at"), F.lit(False).alias("all"))
+    root = F.struct(F.lit(1).cast("long").alias("at"), F.lit(True).alias("all"))
+    wanted = leaves.select("node", F.explode(F.array(own, root)).alias("w"))
+    counted = wanted.select("node", "w.at", "w.all").join(counts.withColumnRenamed("node", "at"), "at", "left")
+    return counted.groupBy("node").agg(
+        F.coalesce(F.max(F.when(~F.col("all"), F.col("rows"))), F.lit(0)).cast("long").alias("coverage"),
+        F.coalesce(F.max(F.when(F.col("all"), F.col("rows"))), F.lit(0)).cast("long").alias("total"),
     )
