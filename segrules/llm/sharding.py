@@ -89,15 +89,25 @@ def write_shards(
     size: int = TABLE_SIZE,
     key: str = "doc_id",
     files_per_shard: int = 4,
+    rows_per_file: int = 1_000_000,
 ) -> None:
-    """Write ``docs`` under ``path``/shard=NAME, ``files_per_shard`` files each.
+    """Write ``docs`` under ``path``/shard=NAME, at least ``files_per_shard`` tasks' files each, more for a shard of over
+    that many times ``rows_per_file`` rows.
 
-    The salt that splits a shard into files comes from the slot, so a large
-    shard never meets in one task.
+    Rows of a shard are dealt to its files in turn, whatever their key, so a key that holds a third of all rows is
+    spread as evenly as any.  All columns are written; where ``docs`` has one called shard the folders are
+    called shard_1 (or the next free number).  Repeated rows are written each, rows with a null key go
+    where :func:`key_slot` puts them, and an empty table leaves a folder without files.
     """
     spark = docs.sparkSession
-    table = pd.DataFrame({"__slot": range(size), "shard": slot_table(shards, size)}).astype({"__slot": "int32"})
-    slots = spark.createDataFrame(table, "__slot int, shard string")
-    placed = docs.drop("shard").withColumn("__slot", key_slot(F.col(key), size)).join(F.broadcast(slots), "__slot")
-    salted = placed.withColumn("__salt", F.col("__slot") % files_per_shard)
-    salted.repartition("shard", "__salt").drop("__slot", "__salt").write.mode("overwrite").partitionBy("shard").parquet(path)
+    taken = {c.lower() for c in docs.columns}
+    folder = next(c for c in ("shard", *(f"shard_{i}" for i in range(1, len(taken) + 2))) if c not in taken)
+    table = pd.DataFrame({"slot": range(size), "shard": slot_table(shards, size)}).astype({"slot": "int32"})
+    slots = F.broadcast(spark.createDataFrame(table, "slot int, shard string"))
+    # the row as one column: nothing in it can clash with the columns added here
+    rows = docs.select(F.struct("*").alias("row")).withColumn("slot", key_slot(F.col("row").getField(key), size))
+    placed = rows.withColumn("turn", F.monotonically_increasing_id()).join(slots, "slot")
+    counts = placed.groupBy("shard").agg(F.count("*").alias("rows")).withColumnRenamed("shard", "of")
+    files = F.greatest(F.lit(files_per_shard), F.ceil(F.col("rows") / rows_per_file))
+    salted = placed.join(F.broadcast(counts), F.col("shard") == F.col("of")).withColumn("salt", F.pmod("turn", files))  # a row a shard
+    salted.repartition("shard", "salt").select("row.*", F.col("shard").alias(folder)).write.mode("overwrite").partitionBy(folder).parquet(path)

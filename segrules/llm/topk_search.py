@@ -31,17 +31,21 @@ def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """vec_id, v array<bigint>: ``floor(scale * x)`` of each component.
 
     Vectors that are null, or hold null or non-finite components, and rows
-    without an id take no part.
+    without an id take no part.  A vector so large that a product with one like it would not fit 64 bits
+    (its length times the square of its largest component reaches 2^61) raises an error.
     """
     rows = pick(vectors, "vec_id", "embedding")
     whole = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall(F.col("d"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ints = F.transform("d", lambda x: F.floor(F.lit(float(scale)) * x))
+    largest = F.array_max(F.transform("d", F.abs)) * F.lit(float(scale)) + 1
+    too_large = F.size("d") * largest * largest >= 2.0**61
+    refused = F.raise_error(F.lit("a vector's products would not fit 64 bits")).cast("array<bigint>")
     return (
         rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
         .select("vec_id", whole.alias("d"))
         .where(finite)
-        .select("vec_id", ints.alias("v"))
+        .select("vec_id", F.when(too_large, refused).otherwise(ints).alias("v"))
     )
 
 

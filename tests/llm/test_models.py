@@ -129,6 +129,29 @@ def test_sharding(spark, tmp_path):
             sharding.slot_table(bad, 100)
 
 
+def test_a_hot_key_is_spread_over_files_and_columns_stay(spark, tmp_path):
+    docs = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("source"), F.lit("mine").alias("shard"), F.lit(1).alias("slot"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which joins files as small as these
+    try:
+        sharding.write_shards(docs, str(tmp_path / "out"), ["a", "b"], 101, key="source", files_per_shard=2, rows_per_file=50)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(back.columns) == ["id", "shard", "shard_1", "slot", "source"]
+    assert back.drop("shard_1").exceptAll(docs.select(back.drop("shard_1").columns)).isEmpty() and back.count() == 900
+    assert back.groupBy("source").agg(F.countDistinct("shard_1").alias("n")).where("n > 1").isEmpty()
+    hot = back.where("source = 'hot'").groupBy(F.input_file_name()).count().collect()
+    assert len(hot) >= 4 and max(r["count"] for r in hot) < 200
+
+
+def test_products_that_do_not_fit_are_refused(spark):
+    fits = spark.createDataFrame([(0, [1000.0, -3.0]), (1, [2.0, 5000.0])], "vec_id long, embedding array<double>")
+    got = topk_search.exact_top_k(fits, F.col("vec_id") == 0).collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 1024 * 1024 * (2000 - 15000))]
+    with pytest.raises(Exception, match="64 bits"):
+        topk_search.exact_top_k(spark.createDataFrame([(0, [2.0**40]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{SF_ORACLE}/{t}.parquet") for t in ("documents", "labels"))
     model = quality_gbt.fit_quality(docs, labels)
