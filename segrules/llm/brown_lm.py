@@ -1,12 +1,13 @@
 """Class-based bigram language model: exchange clustering of words, class transitions and word emissions.
 
-Every word is a symbol of its own if its share of the training tokens is at least
-:data:`SHARE`, else it goes to the symbol of its ending (one of
-:data:`ENDINGS`).  So there is a bounded number of symbols at any size of the
-corpus, and every word has one.  Exchange clustering moves symbols
-between classes to raise the likelihood of the training bigrams; a
-word's probability is that of its class after the last word's class, times that of its
-symbol in the class, times its own in the symbol, mixed with its unigram share.
+Words seen at least :data:`SEEN` times in training have a class by their own contexts, at any size of the corpus.
+Classes come from exchange clustering of the :data:`CORE` most frequent words and of :data:`ENDINGS` endings
+that stand for the others as neighbours: half of them at a time are offered the class in which their contexts are
+likeliest, and a half-round that does not raise the likelihood of the training bigrams is undone.  Every other
+word is then offered the classes once, by its contexts over all training texts; that is a table
+(word, n, class) which grows with the corpus and stays distributed.  Words seen less often, and unseen ones, take the class of their ending.
+A word's probability is that of its class after the last word's class, times its share of the
+class, mixed with its unigram share.
 """
 
 from __future__ import annotations
@@ -25,17 +26,20 @@ from pyspark.sql import functions as F
 from segrules.llm.common import id_bucket, pick
 from segrules.session import cut_lineage
 
-SHARE = 1e-5  # so at most 100,000 words are symbols of their own
+CORE = 8192  # most frequent words, which take part in every round
+SEEN = 3  # occurrences from which a word's own contexts decide its class
 ENDINGS = 1024
-CLASSES = 64
-ROUNDS = 6
+CLASSES = 64  # at most 255
+ROUNDS = 8  # half-rounds
 MIX = 0.95  # weight of the class model against the unigram model
 PRIOR = 20.0  # how many observations the unigram class shares count for in a transition
 END = b""  # no word is empty
-GROUP_WORDS = 300_000  # different rare words in one unit of lookup
+OPEN = 255  # in a class sequence: not known yet
+GROUP_WORDS = 300_000  # different words outside the core in one unit of lookup
+GROUP_TOKENS = 4_000_000  # tokens in one unit of lookup; a longer text is one by itself
 FLUSH = 600_000  # different words that a task counts before it hands them on
-CACHED = 300_000  # rare words whose symbol a task remembers
-MERGE = 1_000_000  # tokens between two merges of a task's bigram counts
+CACHED = 300_000  # words outside the core whose ending a task remembers
+MERGE = 1_000_000  # items between two merges of a task's counts
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -50,11 +54,11 @@ def ending(word: bytes) -> int:
 
 
 class Symbols(dict):
-    """Symbol of each word: its own number if it is frequent, else that of its ending (numbers below :data:`ENDINGS`)."""
+    """Symbol of each word: its own number if it is in the core, else that of its ending (numbers below :data:`ENDINGS`)."""
 
-    def __init__(self, frequent: list[bytes]) -> None:
-        super().__init__((w, ENDINGS + i) for i, w in enumerate(frequent))
-        self.fixed = len(frequent)
+    def __init__(self, core: list[bytes]) -> None:
+        super().__init__((w, ENDINGS + i) for i, w in enumerate(core))
+        self.fixed = len(core)
 
     def __missing__(self, word: bytes) -> int:
         s = ending(word)
@@ -62,6 +66,35 @@ class Symbols(dict):
             self[word] = s
         return s
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.array(list(map(self.__getitem__, words)), np.int16)
+
+
+class Tally:
+    """Counts of integer keys, merged every :data:`MERGE` items."""
+
+    def __init__(self) -> None:
+        self.keys, self.ns, self.parts, self.waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.parts.append(keys)
+        self.waiting += len(keys)
+        if self.waiting >= MERGE:
+            self.merge()
+
+    def merge(self) -> None:
+        if self.parts:
+            new, n = np.unique(np.concatenate(self.parts), return_counts=True)
+            both, where = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
+            self.ns = np.bincount(where, np.concatenate([self.ns, n]), len(both)).astype(np.int64)
+            self.keys, self.parts, self.waiting = both, [], 0
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        self.merge()
+        out = self.keys, self.ns
+        self.__init__()
+        return out
+
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(tally: Counter) -> pa.RecordBatch:
@@ -82,36 +115,162 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(tally)
 
 
-def _bigrams(frequent: list[bytes]):
-    width = ENDINGS + len(frequent)
+ENCODED = "grp long, number int, word binary, doc_id long, held_out boolean, ids binary, others binary"
+
+
+def _encode(core: list[bytes]):
+    """Rows (doc_id, held_out, text) to one row per text, its tokens' symbols (``ids``) and the numbers of its words outside the
+    core (``others``), and to one row per number of each group of texts.  A group ends when its dictionary or its texts fill a task."""
+    names = [c.split()[0] for c in ENCODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols(frequent)
-        end = symbols[END]
-        parts: list[np.ndarray] = []
-        keys, ns, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-
-        def merge() -> None:
-            nonlocal keys, ns, parts, waiting
-            new, n = np.unique(np.concatenate(parts), return_counts=True)
-            both, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            ns = np.bincount(where, np.concatenate([ns, n]), len(both)).astype(np.int64)
-            keys, parts, waiting = both, [], 0
+        symbols = Symbols(core)
+        task, turn, held = TaskContext.get().partitionId(), 0, 0
+        numbers: dict[bytes, int] = {}
+        ids: list[bytes] = []
+        others: list[bytes] = []
+
+        def texts(group: int, b: pa.RecordBatch, first: int) -> pa.RecordBatch:
+            n = len(ids)
+            columns = [
+                pa.array(np.full(n, group), pa.int64()),
+                pa.nulls(n, pa.int32()),
+                pa.nulls(n, pa.binary()),
+                b.column(0).slice(first, n),
+                b.column(1).slice(first, n),
+                pa.array(ids, pa.binary()),
+                pa.array(others, pa.binary()),
+            ]
+            ids.clear(), others.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        def dictionary(group: int) -> pa.RecordBatch:
+            n = len(numbers)
+            columns = [
+                pa.array(np.full(n, group), pa.int64()),
+                pa.array(np.arange(n), pa.int32()),
+                pa.array(list(numbers), pa.binary()),
+                *[pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.binary(), pa.binary())],
+            ]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for b in batches:
+            first = 0
+            for i, text in enumerate(b.column(2)):
+                words = tokens(text.as_py())
+                s = symbols.of(words)
+                ids.append(s.tobytes())
+                others.append(np.array([numbers.setdefault(words[j], len(numbers)) for j in np.flatnonzero(s < ENDINGS).tolist()], np.int32).tobytes())
+                held += len(words)
+                if len(numbers) >= GROUP_WORDS or held >= GROUP_TOKENS:
+                    group = (task << 24) + turn
+                    yield texts(group, b, first)
+                    yield dictionary(group)
+                    numbers, first, turn, held = {}, i + 1, turn + 1, 0
+            if ids:
+                yield texts((task << 24) + turn, b, first)
+        if numbers:
+            yield dictionary((task << 24) + turn)
+
+    return run
+
+
+def _shifted(parts: list[bytes], dtype: type, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(items, the item before each) of all sequences; ``first`` comes before the first of each."""
+    items = np.frombuffer(b"".join(parts), dtype).astype(np.int64)
+    before = np.empty_like(items)
+    before[1:] = items[:-1]
+    before[np.cumsum([0] + [len(p) // np.dtype(dtype).itemsize for p in parts[:-1]])] = first
+    return items, before
 
+
+def _bigrams(end: int, width: int):
+    """Counts of symbol pairs, from the column ``ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
         for b in batches:
-            for text in b.column(0).to_pylist():
-                s = np.array(list(map(symbols.__getitem__, tokens(text))), np.int64)
-                parts.append(np.concatenate([[end], s[:-1]]) * width + s)
-                waiting += len(s)
-                if waiting >= MERGE:
-                    merge()
-                    if len(keys) >= 2 * MERGE:
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ns)], ["pair", "n"])
-                        keys, ns = keys[:0], ns[:0]
-        if parts:
-            merge()
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ns)], ["pair", "n"])
+            for at in range(0, b.num_rows, 500):
+                items, before = _shifted(b.column(0).slice(at, 500).to_pylist(), np.int16, end)
+                tally.add(before * width + items)
+                if len(tally.keys) >= 2 * MERGE:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in tally.take()], ["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in tally.take()], ["pair", "n"])
+
+    return run
+
+
+def _word_contexts(core: list[bytes], classes: np.ndarray, n_classes: int):
+    """Per word outside the core: how often each class comes before it (slot below ``n_classes``) and after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, tally = Symbols(core), Tally()
+        first = classes[symbols[END]]
+        numbers: dict[bytes, int] = {}
+
+        def out() -> pa.RecordBatch:
+            keys, n = tally.take()
+            word = pa.array(list(numbers), pa.binary()).take(pa.array(keys // (2 * n_classes)))
+            return pa.RecordBatch.from_arrays([word, pa.array((keys % (2 * n_classes)).astype(np.int16)), pa.array(n)], ["word", "slot", "n"])
+
+        for b in batches:
+            for text in b.column(0):
+                words = tokens(text.as_py())
+                s = symbols.of(words)
+                at = np.flatnonzero(s < ENDINGS)  # never the last token
+                if not len(at):
+                    continue
+                c = classes[s]
+                before = np.where(at > 0, c[at - 1], first)
+                row = np.array([numbers.setdefault(words[j], len(numbers)) for j in at.tolist()], np.int64) * (2 * n_classes)
+                tally.add(np.concatenate([row + before, row + n_classes + c[at + 1]]))
+                if len(numbers) >= GROUP_WORDS or len(tally.keys) >= 2 * MERGE:
+                    yield out()
+                    numbers = {}
+        if numbers:
+            yield out()
+
+    return run
+
+
+def _gains(counts: np.ndarray, log_next: np.ndarray, log_size: np.ndarray) -> np.ndarray:
+    """Class in which contexts (before, then after) are likeliest: transitions into and out of it, and a symbol's share of it."""
+    n_classes = len(log_size)
+    before, after = counts[:, :n_classes], counts[:, n_classes:]
+    gain = before @ log_next + after @ log_next.T - before.sum(axis=1)[:, None] * log_size[None, :]
+    return gain.round(6).argmax(axis=1)  # rounded: ties go to the first class however rows are batched
+
+
+def _choose(classes: np.ndarray, log_next: np.ndarray, log_size: np.ndarray):
+    """Rows (word, slot, n), sorted by word and all of a word in one partition, to (word, n, class)."""
+    slots = 2 * len(log_size)
+
+    def chosen(words: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+        n = counts[:, : slots // 2].sum(axis=1).astype(np.int64)
+        best = _gains(counts, log_next, log_size)
+        for i in np.flatnonzero(n < SEEN).tolist():
+            best[i] = classes[ending(words[i])]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(best.astype(np.int32))], ["word", "n", "class"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[bytes] = []  # the word that the next batch may go on with
+        kept = np.zeros((0, slots))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            coded = b.column(0).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            cell = coded.indices.to_numpy().astype(np.int64) * slots + b.column(1).to_numpy()
+            counts = np.bincount(cell, b.column(2).to_numpy(), len(words) * slots).reshape(-1, slots)
+            if last and last[0] == words[0]:
+                counts[0] += kept[0]
+            else:
+                words, counts = last + words, np.concatenate([kept, counts])
+            if len(words) > 1:
+                yield chosen(words[:-1], counts[:-1])
+            last, kept = words[-1:], counts[-1:]
+        if last:
+            yield chosen(last, kept)
 
     return run
 
@@ -152,9 +311,8 @@ def _contexts(classes: np.ndarray, width: int, n_classes: int):
 
 
 def _best_class(log_next: np.ndarray, log_size: np.ndarray):
-    """Rows (symbol, slot, n), all of a symbol in one partition, to the class in which the symbol's
-    contexts are likeliest: transitions into and out of the class, and the symbol's share of it."""
-    n_classes = len(log_size)
+    """Rows (symbol, slot, n), all of a symbol in one partition, to (symbol, class)."""
+    slots = 2 * len(log_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
@@ -162,26 +320,29 @@ def _best_class(log_next: np.ndarray, log_size: np.ndarray):
             return
         symbol, slot, n = (np.concatenate(c) for c in zip(*got))
         symbols, row = np.unique(symbol, return_inverse=True)
-        counts = np.bincount(row * 2 * n_classes + slot, n, len(symbols) * 2 * n_classes).reshape(-1, 2 * n_classes)
-        before, after = counts[:, :n_classes], counts[:, n_classes:]
-        gain = before @ log_next + after @ log_next.T - before.sum(axis=1)[:, None] * log_size[None, :]
-        yield pa.RecordBatch.from_arrays([pa.array(symbols.astype(np.int32)), pa.array(gain.argmax(axis=1).astype(np.int32))], ["symbol", "class"])
+        counts = np.bincount(row * slots + slot, n, len(symbols) * slots).reshape(-1, slots)
+        best = _gains(counts, log_next, log_size)
+        yield pa.RecordBatch.from_arrays([pa.array(symbols.astype(np.int32)), pa.array(best.astype(np.int32))], ["symbol", "class"])
 
     return run
 
 
 @dataclass(frozen=True)
 class ClassModel:
-    """What scoring needs, bounded by the numbers of symbols and classes."""
+    """What scoring needs, bounded by the numbers of symbols and classes.
 
-    frequent: list[bytes]
+    log10 P(word | last word) = log10(n + 0.5) + factor[class of the last word, class of the word], n its training count.
+    """
+
+    core: list[bytes]
     classes: np.ndarray  # of each symbol
-    log_word: np.ndarray  # of a frequent word its log10 unigram share, of an ending 0: the word's own part is added later
-    factor: np.ndarray  # classes x symbols: log10 of the mixed probability, for endings without the factor (count + 0.5)
-    size: int  # tokens
+    counts: np.ndarray  # of each symbol, in training tokens
+    mass: np.ndarray  # of each class: sum of n + 0.5 over its training words
+    factor: np.ndarray  # classes x classes
+    size: int  # training tokens
     types: int
 
-    def log_base(self) -> float:
+    def log_bottom(self) -> float:
         return float(np.log10(self.size + 0.5 * (self.types + 1)))
 
 
@@ -193,11 +354,7 @@ def _transitions(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _collect_cells(pairs: DataFrame, classes: np.ndarray, width: int, n_classes: int) -> np.ndarray:
-    counted = pairs.mapInArrow(_class_counts(classes, width, n_classes), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    cells = np.zeros(n_classes * n_classes)
-    for cell, n in counted.collect():  # at most classes squared
-        cells[cell] = n
-    return cells.reshape(n_classes, n_classes)
+    return _square(pairs.mapInArrow(_class_counts(classes, width, n_classes), "cell long, n long"), n_classes)
 
 
 def likelihood(cells: np.ndarray) -> float:
@@ -208,152 +365,156 @@ def likelihood(cells: np.ndarray) -> float:
 
 
 def exchange(pairs: DataFrame, symbol_counts: np.ndarray, n_classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each symbol, class bigram counts) after ``rounds`` rounds of exchange.
+    """(class of each symbol, class bigram counts) after ``rounds`` half-rounds of exchange.
 
-    Symbols start in the classes in turn, by falling frequency.  In a round every symbol is offered the
-    class in which its contexts are likeliest, all others fixed; a round that does
-    not raise the likelihood ends the search, and the best classes seen are returned.
+    Symbols start in the classes in turn, by falling frequency.  In a half-round the symbols of even or odd number are offered the
+    class in which their contexts are likeliest, the others fixed; one that does
+    not raise the likelihood is undone, and two such in turn end the search.
     """
     width = len(symbol_counts)
     classes = np.zeros(width, np.int64)
     classes[np.argsort(-symbol_counts, kind="stable")] = np.arange(width) % n_classes
     cells = _collect_cells(pairs, classes, width, n_classes)
-    for _ in range(rounds):
-        following, size = _transitions(cells)
-        log_next = np.log(np.maximum(following, 1e-12))
-        contexts = pairs.mapInArrow(_contexts(classes, width, n_classes), "symbol int, slot int, n long").repartition("symbol")
-        moves = contexts.mapInArrow(_best_class(log_next, np.log(np.maximum(size, 1.0))), "symbol int, class int").collect()  # one per symbol
+    lost = 0
+    for turn in range(rounds):
+        log_next, log_size = _offers(cells)
+        contexts = pairs.mapInArrow(_contexts(classes, width, n_classes), "symbol int, slot int, n long").where(F.col("symbol") % 2 == turn % 2)
+        moves = contexts.repartition("symbol").mapInArrow(_best_class(log_next, log_size), "symbol int, class int").collect()  # one per symbol
         moved = classes.copy()
         for symbol, c in moves:
             moved[symbol] = c
         new_cells = _collect_cells(pairs, moved, width, n_classes)
-        if likelihood(new_cells) <= likelihood(cells):
+        if likelihood(new_cells) > likelihood(cells):
+            classes, cells, lost = moved, new_cells, 0
+        elif lost:
             break
-        classes, cells = moved, new_cells
+        else:
+            lost = 1
     return classes, cells
 
 
-def fit_class_model(train: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[ClassModel, DataFrame]:
-    """(model, rare): the model learnt from all rows of ``train`` (text binary), and the table
-    (word binary, n) of the training words that are not symbols of their own."""
+def _offers(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    following, size = _transitions(cells)
+    return np.log(np.maximum(following, 1e-12)), np.log(np.maximum(size, 1.0))
+
+
+def _resolve(model_classes: np.ndarray, symbol_counts: np.ndarray):
+    """A group's texts and the counts and classes of its dictionary to class sequences and sums of log10(n + 0.5)."""
+    log_count = np.log10(symbol_counts + 0.5)
+    of_symbol = model_classes.astype(np.uint8)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "log_words", "classes"]
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        n = np.zeros(words.num_rows)
+        cls = np.full(words.num_rows, OPEN, np.uint8)
+        number = words["number"].to_numpy()
+        n[number] = words["n"].to_numpy()
+        cls[number] = words["class"].to_numpy()
+        log_n = np.log10(n + 0.5)
+        sizes, known, log_words, sequences = [], [], [], []
+        for ids, others in zip(texts["ids"], texts["others"]):
+            s = np.frombuffer(ids.as_py(), np.int16)
+            o = np.frombuffer(others.as_py(), np.int32)
+            own = s >= ENDINGS
+            sequence = of_symbol[s]
+            found = np.where(cls[o] == OPEN, sequence[~own], cls[o])  # an unseen word: the class of its ending
+            sequence[~own] = found
+            sizes.append(len(s))
+            known.append(int((symbol_counts[s[own]] > 0).sum()) + int((n[o] > 0).sum()))
+            log_words.append(float(log_count[s[own]].sum() + log_n[o].sum()))
+            sequences.append(sequence.tobytes())
+        columns = [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(log_words, pa.float64()), pa.array(sequences, pa.binary())]
+        return pa.table([texts["doc_id"], texts["held_out"], *columns], names=names)
+
+    return run
+
+
+def _sequence_cells(end: int, n_classes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_classes * n_classes, np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                items, before = _shifted(b.column(0).slice(at, 500).to_pylist(), np.uint8, end)
+                total += np.bincount(before * n_classes + items, minlength=n_classes * n_classes)
+        cell = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(total[cell])], ["cell", "n"])
+
+    return run
+
+
+def _square(counted: DataFrame, n_classes: int) -> np.ndarray:
+    cells = np.zeros(n_classes * n_classes)
+    for cell, n in counted.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most classes squared
+        cells[cell] = n
+    return cells.reshape(n_classes, n_classes)
+
+
+def fit_class_model(rows: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[ClassModel, DataFrame, DataFrame]:
+    """(model, others, resolved) from ``rows`` (doc_id, held_out, text binary); it learns from all that are not held out.
+
+    ``others`` (word binary, n, class) has every training word outside the core, ``resolved`` every row of ``rows``:
+    doc_id, held_out, n_tokens, n_known, log_words (sum of log10(n + 0.5)) and classes, one byte per token.
+    """
+    train = rows.where(~F.col("held_out")).select("text")
     counted = train.mapInArrow(_count, "word binary, ending int, n long")
     words = cut_lineage(counted.groupBy("word", "ending").agg(F.sum("n").alias("n")), "words")
     size, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    own = (F.col("n") >= SHARE * size) | (F.col("word") == F.lit(END))
-    top = sorted(((r["n"], bytes(r["word"])) for r in words.where(own).select("word", "n").collect()), reverse=True)  # at most 1 / SHARE + 1
-    frequent = [w for _, w in top]
-    rare = words.where(~F.col("word").isin(END) if not frequent else ~own)
-    ending_n, ending_types = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    for e, n, t in rare.groupBy("ending").agg(F.sum("n"), F.count("*")).collect():  # at most ENDINGS
-        ending_n[e], ending_types[e] = n, t
-    counts = np.concatenate([ending_n, [float(n) for n, _ in top]])
+    is_end = F.col("word") == F.lit(END)
+    top = words.where(~is_end).orderBy(F.desc("n"), "word").limit(CORE).select("word", "n").collect()  # at most CORE
+    n_end = words.where(is_end).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    core = [END, *[bytes(r["word"]) for r in top]]
+    counts = np.zeros(ENDINGS + len(core))
+    for e, n in words.groupBy("ending").agg(F.sum("n")).collect():  # at most ENDINGS
+        counts[e] = n
+    counts[ENDINGS:] = [n_end, *[r["n"] for r in top]]
+    for w, n in zip(core, counts[ENDINGS:]):  # what is left to an ending
+        counts[ending(w)] -= n
+
+    encoded = cut_lineage(rows.mapInArrow(_encode(core), ENCODED), "encoded")
+    texts = encoded.where(F.col("number").isNull())
     width = len(counts)
-
-    pairs = cut_lineage(train.mapInArrow(_bigrams(frequent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "symbol_pairs")
-    n_classes = max(1, min(n_classes, width))
+    tallied = texts.where(~F.col("held_out")).select("ids").mapInArrow(_bigrams(ENDINGS, width), "pair long, n long")
+    pairs = cut_lineage(tallied.groupBy("pair").agg(F.sum("n").alias("n")), "symbol_pairs")
+    n_classes = max(1, min(n_classes, width, OPEN))
     classes, cells = exchange(pairs, counts, n_classes, rounds)
 
-    following, _ = _transitions(cells)
-    class_n = np.bincount(classes, counts, n_classes)
-    in_class = counts / np.maximum(class_n[classes], 1.0)
+    contexts = train.mapInArrow(_word_contexts(core, classes, n_classes), "word binary, slot short, n long")
+    by_word = contexts.repartition("word").sortWithinPartitions("word")
+    others = cut_lineage(by_word.mapInArrow(_choose(classes, *_offers(cells)), "word binary, n long, class int"), "word_classes")
+
+    asked = encoded.where(F.col("number").isNotNull()).select(F.col("grp").alias("unit"), "number", "word").join(others, "word", "left")
+    found = asked.select("unit", "number", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(OPEN)).alias("class"))
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, log_words double, classes binary"
+    grouped = texts.select("grp", "doc_id", "held_out", "ids", "others").groupBy("grp")
+    resolved = cut_lineage(grouped.cogroup(found.groupBy("unit")).applyInArrow(_resolve(classes, counts), schema), "class_sequences")
+
+    end = int(classes[ENDINGS])
+    sequences = resolved.where(~F.col("held_out")).select("classes")
+    final = _square(sequences.mapInArrow(_sequence_cells(end, n_classes), "cell long, n long"), n_classes)
+    own = counts[ENDINGS:] > 0
+    mass = np.bincount(classes[ENDINGS:][own], counts[ENDINGS:][own] + 0.5, n_classes)
+    for c, n, t in others.groupBy("class").agg(F.sum("n"), F.count("*")).collect():  # at most one row a class
+        mass[c] += n + 0.5 * t
+    following, _ = _transitions(final)
     bottom = size + 0.5 * (types + 1)
-    own_share = np.ones(width)
-    own_share[:ENDINGS] = 1 / (ending_n + 0.5 * (ending_types + 1))
-    base = np.full(width, 1 / bottom)
-    base[ENDINGS:] = (counts[ENDINGS:] + 0.5) / bottom
-    mixed = MIX * following[:, classes] * (in_class * own_share)[None, :] + (1 - MIX) * base[None, :]
-    log_word = np.where(np.arange(width) < ENDINGS, 0.0, np.log10(base))
-    return ClassModel(frequent, classes, log_word, np.log10(mixed), int(size), int(types)), rare.select("word", "n")
+    factor = np.log10(MIX * following / (mass + 0.5)[None, :] + (1 - MIX) / bottom)
+    return ClassModel(core, classes, counts, mass, factor, int(size), int(types)), others, resolved
 
 
 def _score(model: ClassModel):
-    """Rows (doc_id, held_out, text) to one row per text without its rare words' counts, and the dictionary of each
-    group of texts: rare words by number.  A group ends when its dictionary is full, so it fits a task."""
-    frame = ["grp", "number", "word", "doc_id", "held_out", "n_tokens", "n_frequent", "base", "score", "rare"]
+    end, n_classes = int(model.classes[ENDINGS]), len(model.mass)
+    factor = model.factor.ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols(model.frequent)
-        end = symbols[END]
-        task, turn = TaskContext.get().partitionId(), 0
-        log_bottom = model.log_base()
-        numbers: dict[bytes, int] = {}
-
-        def dictionary(group: int) -> pa.RecordBatch:
-            n = len(numbers)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, group), pa.int64()),
-                    pa.array(np.arange(n), pa.int32()),
-                    pa.array(list(numbers), pa.binary()),
-                    *[pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())],
-                ],
-                frame,
-            )
-
         for b in batches:
-            group = (task << 24) + turn
-            n_tokens, n_frequent, base, score, rare = [], [], [], [], []
-            for text in b.column(2).to_pylist():
-                words = tokens(text)
-                s = np.array(list(map(symbols.__getitem__, words)), np.int64)
-                prior = model.classes[np.concatenate([[end], s[:-1]])]
-                own = s >= ENDINGS
-                n_rare = len(s) - int(own.sum())
-                n_tokens.append(len(s)), n_frequent.append(len(s) - n_rare)
-                base.append(float(model.log_word[s].sum()) - n_rare * log_bottom)
-                score.append(float(model.factor[prior, s].sum()))
-                ids = [numbers.setdefault(words[i], len(numbers)) for i in np.flatnonzero(~own)]
-                rare.append(np.array(ids, np.int32).tobytes())
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(n, group), pa.int64()),
-                    pa.nulls(n, pa.int32()),
-                    pa.nulls(n, pa.binary()),
-                    b.column(0),
-                    b.column(1),
-                    pa.array(n_tokens, pa.int64()),
-                    pa.array(n_frequent, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(score, pa.float64()),
-                    pa.array(rare, pa.binary()),
-                ],
-                frame,
-            )
-            if len(numbers) >= GROUP_WORDS:
-                yield dictionary(group)
-                numbers, turn = {}, turn + 1
-        if numbers:
-            yield dictionary((task << 24) + turn)
-
-    return run
-
-
-def _look_up(train_tokens: int):
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        count = np.zeros(words.num_rows)
-        count[words["number"].to_numpy()] = words["n"].to_numpy()
-        log_count = np.log10(count + 0.5)
-        added, known = [], []
-        for ids, n in zip(texts["rare"].to_pylist(), texts["n_frequent"].to_pylist()):
-            ids = np.frombuffer(ids, np.int32)
-            added.append(float(log_count[ids].sum()))
-            known.append(n + int((count[ids] > 0).sum()))
-        added = np.array(added)
-        return pa.table(
-            [
-                texts["doc_id"],
-                texts["held_out"],
-                texts["n_tokens"],
-                pa.array(known, pa.int64()),
-                pa.array(np.full(len(known), train_tokens), pa.int64()),
-                pa.array(texts["base"].to_numpy() + added),
-                pa.array(texts["score"].to_numpy() + added),
-            ],
-            names=names,
-        )
+            score = np.array(b.column("log_words").to_numpy())
+            for i, seq in enumerate(b.column("classes")):
+                items, before = _shifted([seq.as_py()], np.uint8, end)
+                score[i] += factor[before * n_classes + items].sum()
+            base = b.column("log_words").to_numpy() - b.column("n_tokens").to_numpy() * model.log_bottom()
+            columns = [b.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")]
+            columns += [pa.array(np.full(b.num_rows, model.size), pa.int64()), pa.array(base), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -370,23 +531,14 @@ def score_texts(docs: DataFrame, n_classes: int = CLASSES, rounds: int = ROUNDS)
     text in the fold; repeated rows are scored, and learnt from, each time; other columns are
     ignored.  Without training rows every word is unknown; an empty table gives an empty result.
 
-    Scale: three scans.  Words and symbol bigrams are counted per task before they are
-    shuffled.  Only the symbols (at most 1 / SHARE words), classes and endings go to the
-    driver and the tasks.  Counts of rare words, an unbounded table, come back by a join:
-    each group of texts asks for its own rare words once, and gets their counts in one cogroup.
+    Scale: three scans of the texts.  Words, symbol pairs and contexts are counted per task before they are
+    shuffled.  Only the core, the endings and what is counted by class go to the driver and the tasks.  Counts and classes
+    of all other words, an unbounded table, come by a join: each group of texts, bounded in words and tokens, asks for its own
+    words once, and gets them in one cogroup.
     """
     rows = pick(docs, "doc_id", "text").select(
         F.col("doc_id").cast("long"), (id_bucket(F.col("doc_id"), 5) == 1).alias("held_out"), F.col("text").cast("binary").alias("text")
     )
-    model, rare = fit_class_model(rows.where(~F.col("held_out")).select("text"), n_classes, rounds)
-    schema = (
-        "grp long, number int, word binary, doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, score double, rare binary"
-    )
-    scored = cut_lineage(rows.mapInArrow(_score(model), schema), "scored")
-    texts = scored.where(F.col("number").isNull()).select("grp", "doc_id", "held_out", "n_tokens", "n_frequent", "base", "score", "rare")
-    asked = scored.where(F.col("number").isNotNull()).select(F.col("grp").alias("unit"), "number", "word")
-    counts = asked.join(rare, "word", "left").select("unit", "number", F.coalesce("n", F.lit(0)).alias("n"))
-    return texts.groupBy("grp").cogroup(counts.groupBy("unit")).applyInArrow(
-        _look_up(model.size),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
+    model, _, resolved = fit_class_model(rows, n_classes, rounds)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return resolved.mapInArrow(_score(model), schema)

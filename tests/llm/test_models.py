@@ -33,15 +33,94 @@ def test_class_model(spark):
     assert brown_lm.score_texts(frame(spark, [])).collect() == []
 
 
-def test_class_model_is_a_distribution(spark):
-    texts = spark.createDataFrame([(prose(i, 50).encode(),) for i in range(40)], "text binary")
-    model, rare = brown_lm.fit_class_model(texts, n_classes=5, rounds=2)
-    known = (10 ** model.factor[:, brown_lm.ENDINGS :]).sum(axis=1)
-    for r in rare.collect():
-        known = known + 10 ** model.factor[:, brown_lm.ending(bytes(r["word"]))] * (r["n"] + 0.5)
+def fit_rows(spark, rows, **kw):
+    """(model, class of each word outside the core with its count, resolved) with every text in training."""
+    df = spark.createDataFrame([(i, False, t.encode()) for i, t in rows], "doc_id long, held_out boolean, text binary")
+    model, others, resolved = brown_lm.fit_class_model(df, **kw)
+    return model, {bytes(r["word"]): (r["n"], r["class"]) for r in others.collect()}, resolved
+
+
+def test_class_model_is_a_distribution(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "CORE", 30)
+    model, others, _ = fit_rows(spark, [(i, prose(i, 50)) for i in range(40)], n_classes=5, rounds=3)
+    count = collections.Counter(w for i in range(40) for w in brown_lm.tokens(prose(i, 50).encode()))
+    assert {w: n for w, (n, _) in others.items()} == {w: n for w, n in count.items() if w not in model.core}
+    mass = [0.0] * 5
+    for w, n in count.items():
+        mass[others[w][1] if w in others else model.classes[brown_lm.ENDINGS + model.core.index(w)]] += n + 0.5
+    assert np.allclose(mass, model.mass)
+    known = (10**model.factor * model.mass[None, :]).sum(axis=1)
     assert (known > 0.9).all() and (known < 1).all()
 
 
+@pytest.mark.parametrize("copies", [0, 10])
+def test_word_classes_and_scores_by_brute_force(spark, monkeypatch, copies):
+    """Words seen often enough have the class of their own contexts, in a table ten times as large too."""
+    monkeypatch.setattr(brown_lm, "CORE", 40)
+    rows = [(i, prose(i, 60)) for i in range(30)]
+    rows += [(100 + i, " ".join(f"filler{(i * j) % 97} and" for j in range(40))) for i in range(30 * copies)]
+    model, others, resolved = fit_rows(spark, rows, n_classes=6, rounds=3)
+    texts = {i: brown_lm.tokens(t.encode()) for i, t in rows}
+    count = collections.Counter(w for t in texts.values() for w in t)
+    assert model.core[1:] == sorted((w for w in count if w), key=lambda w: (-count[w], w))[:40]
+    at = {w: i for i, w in enumerate(model.core)}
+    symbol = lambda w: brown_lm.ENDINGS + at[w] if w in at else brown_lm.ending(w)
+    by_symbol = lambda w: model.classes[symbol(w)]
+    cells, contexts = np.zeros((6, 6)), {w: np.zeros(12) for w in others}
+    for t in texts.values():
+        for last, w, following in zip([b"", *t], t, [*t[1:], None]):
+            cells[by_symbol(last), by_symbol(w)] += 1
+            if w in others:
+                contexts[w][by_symbol(last)] += 1
+                contexts[w][6 + by_symbol(following)] += 1
+    log_next, log_size = brown_lm._offers(cells)
+    own = 0
+    for w, (n, got) in others.items():
+        assert n == count[w]
+        gain = [sum(contexts[w][d] * log_next[d, c] + contexts[w][6 + d] * log_next[c, d] for d in range(6)) - n * log_size[c] for c in range(6)]
+        assert got == (int(np.round(gain, 6).argmax()) if n >= brown_lm.SEEN else by_symbol(w))
+        own += got != by_symbol(w)
+    assert own > 5
+    often = {w for i in range(30) for w in texts[i] if count[w] >= brown_lm.SEEN}
+    assert often <= set(at) | set(others)
+
+    cls = lambda w: others[w][1] if w in others else by_symbol(w)
+    final = collections.Counter((cls(a), cls(b)) for t in texts.values() for a, b in zip([b"", *t], t))
+    out, into = collections.Counter(), collections.Counter()
+    for (a, b), n in final.items():
+        out[a] += n
+        into[b] += n
+    size, bottom = sum(final.values()), sum(final.values()) + 0.5 * (len(count) + 1)
+
+    def log_p(last, w):
+        a, b = cls(last), cls(w)
+        following = (final[a, b] + brown_lm.PRIOR * into[b] / size) / (out[a] + brown_lm.PRIOR)
+        mass = 0.5 + sum(n + 0.5 for x, n in count.items() if cls(x) == b)
+        return math.log10((count[w] + 0.5) * (brown_lm.MIX * following / mass + (1 - brown_lm.MIX) / bottom))
+
+    scored = resolved.mapInArrow(brown_lm._score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    got = {r["doc_id"]: r["score"] for r in scored.collect()}
+    for i in range(30):
+        assert abs(got[i] - sum(log_p(a, b) for a, b in zip([b"", *texts[i]], texts[i]))) < 1e-6
+
+
+def test_class_model_beats_the_unigram_model_on_held_out_texts(spark):
+    pattern = lambda i: " ".join(f"det{(i + j) % 4} noun{(i * 7 + j * 3) % 50} verb{(i * 5 + j) % 40}" for j in range(40))
+    got = brown_lm.score_texts(frame(spark, [(i, pattern(i)) for i in range(300)]), n_classes=8).where("held_out")
+    base, score = got.agg(F.sum("base_score"), F.sum("score")).first()
+    assert score > 0.85 * base and got.count() > 30
+
+
+def test_groups_end_at_their_bounds(spark, monkeypatch):
+    rows = odd_rows() + [(100 + i, prose(i, 80)) for i in range(60)]
+    want = by_row(brown_lm.score_texts(frame(spark, rows), n_classes=6, rounds=2), "doc_id", "n_tokens", "n_known", "base_score", "score")
+    monkeypatch.setattr(brown_lm, "GROUP_WORDS", 100)
+    monkeypatch.setattr(brown_lm, "MERGE", 50)
+    got = by_row(brown_lm.score_texts(frame(spark, rows), n_classes=6, rounds=2), "doc_id", "n_tokens", "n_known", "base_score", "score")
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([r[3:] for r in got], [r[3:] for r in want])
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return spm_sample.load_vocabulary()
