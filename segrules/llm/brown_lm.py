@@ -13,6 +13,7 @@ class, mixed with its unigram share.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +39,6 @@ OPEN = 255  # in a class sequence: not known yet
 GROUP_WORDS = 300_000  # different words outside the core in one unit of lookup
 GROUP_TOKENS = 4_000_000  # tokens in one unit of lookup; a longer text is one by itself
 FLUSH = 600_000  # different words that a task counts before it hands them on
-CACHED = 300_000  # words outside the core whose ending a task remembers
 MERGE = 1_000_000  # items between two merges of a task's counts
 
 
@@ -53,21 +53,30 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % ENDINGS
 
 
-class Symbols(dict):
-    """Symbol of each word: its own number if it is in the core, else that of its ending (numbers below :data:`ENDINGS`)."""
+class Codes(dict):
+    """Codes of words: a place in the core, or from ``self.core`` on the number of another word, with the symbols of their endings."""
 
     def __init__(self, core: list[bytes]) -> None:
-        super().__init__((w, ENDINGS + i) for i, w in enumerate(core))
-        self.fixed = len(core)
+        super().__init__((w, i) for i, w in enumerate(core))
+        self.core = len(core)
+        self.ends = array("h")
 
     def __missing__(self, word: bytes) -> int:
-        s = ending(word)
-        if len(self) < self.fixed + CACHED:
-            self[word] = s
-        return s
+        self[word] = code = len(self)
+        self.ends.append(ending(word))
+        return code
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.array(list(map(self.__getitem__, words)), np.int16)
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbol of each word, places of those outside the core, their numbers)"""
+        codes = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        at = np.flatnonzero(codes >= self.core)
+        numbers = codes[at] - self.core
+        symbols = (codes + ENDINGS).astype(np.int16)
+        symbols[at] = np.frombuffer(self.ends, np.int16)[numbers] if len(at) else 0
+        return symbols, at, numbers
+
+    def others(self) -> list[bytes]:
+        return list(self)[self.core :]
 
 
 class Tally:
@@ -124,9 +133,8 @@ def _encode(core: list[bytes]):
     names = [c.split()[0] for c in ENCODED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols(core)
+        codes = Codes(core)
         task, turn, held = TaskContext.get().partitionId(), 0, 0
-        numbers: dict[bytes, int] = {}
         ids: list[bytes] = []
         others: list[bytes] = []
 
@@ -145,11 +153,11 @@ def _encode(core: list[bytes]):
             return pa.RecordBatch.from_arrays(columns, names)
 
         def dictionary(group: int) -> pa.RecordBatch:
-            n = len(numbers)
+            n = len(codes.ends)
             columns = [
                 pa.array(np.full(n, group), pa.int64()),
                 pa.array(np.arange(n), pa.int32()),
-                pa.array(list(numbers), pa.binary()),
+                pa.array(codes.others(), pa.binary()),
                 *[pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.binary(), pa.binary())],
             ]
             return pa.RecordBatch.from_arrays(columns, names)
@@ -158,18 +166,18 @@ def _encode(core: list[bytes]):
             first = 0
             for i, text in enumerate(b.column(2)):
                 words = tokens(text.as_py())
-                s = symbols.of(words)
+                s, _, numbers = codes.of(words)
                 ids.append(s.tobytes())
-                others.append(np.array([numbers.setdefault(words[j], len(numbers)) for j in np.flatnonzero(s < ENDINGS).tolist()], np.int32).tobytes())
+                others.append(numbers.tobytes())
                 held += len(words)
-                if len(numbers) >= GROUP_WORDS or held >= GROUP_TOKENS:
+                if len(codes.ends) >= GROUP_WORDS or held >= GROUP_TOKENS:
                     group = (task << 24) + turn
                     yield texts(group, b, first)
                     yield dictionary(group)
-                    numbers, first, turn, held = {}, i + 1, turn + 1, 0
+                    codes, first, turn, held = Codes(core), i + 1, turn + 1, 0
             if ids:
                 yield texts((task << 24) + turn, b, first)
-        if numbers:
+        if codes.ends:
             yield dictionary((task << 24) + turn)
 
     return run
@@ -201,33 +209,38 @@ def _bigrams(end: int, width: int):
 
 
 def _word_contexts(core: list[bytes], classes: np.ndarray, n_classes: int):
-    """Per word outside the core: how often each class comes before it (slot below ``n_classes``) and after it."""
+    """Per word outside the core: how often each class comes before it (slot below ``n_classes``) and after it.
+
+    One row per word and task's turn, its slots and their counts side by side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, tally = Symbols(core), Tally()
-        first = classes[symbols[END]]
-        numbers: dict[bytes, int] = {}
+        codes, tally = Codes(core), Tally()
+        first = classes[ENDINGS]
 
         def out() -> pa.RecordBatch:
             keys, n = tally.take()
-            word = pa.array(list(numbers), pa.binary()).take(pa.array(keys // (2 * n_classes)))
-            return pa.RecordBatch.from_arrays([word, pa.array((keys % (2 * n_classes)).astype(np.int16)), pa.array(n)], ["word", "slot", "n"])
+            starts = np.flatnonzero(np.diff(keys // (2 * n_classes), prepend=-1))  # every word has some
+
+            def packed(items: np.ndarray) -> pa.Array:
+                offsets = (np.append(starts, len(items)) * items.itemsize).astype(np.int32)
+                return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(items)])
+
+            slots, counts = packed((keys % (2 * n_classes)).astype(np.int16)), packed(n.astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(codes.others(), pa.binary()), slots, counts], ["word", "slots", "counts"])
 
         for b in batches:
             for text in b.column(0):
-                words = tokens(text.as_py())
-                s = symbols.of(words)
-                at = np.flatnonzero(s < ENDINGS)  # never the last token
+                s, at, numbers = codes.of(tokens(text.as_py()))  # the last token is in the core
                 if not len(at):
                     continue
                 c = classes[s]
                 before = np.where(at > 0, c[at - 1], first)
-                row = np.array([numbers.setdefault(words[j], len(numbers)) for j in at.tolist()], np.int64) * (2 * n_classes)
+                row = numbers.astype(np.int64) * (2 * n_classes)
                 tally.add(np.concatenate([row + before, row + n_classes + c[at + 1]]))
-                if len(numbers) >= GROUP_WORDS or len(tally.keys) >= 2 * MERGE:
+                if len(codes.ends) >= GROUP_WORDS or len(tally.keys) >= 2 * MERGE:
                     yield out()
-                    numbers = {}
-        if numbers:
+                    codes = Codes(core)
+        if codes.ends:
             yield out()
 
     return run
@@ -242,7 +255,7 @@ def _gains(counts: np.ndarray, log_next: np.ndarray, log_size: np.ndarray) -> np
 
 
 def _choose(classes: np.ndarray, log_next: np.ndarray, log_size: np.ndarray):
-    """Rows (word, slot, n), sorted by word and all of a word in one partition, to (word, n, class)."""
+    """Rows (word, slots, counts), sorted by word and all of a word in one partition, to (word, n, class)."""
     slots = 2 * len(log_size)
 
     def chosen(words: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
@@ -260,8 +273,10 @@ def _choose(classes: np.ndarray, log_next: np.ndarray, log_size: np.ndarray):
                 continue
             coded = b.column(0).dictionary_encode()
             words = coded.dictionary.to_pylist()
-            cell = coded.indices.to_numpy().astype(np.int64) * slots + b.column(1).to_numpy()
-            counts = np.bincount(cell, b.column(2).to_numpy(), len(words) * slots).reshape(-1, slots)
+            parts = b.column(1).to_pylist()
+            row = np.repeat(coded.indices.to_numpy().astype(np.int64), [len(x) // 2 for x in parts])
+            n = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int32)
+            counts = np.bincount(row * slots + np.frombuffer(b"".join(parts), np.int16), n, len(words) * slots).reshape(-1, slots)
             if last and last[0] == words[0]:
                 counts[0] += kept[0]
             else:
@@ -478,7 +493,7 @@ def fit_class_model(rows: DataFrame, n_classes: int = CLASSES, rounds: int = ROU
     n_classes = max(1, min(n_classes, width, OPEN))
     classes, cells = exchange(pairs, counts, n_classes, rounds)
 
-    contexts = train.mapInArrow(_word_contexts(core, classes, n_classes), "word binary, slot short, n long")
+    contexts = train.mapInArrow(_word_contexts(core, classes, n_classes), "word binary, slots binary, counts binary")
     by_word = contexts.repartition("word").sortWithinPartitions("word")
     others = cut_lineage(by_word.mapInArrow(_choose(classes, *_offers(cells)), "word binary, n long, class int"), "word_classes")
 
