@@ -3,8 +3,9 @@
 The standard library's streaming parser cuts a page into lines, one per
 block of text.  Each line has the ratio of its text to its tags; the ratios
 are smoothed along the page, and a threshold separates content lines from
-the rest.  The lowest container that holds all content lines and the heading before
-them is the content region, and all its lines that no boilerplate element holds are the text.
+the rest.  Where the content lines are decides on the content region: the articles or mains that hold most of them,
+or else the lowest container that holds all of them and the heading before them.  All its lines that no boilerplate
+element holds are the text.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from segrules.llm.common import pick
 # How elements are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template svg math head iframe object canvas audio video".split())
-BOILERPLATE = frozenset("nav footer aside form button select option textarea fieldset dialog menu label input".split())
+BOILERPLATE = frozenset("nav footer aside button select option textarea fieldset dialog menu label input".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -41,6 +42,7 @@ BAD_NAMES = re.compile(
     r"skip|skip-link|hidden|copyright|legal|disclaimer|alert|toast)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+WHOLE_NAME = re.compile(r"[A-Za-z]+[0-9]*|comment[_-]\w+|(?:cookie|skip|side)[_-]\w+|sign-up")  # an id of one word, or a usual pair
 HEADER_NAMES = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.IGNORECASE)
 LAYOUT_NAMES = re.compile(r"\b(?:has|with|no)-[\w-]+", re.IGNORECASE)  # "with-sidebar" names a layout, not a sidebar
 _SPACE = re.compile(r"\s+")
@@ -54,6 +56,8 @@ class Line:
     good: bool  # not inside a boilerplate element
     heading: bool
     prose: bool  # in a paragraph or heading
+    title: bool  # in a heading of the first rank
+    form: int  # number of the form around it, or -1
 
 
 class _Lines(HTMLParser):
@@ -70,13 +74,16 @@ class _Lines(HTMLParser):
         self.tags = 0
         self.hidden = self.bad = 0
         self.region = -1
+        self.forms = 0  # met so far
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         self.text = []
         if text:
             heading = any(self.open_tags[t] for t in HEADINGS)
-            self.lines.append(Line(text, self.tags + 1, self.region, not self.bad, heading, heading or self.open_tags["p"] > 0))
+            prose, title = heading or self.open_tags["p"] > 0, self.open_tags["h1"] > 0
+            form = self.forms if self.open_tags["form"] else -1
+            self.lines.append(Line(text, self.tags + 1, self.region, not self.bad, heading, prose, title, form))
             self.tags = 0
 
     def open(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -85,8 +92,12 @@ class _Lines(HTMLParser):
         inside = self.open_tags["article"] or self.open_tags["main"]  # a header in there belongs to the article
         bad = tag in BOILERPLATE or (got.get("role") or "").lower() in BAD_ROLES or (got.get("aria-hidden") or "").lower() == "true"
         bad = bad or (tag == "header" and not inside)
-        if not bad and tag not in ("html", "body", "main"):
-            names = LAYOUT_NAMES.sub("", " ".join(got[a] for a in ("class", "id") if got.get(a)))
+        if not bad and tag not in ("html", "body", "main") and tag not in HEADINGS:
+            # Ids of parts of an article are often their titles: there only a whole id counts, and none of a paragraph.
+            by_id = got.get("id") or ""
+            if tag == "p" or (inside and not WHOLE_NAME.fullmatch(by_id)):
+                by_id = ""
+            names = LAYOUT_NAMES.sub("", f"{got.get('class') or ''} {by_id}")
             bad = bool(BAD_NAMES.search(names) or (not inside and HEADER_NAMES.search(names)))
         number = -1
         if tag in REGION:
@@ -95,6 +106,7 @@ class _Lines(HTMLParser):
             self.parents.append(self.region)
             self.region = number
         self.stack.append((tag, hides, bad, number))
+        self.forms += tag == "form" and not self.open_tags[tag]
         self.open_tags[tag] += 1
         self.hidden += hides
         self.bad += bad
@@ -162,6 +174,12 @@ def read_page(html: str) -> _Lines:
     parser.feed(html)
     parser.close()
     parser.flush()
+    prose: Counter[int] = Counter()
+    for line in parser.lines:
+        if line.good and line.prose:
+            prose[line.form] += len(line.text)
+    for line in parser.lines:  # a form with most of a page's paragraphs and headings is wrapped around the page
+        line.good = line.good and (line.form < 0 or prose[line.form] * 2 > prose.total())
     return parser
 
 
@@ -186,11 +204,13 @@ def main_text(html: str | None) -> str:
 
     Character references are decoded, white space inside a block becomes one
     space.  Lines inside boilerplate elements (by tag, role, class or id) never count.
-    The region is the ``main`` around the ``article`` that holds most of such elements'
-    text, else that article and its sibling articles; without an article the ``main`` that
-    holds most; else the lowest element that holds all content lines and the
-    heading before them, or the highest one around it with paragraphs or headings of its own.  All lines of
-    the region are kept; without one, all from the first content line, or the heading before it, to the last.
+    The region is the ``article`` that holds most of such elements' content lines with its sibling articles, or all of
+    the ``main`` around it and its sibling mains; without an article the ``main`` that
+    holds most, with its siblings; else, also where those hold less than half of all content lines' text, the lowest element that holds all
+    content lines and the heading before them, or the highest one around it with paragraphs or headings of its own.  All lines of
+    the region are kept, and those from a first-rank heading before it if it has none itself; without a
+    region, all from the first content line, or the heading before it, to the last.  A form is boilerplate unless it holds most of the
+    page's paragraphs and headings.
     """
     if not html:
         return ""
@@ -199,22 +219,27 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     content = content_lines(lines)
-    own = [0] * len(page.names)  # code points below each region element
-    for line in lines:
-        if line.region >= 0:
+    own = [0] * len(page.names)  # code points of content lines below each region element
+    for line, is_content in zip(lines, content):
+        if line.region >= 0 and is_content:
             own[line.region] += len(line.text)
     for n in range(len(page.names) - 1, -1, -1):
         if page.parents[n] >= 0:
             own[page.parents[n]] += own[n]
+    total = sum(len(x.text) for x, is_content in zip(lines, content) if is_content)
     best: set[int] = set()
     for tag in ("article", "main"):
-        held = [n for n, name in enumerate(page.names) if name == tag and own[n]]
-        most = max(held, key=lambda n: (own[n], -n), default=-1)
+        named = [n for n, name in enumerate(page.names) if name == tag]
+        most = max((n for n in named if own[n]), key=lambda n: (own[n], -n), default=-1)
         # Teaser lists hold many small articles: then the element around them decides.
-        if most >= 0 and own[most] * 2 >= sum(own[n] for n in held if page.parents[n] < 0 or page.names[page.parents[n]] != tag):
+        if most >= 0 and own[most] * 2 >= sum(own[n] for n in named if page.parents[n] < 0 or page.names[page.parents[n]] != tag):
             around = [n for n in _upwards(page, most) if page.names[n] == "main"]
-            best = {around[-1]} if around else {n for n in held if page.parents[n] == page.parents[most]}
-            break
+            if around:
+                most, named = around[-1], [n for n, name in enumerate(page.names) if name == "main"]
+            best = {n for n in named if page.parents[n] == page.parents[most]}
+            if sum(own[n] for n in best) * 2 >= total:
+                break
+            best = set()
     if not best:
         at = [i for i, is_content in enumerate(content) if is_content]
         heading = next((i for i in range(at[0] - 1, -1, -1) if lines[i].heading), at[0])
@@ -227,7 +252,12 @@ def main_text(html: str | None) -> str:
     inside = [False] * len(page.names)
     for n, parent in enumerate(page.parents):
         inside[n] = n in best or (parent >= 0 and inside[parent])
-    return "\n\n".join(x.text for x in lines if x.region >= 0 and inside[x.region])
+    kept = [x.region >= 0 and inside[x.region] for x in lines]
+    if any(kept) and not any(k and x.title for k, x in zip(kept, lines)):
+        first = kept.index(True)
+        title = max((i for i in range(first) if lines[i].title), default=first)
+        kept[title:first] = [True] * (first - title)
+    return "\n\n".join(x.text for k, x in zip(kept, lines) if k)
 
 
 def _upwards(page: _Lines, n: int) -> list[int]:
