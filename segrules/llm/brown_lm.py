@@ -218,14 +218,7 @@ def _word_contexts(core: list[bytes], classes: np.ndarray, n_classes: int):
         first = classes[ENDINGS]
 
         def out() -> pa.RecordBatch:
-            keys, n = tally.take()
-            starts = np.flatnonzero(np.diff(keys // (2 * n_classes), prepend=-1))  # every word has some
-
-            def packed(items: np.ndarray) -> pa.Array:
-                offsets = (np.append(starts, len(items)) * items.itemsize).astype(np.int32)
-                return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(items)])
-
-            slots, counts = packed((keys % (2 * n_classes)).astype(np.int16)), packed(n.astype(np.int32))
+            _, slots, counts = _packed(*tally.take(), 2 * n_classes)  # every word has some
             return pa.RecordBatch.from_arrays([pa.array(codes.others(), pa.binary()), slots, counts], ["word", "slots", "counts"])
 
         for b in batches:
@@ -273,10 +266,7 @@ def _choose(classes: np.ndarray, log_next: np.ndarray, log_size: np.ndarray):
                 continue
             coded = b.column(0).dictionary_encode()
             words = coded.dictionary.to_pylist()
-            parts = b.column(1).to_pylist()
-            row = np.repeat(coded.indices.to_numpy().astype(np.int64), [len(x) // 2 for x in parts])
-            n = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int32)
-            counts = np.bincount(row * slots + np.frombuffer(b"".join(parts), np.int16), n, len(words) * slots).reshape(-1, slots)
+            counts = _unpacked(coded.indices.to_numpy(), len(words), slots, b)
             if last and last[0] == words[0]:
                 counts[0] += kept[0]
             else:
@@ -302,42 +292,57 @@ def _class_counts(classes: np.ndarray, width: int, n_classes: int):
     return run
 
 
-def _contexts(classes: np.ndarray, width: int, n_classes: int):
-    """Per symbol: how often each class comes before it (slot below ``n_classes``) and after it."""
+def _packed(keys: np.ndarray, n: np.ndarray, slots: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Sorted cells (row * slots + slot) and their counts to (rows met, slots of each, counts of each)."""
+    row = keys // slots
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+
+    def lists(items: np.ndarray) -> pa.Array:
+        offsets = (np.append(starts, len(items)) * items.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(items)])
+
+    return row[starts], lists((keys % slots).astype(np.int16)), lists(n.astype(np.int64))
+
+
+def _unpacked(row: np.ndarray, n_rows: int, slots: int, b: pa.RecordBatch) -> np.ndarray:
+    """Counts by row and slot of a batch whose last two columns are such lists."""
+    parts = b.column(1).to_pylist()
+    cell = np.repeat(row.astype(np.int64), [len(x) // 2 for x in parts]) * slots + np.frombuffer(b"".join(parts), np.int16)
+    return np.bincount(cell, np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64), n_rows * slots).reshape(-1, slots)
+
+
+def _contexts(classes: np.ndarray, width: int, n_classes: int, half: int):
+    """Per symbol of one half (even or odd): how often each class comes before it (slot below ``n_classes``) and after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
-        cells = width * n_classes
-        before, after = np.zeros(cells), np.zeros(cells)
+        slots = 2 * n_classes
+        total = np.zeros(width * slots, np.int64)
         for b in batches:
             pair, n = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             left, right = pair // width, pair % width
-            before += np.bincount(right * n_classes + classes[left], n, cells)
-            after += np.bincount(left * n_classes + classes[right], n, cells)
-        seen = {0: before, n_classes: after}
-        for shift, counts in seen.items():
-            cell = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((cell // n_classes).astype(np.int32)), pa.array((cell % n_classes + shift).astype(np.int32)), pa.array(counts[cell].astype(np.int64))],
-                ["symbol", "slot", "n"],
-            )
+            cell = np.concatenate([right * slots + classes[left], left * slots + n_classes + classes[right]])
+            total += np.bincount(cell, np.concatenate([n, n]), len(total)).astype(np.int64)
+        cell = np.flatnonzero(total)
+        cell = cell[cell // slots % 2 == half]
+        symbol, seen, counts = _packed(cell, total[cell], slots)
+        yield pa.RecordBatch.from_arrays([pa.array(symbol.astype(np.int32)), seen, counts], ["symbol", "slots", "counts"])
 
     return run
 
 
 def _best_class(log_next: np.ndarray, log_size: np.ndarray):
-    """Rows (symbol, slot, n), all of a symbol in one partition, to (symbol, class)."""
+    """Rows (symbol, slots, counts), all of a symbol in one partition, to (symbol, class)."""
     slots = 2 * len(log_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-        if not got:
-            return
-        symbol, slot, n = (np.concatenate(c) for c in zip(*got))
-        symbols, row = np.unique(symbol, return_inverse=True)
-        counts = np.bincount(row * slots + slot, n, len(symbols) * slots).reshape(-1, slots)
-        best = _gains(counts, log_next, log_size)
-        yield pa.RecordBatch.from_arrays([pa.array(symbols.astype(np.int32)), pa.array(best.astype(np.int32))], ["symbol", "class"])
+        counts: dict[int, np.ndarray] = {}
+        for b in batches:
+            symbols, row = np.unique(b.column(0).to_numpy(), return_inverse=True)
+            for symbol, own in zip(symbols.tolist(), _unpacked(row, len(symbols), slots, b)):
+                counts[symbol] = counts[symbol] + own if symbol in counts else own
+        if counts:
+            best = _gains(np.array(list(counts.values())), log_next, log_size)
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(best.astype(np.int32))], ["symbol", "class"])
 
     return run
 
@@ -393,7 +398,7 @@ def exchange(pairs: DataFrame, symbol_counts: np.ndarray, n_classes: int = CLASS
     lost = 0
     for turn in range(rounds):
         log_next, log_size = _offers(cells)
-        contexts = pairs.mapInArrow(_contexts(classes, width, n_classes), "symbol int, slot int, n long").where(F.col("symbol") % 2 == turn % 2)
+        contexts = pairs.mapInArrow(_contexts(classes, width, n_classes, turn % 2), "symbol int, slots binary, counts binary")
         moves = contexts.repartition("symbol").mapInArrow(_best_class(log_next, log_size), "symbol int, class int").collect()  # one per symbol
         moved = classes.copy()
         for symbol, c in moves:
@@ -420,9 +425,9 @@ def _resolve(model_classes: np.ndarray, symbol_counts: np.ndarray):
     names = ["doc_id", "held_out", "n_tokens", "n_known", "log_words", "classes"]
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        n = np.zeros(words.num_rows)
-        cls = np.full(words.num_rows, OPEN, np.uint8)
         number = words["number"].to_numpy()
+        size = 1 + max((int(np.frombuffer(o.as_py(), np.int32).max(initial=-1)) for o in texts["others"]), default=-1)
+        n, cls = np.zeros(size), np.full(size, OPEN, np.uint8)  # words that training has not seen have no row
         n[number] = words["n"].to_numpy()
         cls[number] = words["class"].to_numpy()
         log_n = np.log10(n + 0.5)
@@ -497,8 +502,8 @@ def fit_class_model(rows: DataFrame, n_classes: int = CLASSES, rounds: int = ROU
     by_word = contexts.repartition("word").sortWithinPartitions("word")
     others = cut_lineage(by_word.mapInArrow(_choose(classes, *_offers(cells)), "word binary, n long, class int"), "word_classes")
 
-    asked = encoded.where(F.col("number").isNotNull()).select(F.col("grp").alias("unit"), "number", "word").join(others, "word", "left")
-    found = asked.select("unit", "number", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(OPEN)).alias("class"))
+    asked = encoded.where(F.col("number").isNotNull()).select(F.col("grp").alias("unit"), "number", "word").join(others, "word")
+    found = asked.select("unit", "number", "n", "class")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, log_words double, classes binary"
     grouped = texts.select("grp", "doc_id", "held_out", "ids", "others").groupBy("grp")
     resolved = cut_lineage(grouped.cogroup(found.groupBy("unit")).applyInArrow(_resolve(classes, counts), schema), "class_sequences")
