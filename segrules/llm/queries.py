@@ -39,7 +39,11 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [count(kind) for kind in KINDS]
     return find_personal_data(documents(spark, sf_dir)).select(
-        "doc_id", *counts, F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans")
+        "doc_id",
+        *counts,
+        F.sha2(span_text(base), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
