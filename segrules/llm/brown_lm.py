@@ -12,11 +12,11 @@ class, mixed with its unigram share.
 
 from __future__ import annotations
 
-import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ MIX = 0.95  # weight of the class model against the unigram model
 PRIOR = 20.0  # how many observations the unigram class shares count for in a transition
 END = b""  # no word is empty
 OPEN = 255  # in a class sequence: not known yet
-GROUP_WORDS = 300_000  # different words outside the core in one unit of lookup
+GROUP_WORDS = 600_000  # different words outside the core in one unit of lookup
 GROUP_TOKENS = 4_000_000  # tokens in one unit of lookup; a longer text is one by itself
 FLUSH = 600_000  # different words that a task counts before it hands them on
 MERGE = 1_000_000  # items between two merges of a task's counts
@@ -50,7 +50,7 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def ending(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % ENDINGS
+    return crc32(word[-3:]) % ENDINGS
 
 
 class Codes(dict):
@@ -63,7 +63,7 @@ class Codes(dict):
 
     def __missing__(self, word: bytes) -> int:
         self[word] = code = len(self)
-        self.ends.append(ending(word))
+        self.ends.append(crc32(word[-3:]) % ENDINGS)  # as ``ending``, without a call
         return code
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,11 +107,7 @@ class Tally:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(tally: Counter) -> pa.RecordBatch:
-        words = list(tally)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.binary()), pa.array([ending(w) for w in words], pa.int32()), pa.array([tally[w] for w in words], pa.int64())],
-            ["word", "ending", "n"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.binary()), pa.array(list(tally.values()), pa.int64())], ["word", "n"])
 
     tally: Counter = Counter()
     for b in batches:
@@ -253,9 +249,10 @@ def _choose(classes: np.ndarray, log_next: np.ndarray, log_size: np.ndarray):
 
     def chosen(words: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
         n = counts[:, : slots // 2].sum(axis=1).astype(np.int64)
-        best = _gains(counts, log_next, log_size)
-        for i in np.flatnonzero(n < SEEN).tolist():
-            best[i] = classes[ending(words[i])]
+        best, often = np.zeros(len(n), np.int64), n >= SEEN
+        best[often] = _gains(counts[often], log_next, log_size)
+        rare = np.flatnonzero(~often)
+        best[rare] = classes[[ending(words[i]) for i in rare.tolist()]]
         return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(best.astype(np.int32))], ["word", "n", "class"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,15 +473,16 @@ def fit_class_model(rows: DataFrame, n_classes: int = CLASSES, rounds: int = ROU
     doc_id, held_out, n_tokens, n_known, log_words (sum of log10(n + 0.5)) and classes, one byte per token.
     """
     train = rows.where(~F.col("held_out")).select("text")
-    counted = train.mapInArrow(_count, "word binary, ending int, n long")
-    words = cut_lineage(counted.groupBy("word", "ending").agg(F.sum("n").alias("n")), "words")
+    counted = train.mapInArrow(_count, "word binary, n long")
+    words = cut_lineage(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
     size, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     is_end = F.col("word") == F.lit(END)
     top = words.where(~is_end).orderBy(F.desc("n"), "word").limit(CORE).select("word", "n").collect()  # at most CORE
     n_end = words.where(is_end).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     core = [END, *[bytes(r["word"]) for r in top]]
     counts = np.zeros(ENDINGS + len(core))
-    for e, n in words.groupBy("ending").agg(F.sum("n")).collect():  # at most ENDINGS
+    endings = (F.crc32(F.substring("word", -3, 3)) % ENDINGS).cast("int")  # as ``ending``
+    for e, n in words.groupBy(endings.alias("ending")).agg(F.sum("n")).collect():  # at most ENDINGS
         counts[e] = n
     counts[ENDINGS:] = [n_end, *[r["n"] for r in top]]
     for w, n in zip(core, counts[ENDINGS:]):  # what is left to an ending
