@@ -1,9 +1,10 @@
-"""Fits on many rows: rows of a task bounded whatever they compress to."""
+"""Fits on many rows: rows of a task bounded whatever they compress to, forests grown in groups of trees."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from segrules.operators import features as feat
+from segrules.operators import importance as imp
 from segrules.operators.tree import fit_segment_tree
 
 
@@ -38,3 +39,28 @@ def test_the_tree_is_the_same_on_many_rows(spark, df, monkeypatch):
     monkeypatch.setattr(feat, "FIT_IN_MEMORY", 1000)
     monkeypatch.setattr(feat, "FIT_FILE_ROWS", 500)
     assert sorted(fit_segment_tree(df, "y", max_depth=3).nodes.collect()) == sorted(few)
+
+
+def test_groups_hold_all_trees():
+    assert imp.tree_groups(600_000, 200) == [200] and imp.tree_groups(0, 200) == [200] and imp.tree_groups(10**9, 1) == [1]
+    assert imp.tree_groups(36_000_000, 200) == [10] * 20
+    for rows in (1_500_000, 7_000_000, 300_000_000):
+        sizes = imp.tree_groups(rows, 200)
+        assert sum(sizes) == 200 and max(sizes) * rows <= max(imp.BAG_COUNTS, imp.LEAST_TREES * rows) and max(sizes) - min(sizes) <= 1
+
+
+def test_a_forest_in_groups_is_one_forest(spark, df, monkeypatch):
+    monkeypatch.setattr(imp, "BAG_COUNTS", 8000)
+    monkeypatch.setattr(imp, "LEAST_TREES", 1)
+    monkeypatch.setattr(imp, "NODE_IDS", 1)
+    fitted = imp.fit_forest(df, "y", num_trees=5, max_depth=3, seed=3)
+    assert [m.getNumTrees for m in fitted.models] == [2, 2, 1]
+    nodes = imp.ensemble_nodes(fitted)
+    assert {r["tree"] for r in nodes.select("tree").distinct().collect()} == set(range(5))
+    # groups draw other bootstrap samples: the roots' class counts differ from tree to tree
+    assert len({(r["count"], r["impurity"]) for r in nodes.where("node = 1").collect()}) >= 4
+    got = {r["feature_name"]: r["importance"] for r in imp.ensemble_importance(nodes, fitted.fm).collect()}
+    names = [fitted.fm.nominal.get(s, s) for s in fitted.fm.slots]
+    assert [got[n] for n in names] == pytest.approx(fitted.importances(), abs=1e-9)
+    # a group of one tree still draws its features at random, as the forest does
+    assert fitted.models[-1].getFeatureSubsetStrategy() == "sqrt"
