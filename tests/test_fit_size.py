@@ -64,3 +64,8 @@ def test_a_forest_in_groups_is_one_forest(spark, df, monkeypatch):
     assert [got[n] for n in names] == pytest.approx(fitted.importances(), abs=1e-9)
     # a group of one tree still draws its features at random, as the forest does
     assert fitted.models[-1].getFeatureSubsetStrategy() == "sqrt"
+
+
+def test_a_task_of_a_fit_gets_a_million_rows_at_most():
+    # 32 files of Spark's default sizes
+    assert 32 * feat.FIT_FILE_ROWS <= 1 << 20
