@@ -66,6 +66,15 @@ def test_a_forest_in_groups_is_one_forest(spark, df, monkeypatch):
     assert fitted.models[-1].getFeatureSubsetStrategy() == "sqrt"
 
 
+def test_a_forest_on_many_rows_keeps_no_node_ids(spark, df, monkeypatch):
+    assert imp.fit_forest(df, "y", num_trees=2, max_depth=2, seed=3).model.getCacheNodeIds()
+    monkeypatch.setattr(feat, "FIT_IN_MEMORY", 1000)
+    monkeypatch.setattr(imp, "FIT_IN_MEMORY", 1000)
+    fitted = imp.fit_forest(df, "y", num_trees=2, max_depth=2, seed=3)
+    assert not fitted.model.getCacheNodeIds()
+    assert sum(fitted.importances()) == pytest.approx(1.0)
+
+
 def test_a_task_of_a_fit_gets_a_million_rows_at_most():
     # 32 files of Spark's default sizes
     assert 32 * feat.FIT_FILE_ROWS <= 1 << 20
