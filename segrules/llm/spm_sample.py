@@ -46,9 +46,9 @@ class Vocabulary:
 
     char_of: np.ndarray  # code point -> number of the character in the trie, 0 if no piece holds it
     n_chars: int
-    roots: np.ndarray  # node that each character leads to from the root, or the empty node
-    edges: np.ndarray  # sorted trie edges: node * n_chars + character
-    child: np.ndarray  # node that each leads to
+    roots: np.ndarray  # node that each character leads to from the root, or the empty node 0
+    base: np.ndarray  # the child of a node by a character is node base[node] + character, if ...
+    parent: np.ndarray  # ... that node's parent is the node
     piece: np.ndarray  # of each node, or -1
     log_weight: np.ndarray  # of each piece
     byte_id: np.ndarray  # id of each byte's piece
@@ -86,22 +86,59 @@ def load_vocabulary(model: str = MODEL) -> Vocabulary:
         char_of[ord(c)] = j
     n_chars = len(chars) + 1
     nodes: dict[tuple[int, int], int] = {}
-    piece = [-1]
+    end = {}
     for text, i in pieces.items():
         at = 0
         for c in text:
             at = nodes.setdefault((at, chars[c]), len(nodes) + 1)
-            if at == len(piece):
-                piece.append(-1)
-        piece[at] = i
-    keys = np.array([a * n_chars + c for a, c in nodes], np.int64)
-    order = np.argsort(keys)
-    child = np.array(list(nodes.values()), np.int64)[order]
+        end[at] = i
+    place, base, parent = _double_array(nodes, n_chars)
+    piece = np.full(len(base), -1, np.int32)
+    piece[place[list(end)]] = list(end.values())
     roots = np.zeros(n_chars, np.int64)
     for (a, c), node in nodes.items():
         if a == 0:
-            roots[c] = node
-    return Vocabulary(char_of, n_chars, roots, keys[order], child, np.array(piece, np.int32), log_weight, byte_id, surface, max(map(len, pieces)))
+            roots[c] = place[node]
+    return Vocabulary(char_of, n_chars, roots, base, parent, piece, log_weight, byte_id, surface, max(map(len, pieces)))
+
+
+def _double_array(nodes: dict[tuple[int, int], int], n_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each node, base, parent): trie nodes put so that a child is found by one addition and one comparison.
+
+    Children of a node lie at its base plus their characters. Nodes with most children are put first, each at the next
+    base at which all places are free; single children fill what is left."""
+    edges = np.array([(a, c, node) for (a, c), node in nodes.items()], np.int64)
+    edges = edges[np.lexsort((edges[:, 1], edges[:, 0]))]
+    first = np.flatnonzero(np.append(True, edges[1:, 0] != edges[:-1, 0]))
+    sizes = np.diff(np.append(first, len(edges)))
+    place, base_of = np.ones(len(nodes) + 1, np.int64), np.zeros(len(nodes) + 1, np.int64)  # place 1: the root, 0: the empty node
+    window = 128
+    used = np.zeros(2 * len(edges) + 4 * n_chars + window, bool)
+    used[: n_chars + 1] = True
+    at = n_chars + 1
+    for i in np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())].tolist():
+        c = edges[first[i] : first[i] + sizes[i], 1]
+        while True:
+            if at + window + n_chars > len(used):
+                used = np.append(used, np.zeros(len(used), bool))
+            free = at + np.flatnonzero(~used[at : at + window]) - c[0]
+            fits = free[~used[free[:, None] + c].any(axis=1)]
+            if len(fits):
+                break
+            at += window
+        base_of[edges[first[i], 0]] = fits[0]
+        place[edges[first[i] : first[i] + sizes[i], 2]] = fits[0] + c
+        used[fits[0] + c] = True
+    single = first[sizes == 1]
+    used = np.append(used, np.zeros(len(single), bool))
+    free = np.flatnonzero(~used)[: len(single)]
+    base_of[edges[single, 0]] = free - edges[single, 1]
+    place[edges[single, 2]] = free
+    n = int(place.max()) + n_chars + 1
+    base, parent = np.zeros(n, np.int32), np.full(n, -1, np.int32)
+    base[place] = base_of
+    parent[place[edges[:, 2]]] = place[edges[:, 0]]
+    return place, base, parent
 
 
 def decode_ids(ids: np.ndarray, vocabulary: Vocabulary) -> str:
@@ -110,11 +147,28 @@ def decode_ids(ids: np.ndarray, vocabulary: Vocabulary) -> str:
     return raw.decode()[1:] if raw else ""
 
 
+def decode_samples(samples: list[np.ndarray], surface: pa.LargeBinaryArray) -> list[str]:
+    """:func:`decode_ids` of several rows of ids at once; ``surface`` has each piece's bytes."""
+    ends = np.cumsum([0, *map(len, samples)])
+    pieces = surface.take(pa.array(np.concatenate([*samples, np.zeros(0, np.int32)])))
+    raw = pieces.buffers()[2]
+    if raw is None:
+        return [""] * len(samples)
+    at = np.frombuffer(pieces.buffers()[1], np.int64)[ends].tolist()
+    raw = memoryview(raw)
+    return [str(raw[a:z], "utf-8")[1:] for a, z in zip(at[:-1], at[1:])]
+
+
 def _uniform(x: np.ndarray) -> np.ndarray:
     """Numbers strictly between 0 and 1 from mixed 64-bit integers."""
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
+def _numbers(seeds: np.ndarray, start: int, n: int) -> list[list[float]]:
+    """The numbers from ``start`` on of each seed's row of uniform ones."""
+    return _uniform(mix64(seeds[:, None] + np.arange(start, start + n, dtype=np.uint64) * _STEP[2])).tolist()
+
+
 def _salt(turn: int) -> np.ndarray:
     return np.array([turn], np.uint64) * _STEP[2]
 
@@ -158,7 +212,10 @@ class Lattices:
         self._build(cps, chars, at[example], length[example])
 
     def _build(self, cps: np.ndarray, chars: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
-        """Places of all units in one row of arrays, each unit with one more place for its end."""
+        """Places of all units in one row of arrays, each unit with one more place for its end.
+
+        Edges lie by their place's distance to the unit's end, so that backward sums take them slice by slice; long units,
+        whose sums are logarithms, come last."""
         v = self.v
         stop = np.cumsum(length + 1) - 1
         self.begin = stop - length
@@ -173,119 +230,130 @@ class Lattices:
         size = 1
         while True:
             p = v.piece[node]
-            whole = p >= 0
+            whole = np.flatnonzero(p >= 0)
             found.append((size, at[whole], p[whole]))
             size += 1
             if size > v.longest:
                 break
-            more = left[at] >= size
+            more = np.flatnonzero(left[at] >= size)
             at, node = at[more], node[more]
-            key = node * v.n_chars + chars[at + (size - 1)]
-            e = np.searchsorted(v.edges, key)
-            e[e == len(v.edges)] = 0
-            hit = v.edges[e] == key
-            at, node = at[hit], v.child[e[hit]]
+            child = v.base[node] + chars[at + (size - 1)]
+            hit = np.flatnonzero(v.parent[child] == node)
+            at, node = at[hit], child[hit]
             if not len(at):
                 break
         bare = np.flatnonzero(chars == 0)
-        degree = np.zeros(n, np.int32)
+        degree = np.zeros(n, np.int64)
         for _, a, _ in found:
             degree[a] += 1
         degree[bare] += 1
-        self.head = np.concatenate([[0], np.cumsum(degree)])
-        m = int(self.head[-1])
+        longest = int(length.max())
+        rank = left
+        if longest > _LINEAR:
+            rank = left + np.repeat(np.where(length > _LINEAR, longest + 1, 0).astype(np.int32), length + 1)
+        order = np.argsort(rank.astype(np.uint16) if 2 * longest < 65535 else rank, kind="stable")
+        own_degree = degree[order]
+        first = np.cumsum(own_degree) - own_degree
+        m = int(own_degree.sum())
+        #: edges of a place are head[place] : tail[place]
+        self.head = np.empty(n, np.int64)
+        self.head[order] = first
+        self.tail = self.head + degree
         size_of, self.id = np.ones(m, np.int32), np.zeros(m, np.int32)
-        fill = self.head[:-1].copy()
+        fill = self.head.copy()
         for size, a, p in reversed(found):  # long pieces first: they hold most of the mass
             e = fill[a]
             size_of[e], self.id[e] = size, p
-            fill[a] += 1
+            fill[a] = e + 1
         log_weight = v.log_weight[self.id]
         self.id[self.head[bare]] = -1 - cps[bare]  # a character by its bytes
         log_weight[self.head[bare]] = 0.0
-        owner = np.repeat(np.arange(n), degree)
-        self.after = owner + size_of
-        self.last = left[self.after] == 0  # edges that end their unit
-        # Backward sums over the edges by distance to the unit's end; long units in logarithms.
-        sums = np.zeros(n)
-        linear = np.repeat(length <= _LINEAR, length + 1)
-        for direct in (True, False):
-            take = np.flatnonzero(linear[owner] == direct)
-            if not len(take):
+        after = np.repeat(order, own_degree) + size_of
+        # Backward sums, and numbers of segmentations, from each place to its unit's end.
+        p = np.empty(m)
+        self.ways = np.zeros(n)
+        self.ways[stop] = 1.0
+        cut = np.concatenate([[0], np.cumsum(np.bincount(rank, minlength=longest + 1))])
+        value = np.zeros(n)
+        value[stop[length <= _LINEAR]] = 1.0
+        weight = np.exp(log_weight)
+        ends = np.append(first, m)
+        for r in range(len(cut) - 1):
+            at = order[cut[r] : cut[r + 1]]
+            low, high = int(ends[cut[r]]), int(ends[cut[r + 1]])
+            if low == high:
                 continue
-            far = left[owner[take]]
-            take = take[np.argsort(far.astype(np.uint16) if far.max() < 65536 else far, kind="stable")]
-            cut = np.searchsorted(left[owner[take]], np.arange(1, int(far.max()) + 2))
-            value = np.zeros(n)
-            if direct:
-                value[stop] = 1.0
-                weight = np.exp(log_weight)
-            for r in range(len(cut) - 1):
-                e = take[cut[r] : cut[r + 1]]
-                if not len(e):
-                    continue
-                own = owner[e]
-                head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                if direct:
-                    value[own[head]] = np.add.reduceat(weight[e] * value[self.after[e]], head)
-                else:
-                    value[own[head]] = np.logaddexp.reduceat(log_weight[e] + value[self.after[e]], head)
-            mine = own_places = np.flatnonzero(linear == direct)
-            with np.errstate(divide="ignore"):
-                sums[mine] = np.log(value[own_places]) if direct else value[own_places]
-        self.log_p = np.minimum(log_weight + sums[self.after] - sums[owner], 0.0)
-        total = np.cumsum(np.exp(self.log_p))
-        self.cdf = total - np.concatenate([[0.0], total])[self.head[owner]]
-        self.n_ways: dict[int, float] = {}
+            heads = first[cut[r] : cut[r + 1]] - low
+            if len(at) and not own_degree[cut[r] : cut[r + 1]].all():  # no piece goes on from there
+                some = np.flatnonzero(own_degree[cut[r] : cut[r + 1]])
+                at, heads = at[some], heads[some]
+            to, degrees = after[low:high], np.diff(np.append(heads, high - low))
+            if r <= longest:
+                part = weight[low:high] * value[to]
+                total = np.add.reduceat(part, heads)
+                value[at] = total
+                p[low:high] = part / np.repeat(np.maximum(total, 1e-300), degrees)
+            else:
+                part = log_weight[low:high] + value[to]
+                total = np.logaddexp.reduceat(part, heads)
+                value[at] = total
+                p[low:high] = np.exp(np.minimum(part - np.repeat(total, degrees), 0.0))
+            self.ways[at] = np.minimum(np.add.reduceat(self.ways[to], heads), 1e300)
+        self.p = np.minimum(p, 1.0)
+        with np.errstate(divide="ignore"):
+            self.log_p = np.log(self.p)
+        total = np.cumsum(self.p)
+        self.cdf = total - np.repeat(np.concatenate([[0.0], total])[first], own_degree)
+        self.cdf[first[own_degree > 0] + own_degree[own_degree > 0] - 1] = 1.0  # whatever rounding says
+        self.after = np.where(left[after] == 0, -1, after)  # -1: the edge ends its unit
 
     def draw(self, units: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(edges, first, log_p): a segmentation of each unit, its edges at first[i] : first[i + 1]."""
         active = np.arange(len(units))
         pos = self.begin[units]
-        log_p = np.zeros(len(units))
         count = np.zeros(len(units), np.int64)
         steps = []
         while len(active):
-            u = _uniform(mix64(seeds[active] + _salt(len(steps) + 1)))
+            u = _uniform(mix64(seeds + _salt(len(steps) + 1)))
             e = self.head[pos]
             late = np.flatnonzero(u > self.cdf[e])
             while len(late):
-                late = late[e[late] + 1 < self.head[pos[late] + 1]]
                 e[late] += 1
                 late = late[u[late] > self.cdf[e[late]]]
             steps.append((active, e))
-            log_p[active] += self.log_p[e]
-            count[active] += 1
-            on = ~self.last[e]
-            active, pos = active[on], self.after[e[on]]
+            pos = self.after[e]
+            on = pos >= 0
+            count[active[~on]] = len(steps)
+            on = np.flatnonzero(on)
+            active, pos, seeds = active[on], pos[on], seeds[on]
         first = np.concatenate([[0], np.cumsum(count)])
         edges = np.zeros(int(first[-1]), np.int64)
         for turn, (a, e) in enumerate(steps):
             edges[first[a] + turn] = e
-        return edges, first, log_p
+        return edges, first, np.add.reduceat(self.log_p[edges], first[:-1]) if len(units) else np.zeros(0)
 
-    def draw_other(self, unit: int, taken: list[np.ndarray], seed: np.uint64) -> list[int]:
-        """A segmentation of the unit, drawn from those not in ``taken``.
+    def draw_other(self, unit: int, taken: list[np.ndarray], seed: np.uint64, numbers: list[float]) -> list[int]:
+        """A segmentation of the unit, drawn from those not in ``taken``; ``numbers`` are the first that :func:`_numbers` gives for the seed.
 
         Walks from the start; the weight of an edge is its probability without the
         mass of taken segmentations that begin like this."""
         pos, out = int(self.begin[unit]), []
-        numbers = _uniform(mix64(np.full(64, seed) + np.arange(64, dtype=np.uint64) * _STEP[2])).tolist()
         rest = [(t.tolist(), float(self.log_p[t].sum())) for t in taken]
         while True:
-            if len(out) and len(out) % 64 == 0:
-                numbers = _uniform(mix64(np.full(64, seed) + np.arange(len(out), len(out) + 64, dtype=np.uint64) * _STEP[2])).tolist()
-            low, high = int(self.head[pos]), int(self.head[pos + 1])
-            weight = np.exp(self.log_p[low:high]).tolist()
+            if len(out) == len(numbers):
+                numbers = numbers + _numbers(np.array([seed]), len(numbers), 64)[0]
+            low = int(self.head[pos])
+            weight = self.p[low : int(self.tail[pos])].tolist()
             if rest:
                 for t, log_p in rest:
                     weight[t[0] - low] -= math.exp(log_p)
                 for e in {t[0] for t, _ in rest}:
                     # An edge all of whose segmentations are taken has nothing left, whatever rounding says.
                     own = sum(t[0] == e for t, _ in rest)
-                    ways = 1.0 if self.last[e] else self.ways_from(int(self.after[e]))
+                    after = int(self.after[e])
+                    ways = 1.0 if after < 0 else self.ways[after]
                     weight[e - low] = max(weight[e - low], 1e-300) if ways > own else 0.0
-            u = numbers[len(out) % 64] * sum(weight)
+            u = numbers[len(out)] * sum(weight)
             e = -1
             for i, w in enumerate(weight):
                 if w > 0:
@@ -294,26 +362,11 @@ class Lattices:
                         break
                     u -= w
             out.append(e)
-            rest = [(t[1:], log_p - float(self.log_p[e])) for t, log_p in rest if t[0] == e and len(t) > 1]
-            if self.last[e]:
-                return out
+            if rest:
+                rest = [(t[1:], log_p - float(self.log_p[e])) for t, log_p in rest if t[0] == e and len(t) > 1]
             pos = int(self.after[e])
-
-    def ways_from(self, pos: int) -> float:
-        """Number of segmentations from a place to its unit's end."""
-        if pos not in self.n_ways:
-            ways, at = {pos: 1.0}, pos
-            while True:
-                low, high = int(self.head[at]), int(self.head[at + 1])
-                w = ways.pop(at, 0.0)
-                if low == high:  # the end
-                    self.n_ways[pos] = w
-                    break
-                if w:
-                    for q in self.after[low:high].tolist():
-                        ways[q] = min(ways.get(q, 0.0) + w, 1e300)
-                at += 1
-        return self.n_ways[pos]
+            if pos < 0:
+                return out
 
     def ids(self, edges: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of edges and where each segmentation starts; a character that no piece covers becomes its bytes."""
@@ -343,40 +396,45 @@ class _Sample:
     def __init__(self, edges: np.ndarray, first: np.ndarray, log_p: np.ndarray, score: float, since: int, taken: list[np.ndarray]) -> None:
         self.edges, self.first, self.log_p, self.score = edges, first, log_p, score  # log_p of each unit; score perturbed
         self.since, self.taken = since, taken  # taken at unit ``since``, this one's included
-        self.bound = np.zeros(0)  # perturbed maximum of each region
-        self.best = -1  # the unit of the best region
+        self.bound = np.zeros(0)  # perturbed maximum of each region, the first of which leaves at ``since``
+        self.best, self.top = -1, -np.inf  # the unit of the best region, and its maximum
 
     def unit(self, j: int) -> np.ndarray:
         return self.edges[self.first[j] : self.first[j + 1]]
 
+    def choose(self) -> None:
+        j = int(self.bound.argmax())
+        self.best, self.top = self.since + j, float(self.bound[j])
+
 
 def _split(lattice: Lattices, samples: list[_Sample], units: list[np.ndarray], seeds: np.ndarray) -> None:
     """Bounds of the regions of each sample: like it up to unit j, none of the taken at j, free after it."""
-    sizes = np.array([len(s.log_p) for s in samples])
+    since = np.array([s.since for s in samples])
+    sizes = np.array([len(s.log_p) for s in samples]) - since
     at = np.concatenate([[0], np.cumsum(sizes)])
-    log_p, unit = np.concatenate([s.log_p for s in samples]), np.concatenate(units)
+    log_p = np.concatenate([s.log_p[s.since :] for s in samples])
     row = np.repeat(np.arange(len(samples)), sizes)
-    place = np.arange(len(row)) - at[row]
+    place = np.arange(len(row)) - (at[:-1] - since)[row]
     mass = -np.expm1(log_p)
-    for j in np.flatnonzero((mass < 1e-9) & (mass > 0)).tolist():
-        if lattice.ways_from(int(lattice.begin[unit[j]])) <= 1:
-            mass[j] = 0.0
+    small = np.flatnonzero((mass < 1e-9) & (mass > 0))
+    if len(small):
+        start = lattice.begin[np.concatenate([u[s.since :] for s, u in zip(samples, units)])[small]]
+        mass[small[lattice.ways[start] <= 1]] = 0.0
     for i, s in enumerate(samples):
         if len(s.taken) > 1:
-            j = at[i] + s.since
             gone = sum(math.exp(lattice.log_p[t].sum()) for t in s.taken)
-            mass[j] = max(1.0 - gone, 1e-300) if lattice.ways_from(int(lattice.begin[unit[j]])) > len(s.taken) else 0.0
+            mass[at[i]] = max(1.0 - gone, 1e-300) if lattice.ways[lattice.begin[units[i][s.since]]] > len(s.taken) else 0.0
     before = np.concatenate([[0.0], np.cumsum(log_p)])
-    mass[place < np.array([s.since for s in samples])[row]] = 0.0
+    same = np.array([s.log_p[: s.since].sum() for s in samples]) - before[at[:-1]]
     score = np.array([s.score for s in samples])[row]
     with np.errstate(divide="ignore", over="ignore"):
-        mass = np.log(mass) + (before[:-1] - before[at[row]])
+        mass = np.log(mass) + (before[:-1] + same[row])
         u = _uniform(mix64(seeds[row] + (place + 1).astype(np.uint64) * _STEP[0]))
         # A Gumbel at ``mass``, truncated at the sample's own score.
         bound = np.where(np.isfinite(mass), np.minimum(mass - np.log(np.exp(mass - score) - np.log(u)), score), -np.inf)
     for i, s in enumerate(samples):
         s.bound = bound[at[i] : at[i + 1]]
-        s.best = int(s.bound.argmax())
+        s.choose()
 
 
 def sample_texts(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -410,8 +468,8 @@ def sample_texts(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary) -> l
         plans = []
         for i, s in new:
             found[i].append(s)
-            parent = max(found[i], key=lambda x: x.bound[x.best])
-            left_out[i] = parent.bound[parent.best]
+            parent = max(found[i], key=lambda x: x.top)
+            left_out[i] = parent.top
             if turn < k and left_out[i] > -np.inf:
                 plans.append((i, parent, parent.best))
         new = []
@@ -425,12 +483,12 @@ def sample_texts(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary) -> l
         edges, at, log_p = lattice.draw(lattice.unit[tokens], mix64(salt + place[tokens] * _STEP[0]))
         other = mix64(seeds[planned] ^ (np.array([p[2] for p in plans], np.uint64) * np.uint64(64) + np.uint64(turn)))
         cursor = 0
-        for (i, parent, j), tail, seed in zip(plans, tails, other):
+        for (i, parent, j), tail, seed, numbers in zip(plans, tails, other, _numbers(other, 0, 8)):
             taken = parent.taken if j == parent.since else [parent.unit(j)]
-            score = float(parent.bound[j])
-            parent.bound[j] = -np.inf
-            parent.best = int(parent.bound.argmax())
-            own = np.array(lattice.draw_other(int(units[i][j]), taken, seed), np.int64)
+            score = parent.top
+            parent.bound[j - parent.since] = -np.inf
+            parent.choose()
+            own = np.array(lattice.draw_other(int(units[i][j]), taken, seed, numbers), np.int64)
             z = cursor + len(tail)
             s = _Sample(
                 np.concatenate([parent.edges[: parent.first[j]], own, edges[at[cursor] : at[z]]]),
@@ -501,6 +559,7 @@ def sample_segmentations(docs: DataFrame, k: int = 4, model: str = MODEL, digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
+        surface = pa.array(v.surface, pa.large_binary())
         give_back()
         for b in batches:
             doc_ids, keys = b.column(0), b.column(2).to_numpy(zero_copy_only=False)
@@ -517,7 +576,9 @@ def sample_segmentations(docs: DataFrame, k: int = 4, model: str = MODEL, digest
                 ]
                 if digest:
                     columns.append(pa.array([hashlib.sha256(s[0].tobytes()).hexdigest() for s in flat], pa.string()))
-                    columns.append(pa.array([decode_ids(s[0], v) == texts[i - a] for i, s in zip(row, flat)], pa.bool_()))
+                    decoded = decode_samples([s[0] for s in flat], surface)
+                    columns.append(pa.array([text == texts[i - a] for i, text in zip(row.tolist(), decoded)], pa.bool_()))
+                    del decoded
                     yield pa.RecordBatch.from_arrays(columns, [*names, "ids_sha256", "round_trip"])
                 else:
                     ends = np.concatenate([[0], np.cumsum([len(s[0]) for s in flat])]).astype(np.int32)

@@ -7,6 +7,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,44 @@ def test_segmentations_of_odd_texts(spark):
     assert spm_sample.sample_segmentations(frame(spark, [])).collect() == []
 
 
+def test_pieces_are_found_by_one_addition_a_character(vocabulary):
+    v = vocabulary
+    pieces = {s.decode().replace(" ", chr(spm_sample.SPACE)): i for i, s in enumerate(v.surface) if i >= 259}
+    for text, i in pieces.items():
+        chars = v.char_of[[ord(c) for c in text]].tolist()
+        node = int(v.roots[chars[0]])
+        for c in chars[1:]:
+            child = int(v.base[node]) + c
+            assert v.parent[child] == node
+            node = child
+        assert v.piece[node] == i
+    assert np.count_nonzero(v.piece >= 0) == len(pieces)
+    # no character leads on from the empty node, and nothing lies outside the arrays
+    assert not (v.parent[v.base[0] + np.arange(v.n_chars)] == 0).any() and v.base.max() + v.n_chars <= len(v.parent)
+
+
+def test_lattice_knows_its_segmentations(vocabulary):
+    lattice = spm_sample.Lattices(["the", "cat" * 30, "the a"], vocabulary)
+    units = lattice.unit
+    assert lattice.ways[lattice.begin[units[0]]] == len(enumerate_segmentations(" the", vocabulary))
+    assert lattice.ways[lattice.begin[units[3]]] == len(enumerate_segmentations(" a", vocabulary))
+    # probabilities of a place's edges sum to 1, in units of any length
+    for unit in (0, 1):
+        at = int(lattice.begin[units[unit]])
+        assert abs(lattice.p[lattice.head[at] : lattice.tail[at]].sum() - 1) < 1e-9
+        assert lattice.cdf[lattice.tail[at] - 1] == 1.0
+
+
+def test_samples_decode_at_once_as_one_by_one(vocabulary):
+    texts = ["the cat", "", " two  spaces ", "\u65e5\U0001f600\x00", chr(spm_sample.SPACE) + " x"]
+    found = spm_sample.sample_texts(texts, np.arange(len(texts)), 3, vocabulary)
+    samples = [s[0] for f in found for s in f]
+    surface = pa.array(vocabulary.surface, pa.large_binary())
+    got = spm_sample.decode_samples(samples, surface)
+    assert got == [spm_sample.decode_ids(s, vocabulary) for s in samples] == [t for t, f in zip(texts, found) for _ in f]
+    assert spm_sample.decode_samples([], surface) == [] and spm_sample.decode_samples([samples[3][:0]], surface) == [""]
+
+
 def brute_slots(names, size):
     hashed = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
     lists = {s: [(hashed("offset:" + s) + j * (1 + hashed("skip:" + s) % (size - 1))) % size for j in range(size)] for s in names}
