@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from segrules.operators import forest
 from segrules.operators import importance as imp
+from segrules.plans.catalog import q_feature_importance
 
 
 @pytest.fixture(scope="module")
@@ -118,3 +119,16 @@ def test_a_share_of_the_rows_without_bootstrap():
 def test_three_classes_are_mllibs(spark, monkeypatch):
     rows = spark.createDataFrame([(float(i % 7), f"c{i % 3}") for i in range(60)], "x double, y string")
     assert grown(monkeypatch, rows, num_trees=2, max_depth=2, seed=1).model.numClasses == 3
+
+
+def test_feature_importance_over_many_counts(spark, df, monkeypatch):
+    """The query's own forest (200 trees, depth 10) in ten passes over the rows, with the planted features first."""
+    monkeypatch.setattr("segrules.plans.catalog._fixture_cut", lambda *a: df.withColumnRenamed("y", "converted"))
+    monkeypatch.setattr(imp, "GROWN_COUNTS", 1)
+    passes = []
+    level = forest._level_splits
+    monkeypatch.setattr(forest, "_level_splits", lambda blocks, trees, *a: (passes.append(len(trees)), level(blocks, trees, *a))[1])
+    rows = q_feature_importance(spark, "").collect()
+    assert passes[0] == 200 and len(passes) == 10
+    assert sum(r["importance"] for r in rows) == pytest.approx(1.0)
+    assert rows[0]["feature_name"] == "x" and rows[-1] == ("one", 0.0)
