@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from segrules.operators import forest
 from segrules.operators import importance as imp
+from segrules.plans import pipelines
 from segrules.plans.catalog import q_feature_importance
 
 
@@ -132,3 +133,14 @@ def test_feature_importance_over_many_counts(spark, df, monkeypatch):
     assert passes[0] == 200 and len(passes) == 10
     assert sum(r["importance"] for r in rows) == pytest.approx(1.0)
     assert rows[0]["feature_name"] == "x" and rows[-1] == ("one", 0.0)
+
+
+def test_segment_report_over_many_counts(spark, df, monkeypatch):
+    """All candidates are kept, so the tree's report is the same whoever grows the forest; MLlib's forest trainer gets no rows for it."""
+    params = dict(path_column=None, reduce_caps={}, forest=pipelines.ForestParams(num_trees=12, max_depth=5, seed=7))
+    before = pipelines.segment_report(df, "y", **params).collect()
+    monkeypatch.setattr(imp, "GROWN_COUNTS", 1)
+    fit, seen = RandomForestClassifier.fit, []
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, data, *a: (seen.append(data.count()), fit(self, data, *a))[1])
+    assert sorted(pipelines.segment_report(df, "y", **params).collect()) == sorted(before)
+    assert seen == [2]
